@@ -9,11 +9,14 @@ replaces in one commit instead.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_appending = threading.Lock()
+
 
 def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
@@ -55,11 +58,14 @@ def replace_table(df: DataFrame, name: str, table_format: str = "parquet") -> No
 def append_table(df: DataFrame, name: str, schema: T.StructType) -> None:
     """Append rows by column name, failing the job on NULL in a NOT NULL column.
 
-    The check is part of the write: Parquet tables themselves accept such NULLs.
+    The check is part of the write: Parquet tables themselves accept such NULLs. Appends
+    of one driver take turns, because file tables keep the work of unfinished writers in
+    one common folder, which the first to finish removes.
     """
     spark = df.sparkSession
     checked = df.select(*[_not_null(f, name) for f in schema])
-    checked.write.mode("append").format(_format_of(spark, name)).saveAsTable(name)
+    with _appending:
+        checked.write.mode("append").format(_format_of(spark, name)).saveAsTable(name)
 
 
 def _not_null(field: T.StructField, table: str) -> Column:
