@@ -46,7 +46,7 @@ class Run:
     """One refresh: its clock, and how many tables are worked on at a time."""
 
     execution_time: datetime = field(default_factory=lambda: datetime.now().replace(microsecond=0))
-    parallel_tables: int = 4
+    parallel_tables: int = 8
     stable_keys: bool = True
 
     @property

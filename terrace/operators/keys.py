@@ -34,17 +34,19 @@ def assign_keys(
     key: str,
     base: int | Column = 0,
     key_type: str = "int",
+    rows: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Prepend ``key``: ``base`` plus the row's position in ``order_by`` order, NULLs first.
 
-    ``base`` may be a scalar subquery, such as the highest key in use. Counts the rows
-    when called; larger inputs are also sampled then.
+    ``base`` may be a scalar subquery, such as the highest key in use. ``rows`` is the
+    row count or an upper bound of it, where the caller has one; otherwise the rows are
+    counted now. Larger inputs are also sampled now.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if rows <= rows_per_bucket:
-        position = F.row_number().over(Window.orderBy(*order))  # bounded by the count above
+        position = F.row_number().over(Window.orderBy(*order))  # few rows, see above
         numbered = df.withColumn("_position", position)
     else:
         numbered = _number_in_buckets(df, order, rows, rows_per_bucket)

@@ -200,7 +200,7 @@ def duplicate_counts(df: DataFrame, broadcast_limit: int = BROADCAST_HASHES) ->
     only rows whose hash repeats are then compared in full, so hash collisions cannot
     distort the result. A row copied many times collapses in the map-side aggregate of
     either step. Should the repeated hashes be too many to broadcast, all rows are
-    compared.
+    compared. The first step runs when called.
     """
     fingerprint = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     repeated = stage(
@@ -208,8 +208,10 @@ def duplicate_counts(df: DataFrame, broadcast_limit: int = BROADCAST_HASHES) ->
         .agg(F.count(F.lit(1)).alias("copies"))
         .where("copies > 1")
     )
-    suspects = df
-    if repeated.count() <= broadcast_limit:
+    found, suspects = repeated.count(), df
+    if not found:
+        return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("duplicates"))
+    if found <= broadcast_limit:
         suspects = (
             df.withColumn("_fingerprint", fingerprint)
             .join(F.broadcast(repeated.select("_fingerprint")), "_fingerprint", "left_semi")

@@ -85,10 +85,11 @@ class GoldBuilder:
         return None if customers is None else highest_key(customers, "support_rep_key")
 
     def dim_customer(self) -> DataFrame:
-        incoming = model.incoming_customers(self.silver("customer"), self.gold("dim_employee"))
-        stored = self.stored("dim_customer")
+        customers, stored = self.silver("customer"), self.stored("dim_customer")
+        incoming = model.incoming_customers(customers, self.gold("dim_employee"))
         if stored is None:
-            return scd2_initial(incoming, model.CUSTOMER, self.run.as_of)
+            rows = customers.count()
+            return scd2_initial(incoming, model.CUSTOMER, self.run.as_of, rows=rows)
         return scd2_apply(stored, incoming, model.CUSTOMER, self.run.as_of)
 
     def dim_track(self) -> DataFrame:

@@ -66,6 +66,7 @@ def outcomes_frame(spark: SparkSession, outcomes: Sequence[Outcome]) -> DataFram
 def extract(spark: SparkSession, layout: Layout, run: Run, source) -> list[Outcome]:
     """Snapshot every active source table, check it by reading back, and log the result."""
     listed = control.active_sources(spark.read.table(layout.control(control.SOURCES)))
+    log: list[tuple] = []
 
     def one(table: str) -> Outcome:
         path = snapshots.snapshot_path(layout.base_path, table, run.execution_time)
@@ -79,11 +80,14 @@ def extract(spark: SparkSession, layout: Layout, run: Run, source) -> list[Outco
         except Exception as error:
             detail = _first_line(error)
         status = FAILED if detail else SUCCESS
-        values = (table, run.execution_time, status, read, found, path, run.as_of)
-        control.log_row(spark, layout, control.EXTRACTIONS, values)
+        log.append((table, run.execution_time, status, read, found, path, run.as_of))
         return Outcome(table, status, found, detail)
 
-    return run_tables("extract", [r.table_name for r in listed.collect()], one, run.parallel_tables)
+    names = [r.table_name for r in listed.collect()]
+    try:
+        return run_tables("extract", names, one, run.parallel_tables)
+    finally:
+        control.log_rows(spark, layout, control.EXTRACTIONS, log)
 
 
 def load_bronze(spark: SparkSession, layout: Layout, run: Run) -> list[Outcome]:
@@ -113,6 +117,7 @@ def load_silver(
     cleaning: Mapping[str, Treatments],
 ) -> list[Outcome]:
     """Profile each bronze table, quarantine what breaks a rule, clean and store the rest."""
+    log: list[tuple] = []
 
     def one(table: str) -> Outcome:
         bronze, table_rules = spark.read.table(layout.bronze(table)), rules.get(table, [])
@@ -120,18 +125,21 @@ def load_silver(
         if seen.failed:
             rejected = quality.quarantine_records(bronze, table_rules, table, run.execution_time)
             name = layout.control(control.QUARANTINE)
-            tables.append_table(rejected, name, control.SCHEMAS[control.QUARANTINE])
+            schema = control.SCHEMAS[control.QUARANTINE]
+            tables.append_table(rejected, name, schema, layout.table_format)
         passed, _ = quality.split(bronze, table_rules)
         cleaned, target = clean(passed, cleaning.get(table)), layout.silver(table)
         tables.replace_table(cleaned, target, layout.table_format)
         applied = quality.rules_as_json(table_rules)
         counts = (seen.total, seen.passed, seen.failed)
-        values = (table, run.execution_time, *counts, applied, run.as_of)
-        control.log_row(spark, layout, control.QUALITY_LOG, values)
+        log.append((table, run.execution_time, *counts, applied, run.as_of))
         return _reconciled(spark, table, target, seen.passed)
 
     names = tables.list_tables(spark, layout.bronze_db)
-    return run_tables("silver", names, one, run.parallel_tables)
+    try:
+        return run_tables("silver", names, one, run.parallel_tables)
+    finally:
+        control.log_rows(spark, layout, control.QUALITY_LOG, log)
 
 
 def table_counts(spark: SparkSession, names: Iterable[str]) -> DataFrame:

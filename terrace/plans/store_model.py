@@ -130,6 +130,7 @@ def album_dimension(albums: DataFrame, artists: DataFrame, **options) -> DataFra
     on, take = {"ArtistId": "artist_id"}, {"artist_key": "artist_key"}
     owned = lookup(albums, artists, on, take, "inner")
     columns = _columns("album_id", album_title="Title", artist_key="artist_key")
+    options = {"rows": albums.count(), **options}  # the join only removes albums
     return keyed_dimension(owned, "album_key", "album_id", columns, **options)
 
 
@@ -149,22 +150,28 @@ def employee_dimension(employees: DataFrame, **options) -> DataFrame:
 def track_dimension(
     tracks: DataFrame, albums: DataFrame, media_types: DataFrame, genres: DataFrame, **options
 ) -> DataFrame:
-    """Tracks with the keys of their album, media type and genre, NULL where unmatched."""
+    """Tracks with the keys of their album, media type and genre, NULL where unmatched.
+
+    Tracks are numbered before the lookups, which keep every track: the passes that find
+    the keys then read one column of one table.
+    """
     parents = {"album": albums, "media_type": media_types, "genre": genres}
-    for entity, dimension in parents.items():
-        natural, key = f"{entity}_id", f"{entity}_key"
-        tracks = lookup(tracks, dimension, {camel(natural): natural}, {key: key})
     minutes = F.round(F.col("Milliseconds") / F.lit(60000.0).cast("decimal(6,1)"), 2)
-    columns = _columns(
+    own = _columns(
         "track_id",
         track_name="Name",
-        **{f"{entity}_key": f"{entity}_key" for entity in parents},
         composer="Composer",
         duration_ms="Milliseconds",
         duration_min=minutes,
         **_columns("bytes", "unit_price"),
     )
-    return keyed_dimension(tracks, "track_key", "track_id", columns, **options)
+    parent_ids = _columns(*[f"{entity}_id" for entity in parents])
+    df = keyed_dimension(tracks, "track_key", "track_id", {**own, **parent_ids}, **options)
+    for entity, dimension in parents.items():
+        natural, key = f"{entity}_id", f"{entity}_key"
+        df = lookup(df, dimension, {natural: natural}, {key: key})
+    described, measured = list(own)[:2], list(own)[2:]
+    return df.select("track_key", *described, *[f"{e}_key" for e in parents], *measured)
 
 
 def incoming_customers(customers: DataFrame, employees: DataFrame) -> DataFrame:

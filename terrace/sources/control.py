@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,12 +102,15 @@ def bootstrap(spark: SparkSession, layout: Layout, tables: Iterable[str], create
         spark.sql(control_ddl(layout.control(table), table, layout.table_format))
     sources = layout.control(SOURCES)
     if spark.read.table(sources).isEmpty():
-        append_table(source_rows(spark, tables, created), sources, SCHEMAS[SOURCES])
+        rows = source_rows(spark, tables, created).coalesce(1)
+        append_table(rows, sources, SCHEMAS[SOURCES], layout.table_format)
 
 
-def log_row(spark: SparkSession, layout: Layout, table: str, values: tuple) -> None:
-    row = spark.createDataFrame([values], SCHEMAS[table])
-    append_table(row, layout.control(table), SCHEMAS[table])
+def log_rows(spark: SparkSession, layout: Layout, table: str, rows: Sequence[tuple]) -> None:
+    """Append the rows of one stage together, as one small file rather than many."""
+    if rows:
+        logged = spark.createDataFrame(rows, SCHEMAS[table]).coalesce(1)
+        append_table(logged, layout.control(table), SCHEMAS[table], layout.table_format)
 
 
 def active_sources(sources: DataFrame) -> DataFrame:

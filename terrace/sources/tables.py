@@ -55,17 +55,18 @@ def replace_table(df: DataFrame, name: str, table_format: str = "parquet") -> No
     spark.catalog.refreshTable(name)
 
 
-def append_table(df: DataFrame, name: str, schema: T.StructType) -> None:
+def append_table(
+    df: DataFrame, name: str, schema: T.StructType, table_format: str = "parquet"
+) -> None:
     """Append rows by column name, failing the job on NULL in a NOT NULL column.
 
     The check is part of the write: Parquet tables themselves accept such NULLs. Appends
     of one driver take turns, because file tables keep the work of unfinished writers in
     one common folder, which the first to finish removes.
     """
-    spark = df.sparkSession
     checked = df.select(*[_not_null(f, name) for f in schema])
     with _appending:
-        checked.write.mode("append").format(_format_of(spark, name)).saveAsTable(name)
+        checked.write.mode("append").format(table_format).saveAsTable(name)
 
 
 def _not_null(field: T.StructField, table: str) -> Column:
@@ -76,10 +77,5 @@ def _not_null(field: T.StructField, table: str) -> Column:
     return F.coalesce(value, F.raise_error(message).cast(field.dataType)).alias(field.name)
 
 
-def _format_of(spark: SparkSession, name: str) -> str:
-    detail = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Provider'")
-    return detail.first()["data_type"]
-
-
 def _same_shape(old: DataFrame, new: DataFrame) -> bool:
     return [(f.name, f.dataType) for f in old.schema] == [(f.name, f.dataType) for f in new.schema]

@@ -246,8 +246,11 @@ def _tracks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _customers(spark: SparkSession, folder: str) -> DataFrame:
-    return model.incoming_customers(role(spark, folder, "customer"), _employees(spark, folder))
+def _customers(spark: SparkSession, folder: str, employees: DataFrame) -> DataFrame:
+    """First load of the customer dimension."""
+    customers = role(spark, folder, "customer")
+    incoming = model.incoming_customers(customers, employees)
+    return scd2.scd2_initial(incoming, model.CUSTOMER, LOADED, rows=customers.count())
 
 
 @query
@@ -327,7 +330,7 @@ def _member_update(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def scd2_initial(spark: SparkSession, folder: str) -> DataFrame:
-    return scd2.scd2_initial(_customers(spark, folder), model.CUSTOMER, LOADED)
+    return _customers(spark, folder, _employees(spark, folder))
 
 
 @query
@@ -368,13 +371,14 @@ def scd2_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fact(spark: SparkSession, folder: str) -> DataFrame:
+    employees = _employees(spark, folder)
     return facts.sales_fact(
         role(spark, folder, "invoiceline"),
         role(spark, folder, "invoice"),
-        scd2_initial(spark, folder),
+        _customers(spark, folder, employees),
         dim_date(spark, folder),
         _tracks(spark, folder),
-        _employees(spark, folder),
+        employees,
     )
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -28,8 +29,15 @@ class Role:
         return f"SELECT {'DISTINCT ' if self.distinct else ''}{columns} FROM {self.table}"
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    """A provided table. Its schema is looked up in the file once, not on every read."""
+    path = f"{folder}/{table}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 ROLES = {
