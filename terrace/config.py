@@ -17,6 +17,10 @@ class Layout:
     gold_db: str = "gold"
     warehouse_path: str | None = None  # databases are created here if given
     table_format: str = "parquet"
+    # Let bronze tables be the newest snapshots themselves instead of copies of them.
+    # Snapshots never change, so the rows are the same and nothing is rewritten; the
+    # snapshot must then be kept as long as the table.
+    link_bronze: bool = False
 
     @property
     def databases(self) -> dict[str, str]:

@@ -62,9 +62,3 @@ def lookup(
     )
     matches = [F.col(c) == F.col(f"_on_{i}") for i, c in enumerate(on)]
     return df.join(wanted, matches, how).drop(*[f"_on_{i}" for i in range(len(on))])
-
-
-def unmatched(df: DataFrame, dimension: DataFrame, on: Mapping[str, str]) -> DataFrame:
-    """Rows of ``df`` that an inner lookup would drop."""
-    wanted = dimension.select(*[F.col(d).alias(f"_on_{i}") for i, d in enumerate(on.values())])
-    return df.join(wanted, [F.col(c) == F.col(f"_on_{i}") for i, c in enumerate(on)], "left_anti")

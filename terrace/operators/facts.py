@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions.money import cents, from_cents, line_total, mean_money
-from terrace.operators.dimensions import lookup, unmatched
+from terrace.operators.dimensions import lookup
 from terrace.operators.scd2 import current_rows
 
 CUSTOMER_KEYS = {"customer_key": "customer_key", "_rep": "support_rep_key"}
@@ -70,30 +70,29 @@ def sales_fact(
 def dropped_lines(
     lines: DataFrame, invoices: DataFrame, customers: DataFrame, tracks: DataFrame
 ) -> DataFrame:
-    """(reason, dropped): how many lines, or invoices' lines, each inner join leaves out.
+    """(reason, dropped): how many lines each inner join of the fact leaves out.
 
-    A line may be counted under more than one reason.
+    A line may be counted under more than one reason. One pass over the lines.
     """
-    line_ids = lines.select("InvoiceId", "TrackId")
-    dateless = invoices.where(F.to_date("InvoiceDate").isNull())
-    ownerless = unmatched(invoices, current_rows(customers), {"CustomerId": "customer_id"})
-    same_invoice = {"InvoiceId": "InvoiceId"}
-
-    def counted(reason: str, rows: DataFrame) -> DataFrame:
-        return rows.agg(F.count(F.lit(1)).alias("dropped")).select(
-            F.lit(reason).alias("reason"), "dropped"
-        )
-
-    def lines_of(some_invoices: DataFrame) -> DataFrame:
-        ids = some_invoices.select("InvoiceId")
-        return line_ids.join(ids, "InvoiceId", "left_semi")
-
-    return (
-        counted("no invoice", unmatched(line_ids, invoices, same_invoice))
-        .unionByName(counted("no track", unmatched(line_ids, tracks, {"TrackId": "track_id"})))
-        .unionByName(counted("no customer", lines_of(ownerless)))
-        .unionByName(counted("no date", lines_of(dateless)))
-    )
+    found = F.lit(True)
+    members = current_rows(customers).select("customer_id", found.alias("_customer"))
+    bills = invoices.select("InvoiceId", "CustomerId", F.to_date("InvoiceDate").alias("_day"))
+    bills = lookup(bills, members, {"CustomerId": "customer_id"}, {"_customer": "_customer"})
+    bills = bills.withColumn("_invoice", found)
+    flags = {f: f for f in ("_invoice", "_customer", "_day")}
+    flagged = lookup(lines.select("InvoiceId", "TrackId"), bills, {"InvoiceId": "InvoiceId"}, flags)
+    known = tracks.select("track_id", found.alias("_track"))
+    flagged = lookup(flagged, known, {"TrackId": "track_id"}, {"_track": "_track"})
+    invoiced = F.col("_invoice").isNotNull()
+    reasons = {
+        "no invoice": ~invoiced,
+        "no customer": invoiced & F.col("_customer").isNull(),
+        "no date": invoiced & F.col("_day").isNull(),
+        "no track": F.col("_track").isNull(),
+    }
+    counted = flagged.agg(*[F.count_if(c).alias(r) for r, c in reasons.items()])
+    rows = [F.struct(F.lit(r).alias("reason"), F.col(r).alias("dropped")) for r in reasons]
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def customer_totals(fact: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.sources.staging import stage
+
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 30
@@ -66,15 +68,15 @@ def extend_keys(
     """Keep the keys that ``known`` (natural, key) already gives; number the rest after them.
 
     ``reserved`` raises the floor for new keys, so that a number still referenced
-    elsewhere is not given out again.
+    elsewhere is not given out again. New rows, usually few, are staged: numbering them
+    takes several passes. Where ``known`` lists a natural key twice its lower key counts.
     """
-    known = known.select(F.col(natural).alias("_natural"), F.col(key).alias("_known_key"))
-    looked_up = df.join(known, F.col(natural) == F.col("_natural"), "left").drop("_natural")
-    kept = looked_up.where("_known_key IS NOT NULL").select(
-        F.col("_known_key").alias(key), *df.columns
-    )
-    new = looked_up.where("_known_key IS NULL").drop("_known_key")
-    highest = highest_key(known, "_known_key")
+    highest = highest_key(known, key)
+    known = known.groupBy(F.col(natural).alias("_natural")).agg(F.min(key).alias("_known_key"))
+    same = F.col(natural) == F.col("_natural")
+    kept = df.join(known, same).select(F.col("_known_key").alias(key), *df.columns)
+    new = stage(df.join(known, same, "left_anti"))
+    options["rows"] = new.count()
     if reserved is not None:
         highest = F.greatest(highest, reserved)
     return kept.unionByName(assign_keys(new, natural, key, base=highest, **options))

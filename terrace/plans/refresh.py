@@ -10,6 +10,7 @@ from terrace.config import Layout, Run
 from terrace.plans import store_model as model
 from terrace.plans.gold import GOLD_TABLES, GoldBuilder
 from terrace.plans.stages import Outcome, extract, load_bronze, load_silver, table_counts
+from terrace.session import tune
 from terrace.sources.control import bootstrap
 
 
@@ -23,6 +24,7 @@ class Report:
 
 def full_refresh(spark: SparkSession, layout: Layout, run: Run, source) -> Report:
     """Source to star schema. A stage that fails for any table stops the refresh."""
+    tune(spark)
     bootstrap(spark, layout, model.TABLES, run.as_of)
     extracted = extract(spark, layout, run, source)
     bronze = load_bronze(spark, layout, run)

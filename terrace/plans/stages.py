@@ -101,6 +101,9 @@ def load_bronze(spark: SparkSession, layout: Layout, run: Run) -> list[Outcome]:
     def one(table: str) -> Outcome:
         raw = snapshots.read_snapshot(spark, paths[table])
         target = layout.bronze(table)
+        if layout.link_bronze:
+            tables.point_table(spark, target, raw.schema, paths[table])
+            return _reconciled(spark, table, target, raw.count())
         read = snapshots.write_counted(
             raw, lambda df: tables.replace_table(df, target, layout.table_format)
         )

@@ -46,12 +46,20 @@ def replace_table(df: DataFrame, name: str, table_format: str = "parquet") -> No
     root = spark.catalog.getDatabase(database).locationUri
     version = f"{root}/{table}/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(version)
-    if table_exists(spark, name) and _same_shape(spark.read.table(name), df):
-        spark.sql(f"ALTER TABLE {name} SET LOCATION '{version}'")
+    point_table(spark, name, df.schema, version)
+
+
+def point_table(spark: SparkSession, name: str, schema: T.StructType, folder: str) -> None:
+    """Make ``name`` the Parquet table that lies in ``folder``.
+
+    With an unchanged schema this is one change of the table's location.
+    """
+    if table_exists(spark, name) and _same_shape(spark.read.table(name).schema, schema):
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
     else:
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet LOCATION '{version}'")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet LOCATION '{folder}'")
     spark.catalog.refreshTable(name)
 
 
@@ -77,5 +85,5 @@ def _not_null(field: T.StructField, table: str) -> Column:
     return F.coalesce(value, F.raise_error(message).cast(field.dataType)).alias(field.name)
 
 
-def _same_shape(old: DataFrame, new: DataFrame) -> bool:
-    return [(f.name, f.dataType) for f in old.schema] == [(f.name, f.dataType) for f in new.schema]
+def _same_shape(old: T.StructType, new: T.StructType) -> bool:
+    return [(f.name, f.dataType) for f in old] == [(f.name, f.dataType) for f in new]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 from datetime import date, datetime
 
 import pytest
@@ -216,6 +217,17 @@ def test_bronze_prefers_good_snapshots_of_active_tables(spark, tmp_path):
     assert log.select("table_name", "source_row_count").collect() == [("A", 0)]
 
 
+def test_bronze_may_be_the_snapshot_itself(spark, tmp_path):
+    place = replace(layout(tmp_path, "linked"), link_bronze=True)
+    control.bootstrap(spark, place, ["A"], FIRST.date())
+    for at, rows in ((FIRST, 3), (SECOND, 5)):
+        stages.extract(spark, place, Run(at), FrameSource({"A": spark.range(rows)}))
+        [outcome] = stages.load_bronze(spark, place, Run(at))
+        assert (outcome.status, outcome.rows) == ("SUCCESS", rows)
+    files = spark.read.table(place.bronze("A")).inputFiles()
+    assert all("/raw/A/2024/01/02/" in f for f in files)
+
+
 def test_bootstrap_seeds_once(spark, tmp_path):
     place = layout(tmp_path, "seeded")
     for _ in range(2):

@@ -15,6 +15,7 @@ from terrace.operators import audit, dimensions, facts, keys, quality, scd2
 from terrace.operators.cleaning import clean
 from terrace.plans import store_model as model
 from terrace.plans.refresh import full_refresh
+from terrace.session import tune
 from terrace.sources import control, snapshots
 from terrace.sources.readers import FrameSource
 from terrace.sources.staging import shared_folder
@@ -31,7 +32,7 @@ MEMBER = scd2.Versioned(
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    QUERIES[function.__name__] = lambda spark, folder: function(tune(spark), folder)
     return function
 
 
