@@ -113,7 +113,7 @@ def scd2_close(
     Closed history is passed through without a join and lands in files of its own, which
     later reads of the current versions skip by their statistics.
     """
-    history = dimension.where(~F.coalesce("is_current", F.lit(False)))
+    history = dimension.where("is_current = false OR is_current IS NULL")
     touched = changes.where(f"_action <> '{NEW}'").select(
         F.col("_key").alias("_touched"),
         "_action",

@@ -560,5 +560,11 @@ ORACLE: dict[str, str] = {
         " CAST(sum(target_row_count) AS BIGINT) AS row_count FROM r_extractions GROUP BY status",
         "extractions",
     ),
+    "quality_summary": with_tables(
+        "SELECT table_name, count(*) AS runs, CAST(sum(total_records) AS BIGINT) AS total_records,"
+        " CAST(sum(passed_records) AS BIGINT) AS passed_records,"
+        " CAST(sum(failed_records) AS BIGINT) AS failed_records FROM r_checks GROUP BY table_name",
+        "checks",
+    ),
     "refreshed_customer_totals": refreshed(),
 }

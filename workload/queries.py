@@ -416,6 +416,11 @@ def run_summary(spark: SparkSession, folder: str) -> DataFrame:
     return audit.run_summary(role(spark, folder, "extractions"), "target_row_count")
 
 
+@query
+def quality_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.quality_summary(role(spark, folder, "checks"))
+
+
 @query
 def refreshed_customer_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Source to star schema through every layer; the customer aggregate that comes out."""

@@ -151,7 +151,7 @@ ROLES = {
             "TrackId": "p_partkey",
         },
     ),
-    # A source list and an extraction log of the size of the data.
+    # A source list, a quality log and an extraction log of the size of the data.
     "sourcelist": Role(
         "customer",
         {
@@ -160,6 +160,15 @@ ROLES = {
             "active_flag": "CASE WHEN c_custkey % 4 = 0 THEN 'N' ELSE 'Y' END",
         },
     ),
+    "checks": Role(
+        "orders",
+        {
+            "table_name": "'T' || CAST(o_custkey AS STRING)",
+            "total_records": "o_orderkey % 1000",
+            "passed_records": "o_orderkey % 1000 - o_orderkey % 7 % (1 + o_orderkey % 1000)",
+            "failed_records": "o_orderkey % 7 % (1 + o_orderkey % 1000)",
+        },
+    ),
     "extractions": Role(
         "orders",
         {
