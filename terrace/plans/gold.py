@@ -10,21 +10,18 @@ from terrace.operators.facts import customer_totals, sales_fact
 from terrace.operators.keys import highest_key
 from terrace.operators.scd2 import scd2_apply, scd2_initial
 from terrace.plans import store_model as model
+from terrace.plans.stages import SUCCESS, Outcome, run_tables
 from terrace.sources.tables import replace_table, table_exists
 
-# Gold tables in the order of their dependencies.
-GOLD_TABLES = [
-    "dim_date",
-    "dim_artist",
-    "dim_album",
-    "dim_genre",
-    "dim_media_type",
-    "dim_employee",
-    "dim_customer",
-    "dim_track",
-    "fact_sales",
-    "fact_sales_customer_agg",
+# Gold tables; each group needs only tables of the groups before it.
+GROUPS = [
+    ["dim_date", "dim_artist", "dim_genre", "dim_media_type", "dim_employee"],
+    ["dim_album", "dim_customer"],
+    ["dim_track"],
+    ["fact_sales"],
+    ["fact_sales_customer_agg"],
 ]
+GOLD_TABLES = [table for group in GROUPS for table in group]
 
 
 class GoldBuilder:
@@ -33,11 +30,16 @@ class GoldBuilder:
     def __init__(self, spark: SparkSession, layout: Layout, run: Run):
         self.spark, self.layout, self.run = spark, layout, run
 
-    def build(self) -> None:
-        for name in GOLD_TABLES:
-            replace_table(
-                getattr(self, name)(), self.layout.gold(name), self.layout.table_format
-            )
+    def build(self) -> list[Outcome]:
+        outcomes = []
+        for group in GROUPS:
+            outcomes += run_tables("gold", group, self.store, self.run.parallel_tables)
+        return outcomes
+
+    def store(self, name: str) -> Outcome:
+        target = self.layout.gold(name)
+        replace_table(getattr(self, name)(), target, self.layout.table_format)
+        return Outcome(name, SUCCESS, self.gold(name).count())
 
     def silver(self, table: str) -> DataFrame:
         return self.spark.read.table(self.layout.silver(table))

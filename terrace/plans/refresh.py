@@ -1,34 +1,41 @@
-"""A full refresh of the media-store warehouse."""
+"""A full refresh of the media-store warehouse, whole or stage by stage."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from terrace.config import Layout, Run
+from terrace.operators.audit import row_counts
 from terrace.plans import store_model as model
 from terrace.plans.gold import GOLD_TABLES, GoldBuilder
-from terrace.plans.stages import Outcome, extract, load_bronze, load_silver, table_counts
+from terrace.plans.stages import Outcome, extract, load_bronze, load_silver
 from terrace.session import tune
 from terrace.sources.control import bootstrap
 
+STAGES = ["bootstrap", "extract", "bronze", "silver", "gold"]
 
-@dataclass(frozen=True)
-class Report:
-    extracted: list[Outcome]
-    bronze: list[Outcome]
-    silver: list[Outcome]
-    gold_counts: DataFrame
 
+def full_refresh(
+    spark: SparkSession, layout: Layout, run: Run, source, stages: Sequence[str] = STAGES
+) -> dict[str, list[Outcome]]:
+    """Source to star schema; the outcome of each table by stage.
 
-def full_refresh(spark: SparkSession, layout: Layout, run: Run, source) -> Report:
-    """Source to star schema. A stage that fails for any table stops the refresh."""
+    A stage that fails for any table stops the refresh. ``stages`` selects some of the
+    stages, which run in their fixed order and meet only through stored tables.
+    """
     tune(spark)
-    bootstrap(spark, layout, model.TABLES, run.as_of)
-    extracted = extract(spark, layout, run, source)
-    bronze = load_bronze(spark, layout, run)
-    silver = load_silver(spark, layout, run, model.RULES, model.CLEANING)
-    GoldBuilder(spark, layout, run).build()
-    counts = table_counts(spark, map(layout.gold, GOLD_TABLES))
-    return Report(extracted, bronze, silver, counts)
+    work = {
+        "bootstrap": lambda: bootstrap(spark, layout, model.TABLES, run.as_of) or [],
+        "extract": lambda: extract(spark, layout, run, source),
+        "bronze": lambda: load_bronze(spark, layout, run),
+        "silver": lambda: load_silver(spark, layout, run, model.RULES, model.CLEANING),
+        "gold": lambda: GoldBuilder(spark, layout, run).build(),
+    }
+    return {name: work[name]() for name in STAGES if name in stages}
+
+
+def gold_counts(spark: SparkSession, layout: Layout) -> DataFrame:
+    """(table_name, row_count) of the star schema."""
+    return row_counts({t: spark.read.table(layout.gold(t)) for t in GOLD_TABLES})

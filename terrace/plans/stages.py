@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from terrace.config import Layout, Run
 from terrace.operators import quality
-from terrace.operators.audit import row_counts
 from terrace.operators.cleaning import Treatments, clean
 from terrace.sources import control, snapshots, tables
 
@@ -145,10 +144,6 @@ def load_silver(
         control.log_rows(spark, layout, control.QUALITY_LOG, log)
 
 
-def table_counts(spark: SparkSession, names: Iterable[str]) -> DataFrame:
-    return row_counts({n: spark.read.table(n) for n in names})
-
-
 def _reconciled(spark: SparkSession, table: str, target: str, expected: int) -> Outcome:
     found = spark.read.table(target).count()
     if found == expected:

@@ -8,10 +8,11 @@ from datetime import date, datetime
 
 import pytest
 
+from terrace import __main__ as command
 from terrace.config import Layout, Run
 from terrace.plans import stages
 from terrace.plans.gold import GOLD_TABLES
-from terrace.plans.refresh import full_refresh
+from terrace.plans.refresh import full_refresh, gold_counts
 from terrace.sources import control
 from terrace.sources.readers import FrameSource
 from tests.fixtures import ROWS, customer, employee, frames
@@ -145,9 +146,10 @@ def test_fact_and_totals(loaded):
 
 
 def test_report_counts_every_gold_table(loaded):
-    counted = {r.table_name: r.row_count for r in loaded.report.gold_counts.collect()}
-    assert list(counted) == [loaded.layout.gold(t) for t in GOLD_TABLES]
-    assert counted[loaded.layout.gold("dim_customer")] == 6
+    counted = {r.table_name: r.row_count for r in gold_counts(loaded.spark, loaded.layout).collect()}
+    assert list(counted) == GOLD_TABLES
+    assert counted["dim_customer"] == 6
+    assert counted == {o.table: o.rows for o in loaded.report["gold"]}
 
 
 VERSION = ("customer_key", "customer_id", "city", "phone", "effective_start_date")
@@ -248,5 +250,17 @@ def test_snapshots_are_never_added_to(spark, tmp_path):
 def test_empty_tables_pass_through(spark, tmp_path):
     warehouse = Warehouse(spark, tmp_path, "hollow")
     report = warehouse.refresh(FIRST, **{t: [] for t in ROWS})
-    assert {o.rows for o in report.silver} == {0}
-    assert {r.row_count for r in report.gold_counts.collect()} == {0}
+    assert {o.rows for o in report["silver"] + report["gold"]} == {0}
+
+
+def test_stages_from_the_command_line(spark, tmp_path):
+    for table, df in frames(spark).items():
+        df.write.parquet(f"{tmp_path}/source/{table}")
+    options = ["--base-path", f"{tmp_path}/raw", "--source-files", f"{tmp_path}/source/{{table}}"]
+    options += ["--warehouse-path", f"{tmp_path}/wh", "--at", "2024-01-01T05:00:00"]
+    for layer in ("control", "bronze", "silver", "gold"):
+        options += [f"--{layer}-db", f"cli_{layer}"]
+    command.main([*options, "--stages", "bootstrap", "extract", "bronze"])
+    assert not spark.catalog.tableExists("cli_gold.fact_sales")
+    command.main([*options, "--stages", "gold", "silver"])
+    assert spark.read.table("cli_gold.fact_sales").count() == 5
