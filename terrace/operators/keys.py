@@ -10,26 +10,20 @@ only the balance of the work, never the result.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrace.sources.staging import stage
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
+BUCKETS_PER_SHARE = 4  # smaller buckets even out over the tasks
+MAX_BUCKETS = 2048
 SAMPLES_PER_BUCKET = 30
 COPIES_PER_TASK = 100_000
 
 
-class Splits(NamedTuple):
-    """Split points as one literal array per ordering column."""
-
-    count: int
-    values: list[Column]
-
-
 def assign_keys(
     df: DataFrame,
     order_by: str | Sequence[str],
@@ -90,7 +84,7 @@ def highest_key(df: DataFrame, key: str) -> Column:
 def _number_in_buckets(
     df: DataFrame, order: list[str], rows: int, rows_per_bucket: int
 ) -> DataFrame:
-    buckets = min(MAX_BUCKETS, -(-rows // rows_per_bucket))
+    buckets = min(MAX_BUCKETS, BUCKETS_PER_SHARE * -(-rows // rows_per_bucket))
     counted, spread = df.withColumn("_copies", F.lit(1)), order
     splits, repeated = _split_points(df, order, rows, buckets)
     if repeated:
@@ -102,7 +96,7 @@ def _number_in_buckets(
         splits, _ = _split_points(
             df.withColumn("_tie", F.xxhash64(*df.columns)), spread, rows, buckets
         )
-    placed = counted.withColumn("_bucket", _bucket_of(spread, splits))
+    placed = _with_bucket(counted, spread, splits)
 
     sizes = placed.groupBy("_bucket").agg(F.sum("_copies").alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,12 +106,12 @@ def _number_in_buckets(
     within = Window.partitionBy("_bucket").orderBy(*spread)
     if not repeated:
         ranked = placed.withColumn("_rank", F.row_number().over(within))
-        ranked = ranked.join(F.broadcast(offsets), "_bucket")
+        ranked = ranked.join(F.broadcast(offsets), "_bucket", "left")
         return ranked.withColumn("_position", F.col("_offset") + F.col("_rank"))
 
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.col("_offset") + F.sum("_copies").over(upto)
-    spans = placed.join(F.broadcast(offsets), "_bucket").withColumn("_last", last)
+    spans = placed.join(F.broadcast(offsets), "_bucket", "left").withColumn("_last", last)
     first = F.col("_last") - F.col("_copies") + 1
     step = F.lit(COPIES_PER_TASK).cast("bigint")
     pieces = spans.withColumn("_from", F.explode(F.sequence(first, F.col("_last"), step)))
@@ -128,7 +122,7 @@ def _number_in_buckets(
 
 def _split_points(
     df: DataFrame, order: list[str], rows: int, buckets: int
-) -> tuple[Splits, bool]:
+) -> tuple[list[tuple], bool]:
     """Ascending distinct split points from a bounded sample, and whether any came up twice."""
     wanted = buckets * SAMPLES_PER_BUCKET
     sample = df.select(*order).sample(min(1.0, wanted / rows), seed=7)
@@ -136,27 +130,33 @@ def _split_points(
     points = [tuple(r["s"]) for r in ranked.collect()]
     chosen = [points[i * len(points) // buckets] for i in range(1, buckets)] if points else []
     distinct = list(dict.fromkeys(chosen))
-    types = df.select(*order).schema
-    arrays = [
-        F.array(*[F.lit(p[i]).cast(f.dataType) for p in distinct]) for i, f in enumerate(types)
-    ]
-    return Splits(len(distinct), arrays), len(distinct) < len(chosen)
+    return distinct, len(distinct) < len(chosen)
 
 
-def _bucket_of(order: list[str], splits: Splits) -> Column:
-    """How many split points are at or below the row, by binary search in literal arrays."""
-    if not splits.count:
-        return F.lit(0)
-    top = 1 << (splits.count.bit_length() - 1)
-    halves = F.array(*[F.lit(top >> i) for i in range(top.bit_length())])
+def _with_bucket(df: DataFrame, order: list[str], splits: list[tuple]) -> DataFrame:
+    """Add ``_bucket``: how many split points are at or below the row.
 
-    def narrowed(found: Column, half: Column) -> Column:
-        reach = found + half
-        point = [F.get(values, reach - 1) for values in splits.values]
-        fits = (reach <= splits.count) & _at_most(point, [F.col(c) for c in order])
-        return F.when(fits, reach).otherwise(found)
-
-    return F.aggregate(halves, F.lit(0), narrowed)
+    A binary search, one projection per halving, over the split points as literal arrays:
+    log2(buckets) comparisons per row, all in generated code of constant size.
+    """
+    types = df.select(*order).schema
+    values = [
+        F.array(*[F.lit(point[i]) for point in splits]).cast(T.ArrayType(f.dataType))
+        for i, f in enumerate(types)
+    ]
+    row = [F.col(c) for c in order]
+    found = df.withColumn("_bucket", F.lit(0))
+    for half in _halves(len(splits)):
+        reach = F.col("_bucket") + half
+        point = [F.get(array, reach - 1) for array in values]
+        fits = (reach <= len(splits)) & _at_most(point, row)
+        found = found.withColumn("_bucket", F.when(fits, reach).otherwise(F.col("_bucket")))
+    return found
+
+
+def _halves(count: int) -> list[int]:
+    """Powers of two up to ``count``, largest first."""
+    return [1 << i for i in reversed(range(count.bit_length()))]
 
 
 def _at_most(left: list[Column], right: list[Column]) -> Column:

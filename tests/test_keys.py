@@ -40,7 +40,7 @@ def test_a_hot_key_with_differing_rows_is_spread(spark):
 
     tied = df.withColumn("tie", F.xxhash64(*df.columns))
     splits, _ = keys._split_points(tied, ["n", "tie"], 6000, 12)
-    sizes = tied.groupBy(keys._bucket_of(["n", "tie"], splits)).count().collect()
+    sizes = keys._with_bucket(tied, ["n", "tie"], splits).groupBy("_bucket").count().collect()
     assert len(sizes) == 12
     assert max(r["count"] for r in sizes) < 1000
 
