@@ -128,6 +128,8 @@ def load_silver(
             rejected = quality.quarantine_records(bronze, table_rules, table, run.execution_time)
             name = layout.control(control.QUARANTINE)
             schema = control.SCHEMAS[control.QUARANTINE]
+            # Few rows out of many partitions: without this, as many tiny files.
+            rejected = rejected.hint("rebalance")
             tables.append_table(rejected, name, schema, layout.table_format)
         passed, _ = quality.split(bronze, table_rules)
         cleaned, target = clean(passed, cleaning.get(table)), layout.silver(table)

@@ -23,7 +23,8 @@ def tune(spark: SparkSession, shuffled_bytes: int | None = None) -> SparkSession
     """Apply the settings; with ``shuffled_bytes`` also size the shuffles.
 
     Adaptive execution merges partitions that are too small but does not cut ordinary
-    ones, so a large job has to start with enough of them.
+    ones, so a large job has to start with enough of them, and merges up to the size that
+    also suits output files.
     """
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
@@ -32,4 +33,5 @@ def tune(spark: SparkSession, shuffled_bytes: int | None = None) -> SparkSession
         wanted = min(MAX_PARTITIONS, -(-shuffled_bytes // PARTITION_BYTES))
         if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
             spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", wanted)
+            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", PARTITION_BYTES)
     return spark

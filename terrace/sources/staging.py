@@ -28,9 +28,10 @@ def stage(df: DataFrame) -> DataFrame:
 
     Unlike a cached plan the result survives the loss of executors, and unlike a
     checkpoint it keeps column pruning and has a true size, so that joins choose their
-    strategy from what was really written.
+    strategy from what was really written. Rows are spread over files of a sensible size,
+    since what is staged is often a thin remainder of a wide job.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.hint("rebalance").write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
