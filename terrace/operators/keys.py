@@ -136,27 +136,28 @@ def _split_points(
 def _with_bucket(df: DataFrame, order: list[str], splits: list[tuple]) -> DataFrame:
     """Add ``_bucket``: how many split points are at or below the row.
 
-    A binary search, one projection per halving, over the split points as literal arrays:
-    log2(buckets) comparisons per row, all in generated code of constant size.
+    A binary search in literal arrays, as one expression of fixed size: log2(buckets)
+    comparisons per row, and nothing that the optimizer could multiply by pushing filters
+    through it.
     """
+    if not splits:
+        return df.withColumn("_bucket", F.lit(0))
     types = df.select(*order).schema
     values = [
         F.array(*[F.lit(point[i]) for point in splits]).cast(T.ArrayType(f.dataType))
         for i, f in enumerate(types)
     ]
     row = [F.col(c) for c in order]
-    found = df.withColumn("_bucket", F.lit(0))
-    for half in _halves(len(splits)):
-        reach = F.col("_bucket") + half
+    halves = [1 << i for i in reversed(range(len(splits).bit_length()))]
+
+    def narrowed(found: Column, half: Column) -> Column:
+        reach = found + half
         point = [F.get(array, reach - 1) for array in values]
         fits = (reach <= len(splits)) & _at_most(point, row)
-        found = found.withColumn("_bucket", F.when(fits, reach).otherwise(F.col("_bucket")))
-    return found
-
+        return F.when(fits, reach).otherwise(found)
 
-def _halves(count: int) -> list[int]:
-    """Powers of two up to ``count``, largest first."""
-    return [1 << i for i in reversed(range(count.bit_length()))]
+    search = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), narrowed)
+    return df.withColumn("_bucket", search)
 
 
 def _at_most(left: list[Column], right: list[Column]) -> Column:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -52,6 +54,19 @@ def test_many_exact_copies(spark, monkeypatch):
     assert sorted(ours.collect()) == sorted(one_window(df, "n").collect())
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_planning_stays_quick_with_many_buckets(spark, hot):
+    """Nothing may be pushed down through the bucket search, which would multiply it."""
+    rows = F.when(F.col("id") < 10_000, -1).otherwise(F.col("id")) if hot else F.col("id")
+    df = spark.range(30_000).select(rows.alias("n"))
+    keyed = assign_keys(df, "n", "k", rows_per_bucket=60)
+    joined = keyed.join(spark.range(9).withColumnRenamed("id", "k"), "k").where("n > 3 OR k > 2")
+    start = time.perf_counter()
+    joined._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - start < 30
+    assert joined.count() == 6  # keys 3 to 8 either way
+
+
 def test_base_continues_a_sequence(spark):
     df = spark.range(3)
     top = df.select(F.max("id") + 10).scalar()
