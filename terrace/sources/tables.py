@@ -2,8 +2,9 @@
 
 Plain Parquet tables have no atomic replace, and Spark refuses to overwrite a table that
 the query reads. A replacement is therefore written to a new directory first and the
-table is pointed at it afterwards: readers see the old rows or the new ones, and a job
-that fails leaves the table as it was. A format with transactions (Delta, Iceberg)
+table is pointed at it afterwards: a job that fails leaves the table as it was, and with
+an unchanged schema readers see the old rows or the new ones. A changed schema means
+dropping and creating the table, between which it is missing for a moment. A format with transactions (Delta, Iceberg)
 replaces in one commit instead.
 """
 
