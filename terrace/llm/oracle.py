@@ -3,3 +3,89 @@
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE["op3_chat_format"] = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, turn, role, '\### Assistant: </turn> ok'
+  FROM (VALUES (0, 'user'), (1, 'assistant')) AS own (turn, role)
+), escaped AS (
+  SELECT *,
+    length(replace(replace(role, '\', '\b'), '<', '\l')) AS role_chars,
+    length(replace(replace(text, '\', '\b'), '<', '\l')) AS text_chars,
+    coalesce(role <> lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), true) AS opens
+  FROM said
+)
+SELECT
+  conv_id,
+  count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(6 + text_chars + CASE WHEN opens THEN 13 + role_chars ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM escaped
+GROUP BY conv_id
+"""
+
+# The measures of one document, its id being row_number, so that repeated ids stay apart.
+_MEASURED = rf"""
+numbered AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+    {WORDS.format('text')} AS words
+  FROM documents
+), lines AS (
+  SELECT r, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines FROM (
+    SELECT r, line, count(*) AS n
+    FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM numbered)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line
+  ) GROUP BY r
+), windows AS (
+  SELECT r, i, array_to_string(words[i:i + 4], ' ') AS w
+  FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM numbered)
+), repeated AS (
+  SELECT r, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT r, unnest(range(i, i + 5)) AS p
+    FROM (SELECT *, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1
+  ) GROUP BY r
+), measured AS (
+  SELECT d.r, doc_id, host, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM numbered d LEFT JOIN lines l ON d.r = l.r LEFT JOIN repeated p ON d.r = p.r
+)"""
+
+ORACLE["op4_host_rules"] = rf"""
+WITH {_MEASURED}, failures AS (
+  SELECT host, rule, count(*) AS n, sum(CASE WHEN failed THEN 1 ELSE 0 END) AS f FROM (
+    SELECT host, unnest(['short', 'repeats', 'lines', 'symbols']) AS rule,
+      unnest([n_words < 10, 100 * n_repeat_words > 20 * n_words,
+              100 * n_dup_lines > 50 * n_words, 100 * n_symbols > 200 * n_words]) AS failed
+    FROM measured
+  ) GROUP BY host, rule
+), moments AS (
+  SELECT rule, sum(n) AS docs, count(*) AS hosts, sum(f) / sum(n) AS mean,
+    sum(f * f / n) AS squares, sum(n * n) AS sizes
+  FROM failures GROUP BY rule
+), priors AS (
+  SELECT rule, mean, greatest(mean * (1 - mean) / greatest(
+      (squares - docs * mean * mean - (hosts - 1) * mean * (1 - mean))
+      / greatest(docs - sizes / docs - (hosts - 1), 1.0), 1e-6) - 1, 1.0) AS strength
+  FROM moments
+), rates AS (
+  SELECT host, n, strength, (f + mean * strength) / (n + strength) AS rate
+  FROM failures JOIN priors USING (rule)
+), bad AS (
+  SELECT DISTINCT host FROM rates
+  WHERE rate - 3.0 * sqrt(rate * (1 - rate) / (n + strength + 1)) > 0.5
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+    AND host NOT IN (SELECT host FROM bad) AS kept
+FROM measured
+"""
