@@ -8,8 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import bpe, chat, host_rules, language, packing, secret_scan, warc
-from terrace.llm.common import reach
+from terrace.llm import (
+    bpe,
+    brown,
+    chat,
+    host_rules,
+    language,
+    multi_index,
+    packing,
+    secret_scan,
+    warc,
+)
+from terrace.llm.common import put, reach
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,3 +154,19 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
         suffix=F.regexp_extract(host, r"([^.]*)$", 1),
     )
     return found.withColumnRenamed("doc_id", "page_id")
+
+
+@query
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    vectors = put(multi_index.usable(table(spark, sf_dir, "embeddings")))
+    centres = multi_index.fit(vectors)
+    indexed = multi_index.index(vectors, centres)
+    queries = indexed.filter(F.col("vec_id") % 20 == 0).select("vec_id", "vector")
+    return multi_index.search(indexed, queries, centres, k=20)
+
+
+@query
+def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the class model and by single words."""
+    return brown.score(table(spark, sf_dir, "documents"))
