@@ -30,21 +30,30 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def stage(function):
+    """A stage whose Python workers find this package."""
+    return lambda spark, docs, sf_dir: function(reach(spark), docs, sf_dir)
+
+
+@stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.withColumn("label", F.col("lang")))
     found = language.identify(docs, model, declared=F.col("lang"), host=F.col("source"))
     return without(docs, found.filter(~F.col("kept")))
 
 
+@stage
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(docs, host_rules.judge(docs).filter(~F.col("kept")))
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.join(docs)
     return without(docs, found.filter("component_id != doc_id"))
 
 
+@stage
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     redacted = secret_scan.redact(docs.select(*COLUMNS), path, public_tokenizers.PATTERN)
@@ -52,12 +61,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return redacted.withColumn("n_chars", F.when(F.col("text").isNotNull(), changed))
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     packed = packing.pack(packing.decompose(docs, path, public_tokenizers.PATTERN))
-    return packed.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket"
-    )
+    digest = F.crc32("ids").alias("ids_crc32")
+    names = ("doc_id", "start", "length", digest, "doc_tokens", "sequence_id", "offset", "bucket")
+    return packed.select(*names)
 
 
 STAGES = [
@@ -74,10 +84,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each stage's rows are written and read again."""
-    reach(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        kept = stage(spark, docs, sf_dir)
+    for _, function in STAGES:
+        kept = function(spark, docs, sf_dir)
         path = folder(spark, "pipeline")
         kept.write.parquet(path)
         docs = spark.read.schema(kept.schema).parquet(path)

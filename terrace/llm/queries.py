@@ -13,6 +13,7 @@ from terrace.llm import (
     brown,
     chat,
     host_rules,
+    jaccard,
     language,
     multi_index,
     packing,
@@ -170,3 +171,9 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by the class model and by single words."""
     return brown.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of shingle sets."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
