@@ -189,7 +189,8 @@ def gains(rest: np.ndarray, out: np.ndarray, into: np.ndarray, self_pairs: float
 
     ``out`` and ``into`` count the word's neighbours by class, ``rest`` all other pairs.
     """
-    rows, columns = rest.sum(1), rest.sum(0)
+    # Whichever class the word joins, its neighbours' classes get these pairs back.
+    rows, columns = rest.sum(1) + into, rest.sum(0) + out
     before = _entropy(rest)
     as_row = _entropy(rest + out[None, :]) - before
     as_column = _entropy(rest + into[:, None]) - before

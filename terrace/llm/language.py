@@ -11,11 +11,12 @@ Four kinds of evidence meet in one posterior per document:
   host's towards its suffix's, that towards all documents'.
 
 ``und`` stands for no known language: every trigram equally likely. A document is kept unless
-``und`` has most of the posterior or there is no text.
+``und`` has most of the posterior or there is nothing but white space; a text too short for a
+trigram is judged by the other evidence.
 
 Documents are scored once and the scores staged; sums are made in the map tasks first; host
 priors are joined back with salt, so that a host with a third of all documents is spread.
-NULL and empty texts are ``und`` and rejected; a NULL host, suffix or declaration is ''; repeated
+NULL, empty and blank texts are ``und`` and rejected; a NULL host, suffix or declaration is ''; repeated
 rows count as often as they come; other columns are ignored.
 """
 
@@ -189,12 +190,13 @@ def identify(
         tag.alias("declared"),
         text_of(host).alias("host"),
         text_of(suffix).alias("suffix"),
+        F.coalesce(F.col(text_col).rlike(r"\S"), F.lit(False)).alias("has_text"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
     )
     base = [np.log((1 - UNKNOWN_SHARE) / max(1, width - 1))] * (width - 1) + [np.log(UNKNOWN_SHARE)]
     base = F.array(*[F.lit(float(x)) for x in base])
     scored = put(score(rows, model).withColumn("shares", normalised(plus(F.col("evidence"), base))))
-    heard = scored.filter("n_grams > 0")
+    heard = scored.filter("has_text and n_grams > 0")
 
     # All levels from one grouping: its rows are at most declarations times hosts.
     cells = put(_totals(heard, ["suffix", "host", "declared"], "shares", width))
@@ -239,12 +241,12 @@ def identify(
     joined = scored.withColumn("salt", salt).join(priors, ["suffix", "host", "salt"], "left")
     prior = F.transform(F.coalesce("prior", overall_prior), lambda p: F.log(p))
     posterior = normalised(plus(plus(F.col("evidence"), prior), said))
-    best = joined.select("doc_id", "n_grams", "shares", posterior.alias("posterior"))
+    best = joined.select("doc_id", "n_grams", "has_text", "shares", posterior.alias("posterior"))
     labels = F.array(*[F.lit(n) for n in names])
 
     def named(shares: str) -> Column:
         place = F.array_position(shares, F.array_max(shares)).cast("int") - 1
-        return F.when(F.col("n_grams") > 0, F.get(labels, place)).otherwise(UNKNOWN)
+        return F.when(F.col("has_text"), F.get(labels, place)).otherwise(UNKNOWN)
 
     lang = named("posterior")
     found = best.select(
