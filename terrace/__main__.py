@@ -9,8 +9,8 @@ from pyspark.sql import SparkSession
 
 from terrace.config import Layout, Run
 from terrace.plans.refresh import STAGES, full_refresh
-from terrace.plans.stages import outcomes_frame
-from terrace.sources.readers import CatalogSource, FileSource
+from terrace.plans.stages import Outcome, outcomes_frame
+from terrace.sources.readers import CatalogSource, DatabaseSource, FileSource
 
 
 def arguments(words: list[str] | None = None) -> argparse.Namespace:
@@ -19,6 +19,9 @@ def arguments(words: list[str] | None = None) -> argparse.Namespace:
     source = parser.add_mutually_exclusive_group(required=True)
     source.add_argument("--source-schema", help="catalog schema that holds the source tables")
     source.add_argument("--source-files", help="path of a source table, with {table} in it")
+    source.add_argument("--source-url", help="JDBC address; each table is read by one task")
+    parser.add_argument("--source-url-schema", default="public", help="schema behind the address")
+    parser.add_argument("--shuffled-bytes", type=int, help="size of the largest shuffle")
     parser.add_argument("--warehouse-path", help="folder in which databases are created")
     parser.add_argument("--control-db", default="pipeline_control")
     parser.add_argument("--bronze-db", default="bronze")
@@ -45,13 +48,20 @@ def main(words: list[str] | None = None) -> None:
         link_bronze=given.link_bronze,
     )
     run = Run(given.at) if given.at else Run()
-    by_catalog = given.source_schema is not None
-    source = CatalogSource(given.source_schema) if by_catalog else FileSource(given.source_files)
-    for stage, outcomes in full_refresh(spark, layout, run, source, given.stages).items():
+    if given.source_schema:
+        source = CatalogSource(given.source_schema)
+    elif given.source_files:
+        source = FileSource(given.source_files)
+    else:
+        source = DatabaseSource(given.source_url, given.source_url_schema, unsplit=True)
+
+    def report(stage: str, outcomes: list[Outcome]) -> None:
         if outcomes:
             print(stage)
             outcomes_frame(spark, outcomes).orderBy("table_name").show(len(outcomes), False)
 
+    full_refresh(spark, layout, run, source, given.stages, report, given.shuffled_bytes)
+
 
 if __name__ == "__main__":
     main()

@@ -52,6 +52,8 @@ class Run:
     execution_time: datetime = field(default_factory=lambda: datetime.now().replace(microsecond=0))
     parallel_tables: int = 8
     stable_keys: bool = True
+    # Count repeated rows of each bronze table: one more scan, of all columns.
+    count_duplicates: bool = True
 
     @property
     def as_of(self) -> date:

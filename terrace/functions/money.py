@@ -10,16 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PRICE = "decimal(16,4)"
-QUANTITY = "decimal(14,3)"
 LINE_AMOUNT = "decimal(18,2)"
 TOTAL = "decimal(20,2)"
 
 
 def line_total(price: str, quantity: str) -> Column:
-    """Price times quantity, rounded half up to cents; floating inputs become decimals first."""
-    product = F.col(price).cast(PRICE) * F.col(quantity).cast(QUANTITY)
-    return F.round(product, 2).cast(LINE_AMOUNT)
+    """Price times quantity as their types multiply, rounded once, half up, to cents."""
+    return F.round(F.col(price) * F.col(quantity), 2).cast(LINE_AMOUNT)
 
 
 def cents(amount: str) -> Column:

@@ -13,7 +13,7 @@ from terrace.operators.keys import assign_keys, extend_keys
 
 def date_dimension(df: DataFrame, column: str) -> DataFrame:
     """One row per distinct date present in ``column``; not a gap-free calendar."""
-    days = df.select(F.to_date(column).alias("full_date")).where("full_date IS NOT NULL")
+    days = df.select(F.col(column).try_cast("date").alias("full_date")).where("full_date IS NOT NULL")
     return days.distinct().select(
         *[e.alias(name) for name, e in calendar_attributes("full_date").items()]
     )

@@ -21,7 +21,7 @@ def keyed_invoices(
     These keys belong to the invoice, so they are looked up there, on the smaller side,
     and reach the lines with the one join that lines and invoices need in any case.
     """
-    dated = invoices.withColumn("_day", F.to_date("InvoiceDate"))
+    dated = invoices.withColumn("_day", F.col("InvoiceDate").try_cast("date"))
     keyed = lookup(
         dated, current_rows(customers), {"CustomerId": "customer_id"}, CUSTOMER_KEYS, "inner"
     )
@@ -76,7 +76,7 @@ def dropped_lines(
     """
     found = F.lit(True)
     members = current_rows(customers).select("customer_id", found.alias("_customer"))
-    bills = invoices.select("InvoiceId", "CustomerId", F.to_date("InvoiceDate").alias("_day"))
+    bills = invoices.select("InvoiceId", "CustomerId", F.col("InvoiceDate").try_cast("date").alias("_day"))
     bills = lookup(bills, members, {"CustomerId": "customer_id"}, {"_customer": "_customer"})
     bills = bills.withColumn("_invoice", found)
     flags = {f: f for f in ("_invoice", "_customer", "_day")}

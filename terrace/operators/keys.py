@@ -1,10 +1,11 @@
-"""Dense surrogate keys: 1..n in natural-key order, at any size.
-
-A window over the whole table would move every row to one task. Beyond a counted size
-the key range is cut at sampled split points instead; each bucket numbers its own rows
-and adds the row count of the buckets before it. The split points are literals in the
-plan, so a recomputed stage puts every row in the same bucket again, and they influence
-only the balance of the work, never the result.
+"""Dense surrogate keys: 1..n in natural-key order, by one plan for every size.
+
+A window over the whole table would move every row to one task. Rows are instead sorted into
+key ranges by Spark, numbered within each range where they lie, and staged; the number of rows
+in the ranges before is added on reading. Staged numbers stay what they are, whatever has to
+be recomputed later. A key shared by very many rows is cut into several ranges by a hash of
+the row; only exact copies of one row stay together. Rows are carried along without being
+compared, so that columns of any type may come with them.
 """
 
 from __future__ import annotations
@@ -13,15 +14,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from terrace.functions.names import free_name, quoted
 from terrace.sources.staging import stage
 
-ROWS_PER_BUCKET = 1_000_000
-BUCKETS_PER_SHARE = 4  # smaller buckets even out over the tasks
-MAX_BUCKETS = 2048
-SAMPLES_PER_BUCKET = 30
-COPIES_PER_TASK = 100_000
+_WITHIN = 33  # bits of monotonically_increasing_id that count within a partition
 
 
 def assign_keys(
@@ -30,25 +27,18 @@ def assign_keys(
     key: str,
     base: int | Column = 0,
     key_type: str = "int",
-    rows: int | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Prepend ``key``: ``base`` plus the row's position in ``order_by`` order, NULLs first.
 
-    ``base`` may be a scalar subquery, such as the highest key in use. ``rows`` is the
-    row count or an upper bound of it, where the caller has one; otherwise the rows are
-    counted now. Larger inputs are also sampled now.
+    ``base`` may be a scalar subquery, such as the highest key in use. Rows are sorted and
+    staged when this is called.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
-    rows = df.count() if rows is None else rows
-    if rows <= rows_per_bucket:
-        position = F.row_number().over(Window.orderBy(*order))  # few rows, see above
-        numbered = df.withColumn("_position", position)
-    else:
-        numbered = _number_in_buckets(df, order, rows, rows_per_bucket)
+    position = free_name("_position", df.columns)
+    numbered = placed(df, order, position)
     start = base if isinstance(base, Column) else F.lit(base)
-    final = (F.col("_position") + start).cast(key_type).alias(key)
-    return numbered.select(final, *[F.col(f"`{c}`") for c in df.columns])
+    final = (F.col(position) + start).cast(key_type).alias(key)
+    return numbered.select(final, *map(quoted, df.columns))
 
 
 def extend_keys(
@@ -57,113 +47,78 @@ def extend_keys(
     natural: str,
     key: str,
     reserved: Column | None = None,
-    **options,
+    key_type: str = "int",
 ) -> DataFrame:
     """Keep the keys that ``known`` (natural, key) already gives; number the rest after them.
 
-    ``reserved`` raises the floor for new keys, so that a number still referenced
-    elsewhere is not given out again. New rows, usually few, are staged: numbering them
-    takes several passes. Where ``known`` lists a natural key twice its lower key counts.
+    Of several rows with one natural key, NULL included, the first takes the lowest key known
+    for it, the second the next, and so on, so that every row has a key of its own.
+    ``reserved`` raises the floor for new keys, so that a number given out before, or still
+    referenced elsewhere, is not given out again.
+
+    Rows are staged once, and joined once, with their new keys by position; all else moves
+    natural keys and numbers only.
     """
-    highest = highest_key(known, key)
-    known = known.groupBy(F.col(natural).alias("_natural")).agg(F.min(key).alias("_known_key"))
-    same = F.col(natural) == F.col("_natural")
-    kept = df.join(known, same).select(F.col("_known_key").alias(key), *df.columns)
-    new = stage(df.join(known, same, "left_anti"))
-    options["rows"] = new.count()
+    position = free_name("_position", df.columns, [key])
+    rows = placed(df, [natural], position)
+    given = known.select(F.col(quoted(natural)).alias("natural"), F.col(quoted(key)).alias("key"))
+    given = _ordinals(placed(given, ["natural", "key"], "position"))
+    own = rows.select(F.col(position).alias("position"), F.col(quoted(natural)).alias("natural"))
+    given = given.select(*[F.col(c).alias(f"known_{c}") for c in ("natural", "nth", "key")])
+    same = F.col("natural").eqNullSafe(F.col("known_natural")) & (F.col("nth") == F.col("known_nth"))
+    matched = stage(
+        _ordinals(own).join(given, same, "left").select("position", F.col("known_key").alias("key"))
+    )
+    floor = highest_key(known, key)
     if reserved is not None:
-        highest = F.greatest(highest, reserved)
-    return kept.unionByName(assign_keys(new, natural, key, base=highest, **options))
+        floor = F.greatest(floor, reserved)
+    fresh = placed(matched.where("key IS NULL").select("position"), ["position"], "nth")
+    fresh = fresh.select("position", (floor + F.col("nth")).cast(key_type).alias("key"))
+    kept = matched.where("key IS NOT NULL").withColumn("key", F.col("key").cast(key_type))
+    keyed = kept.unionByName(fresh).select(F.col("position").alias(position), F.col("key").alias(key))
+    return rows.join(keyed, position).select(quoted(key), *map(quoted, df.columns))
 
 
 def highest_key(df: DataFrame, key: str) -> Column:
     """The largest key in use, 0 for an empty table, as a scalar subquery."""
-    return df.select(F.coalesce(F.max(key), F.lit(0))).scalar()
-
-
-def _number_in_buckets(
-    df: DataFrame, order: list[str], rows: int, rows_per_bucket: int
-) -> DataFrame:
-    buckets = min(MAX_BUCKETS, BUCKETS_PER_SHARE * -(-rows // rows_per_bucket))
-    counted, spread = df.withColumn("_copies", F.lit(1)), order
-    splits, repeated = _split_points(df, order, rows, buckets)
-    if repeated:
-        # One natural key fills whole buckets. Identical rows become one row with a
-        # count, and a hash of the row divides those that differ.
-        collapsed = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-        counted = collapsed.withColumn("_tie", F.xxhash64(*df.columns))
-        spread = [*order, "_tie"]
-        splits, _ = _split_points(
-            df.withColumn("_tie", F.xxhash64(*df.columns)), spread, rows, buckets
-        )
-    placed = _with_bucket(counted, spread, splits)
-
-    sizes = placed.groupBy("_bucket").agg(F.sum("_copies").alias("_size"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(  # at most MAX_BUCKETS rows
-        "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+    return df.select(F.coalesce(F.max(quoted(key)), F.lit(0))).scalar()
+
+
+def placed(df: DataFrame, order: Sequence[str], position: str) -> DataFrame:
+    """The rows, staged, with their position from 1 in the order of the columns, NULLs first."""
+    at = free_name("_at", df.columns, [position])
+    tie = free_name("_tie", df.columns)
+    ends = [*map(quoted, order), tie]
+    ranges = df.withColumn(tie, fingerprint(df)).repartitionByRange(*ends)
+    sorted_rows = ranges.sortWithinPartitions(*ends).drop(tie)
+    staged = stage(sorted_rows.withColumn(at, F.monotonically_increasing_id()), spread=False)
+
+    part = F.shiftright(at, _WITHIN)
+    sizes = staged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(  # one row per range
+        F.col("part").alias(f"{at}_part"),
+        F.coalesce(F.sum("size").over(before), F.lit(0)).alias(f"{at}_before"),
     )
-    within = Window.partitionBy("_bucket").orderBy(*spread)
-    if not repeated:
-        ranked = placed.withColumn("_rank", F.row_number().over(within))
-        ranked = ranked.join(F.broadcast(offsets), "_bucket", "left")
-        return ranked.withColumn("_position", F.col("_offset") + F.col("_rank"))
-
-    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.col("_offset") + F.sum("_copies").over(upto)
-    spans = placed.join(F.broadcast(offsets), "_bucket", "left").withColumn("_last", last)
-    first = F.col("_last") - F.col("_copies") + 1
-    step = F.lit(COPIES_PER_TASK).cast("bigint")
-    pieces = spans.withColumn("_from", F.explode(F.sequence(first, F.col("_last"), step)))
-    pieces = pieces.repartition("_from")
-    upper = F.least(F.col("_from") + step - 1, F.col("_last"))
-    return pieces.withColumn("_position", F.explode(F.sequence("_from", upper)))
-
-
-def _split_points(
-    df: DataFrame, order: list[str], rows: int, buckets: int
-) -> tuple[list[tuple], bool]:
-    """Ascending distinct split points from a bounded sample, and whether any came up twice."""
-    wanted = buckets * SAMPLES_PER_BUCKET
-    sample = df.select(*order).sample(min(1.0, wanted / rows), seed=7)
-    ranked = sample.select(F.struct(*order).alias("s")).orderBy("s").limit(2 * wanted)
-    points = [tuple(r["s"]) for r in ranked.collect()]
-    chosen = [points[i * len(points) // buckets] for i in range(1, buckets)] if points else []
-    distinct = list(dict.fromkeys(chosen))
-    return distinct, len(distinct) < len(chosen)
-
-
-def _with_bucket(df: DataFrame, order: list[str], splits: list[tuple]) -> DataFrame:
-    """Add ``_bucket``: how many split points are at or below the row.
-
-    A binary search in literal arrays, as one expression of fixed size: log2(buckets)
-    comparisons per row, and nothing that the optimizer could multiply by pushing filters
-    through it.
-    """
-    if not splits:
-        return df.withColumn("_bucket", F.lit(0))
-    types = df.select(*order).schema
-    values = [
-        F.array(*[F.lit(point[i]) for point in splits]).cast(T.ArrayType(f.dataType))
-        for i, f in enumerate(types)
+    joined = staged.join(F.broadcast(offsets), part == F.col(f"{at}_part"))
+    within = F.col(at).bitwiseAND(F.lit((1 << _WITHIN) - 1))
+    number = F.col(f"{at}_before") + within + 1
+    return joined.select(*map(quoted, df.columns), number.alias(position))
+
+
+def fingerprint(df: DataFrame) -> Column:
+    """A 64-bit hash of the row; maps, which cannot be hashed, as their sorted entries."""
+    maps = [f.name for f in df.schema if "map<" in f.dataType.simpleString()]
+    parts = [
+        F.to_json(F.struct(F.col(quoted(c)).alias("c"))) if c in maps else F.col(quoted(c))
+        for c in df.columns
     ]
-    row = [F.col(c) for c in order]
-    halves = [1 << i for i in reversed(range(len(splits).bit_length()))]
-
-    def narrowed(found: Column, half: Column) -> Column:
-        reach = found + half
-        point = [F.get(array, reach - 1) for array in values]
-        fits = (reach <= len(splits)) & _at_most(point, row)
-        return F.when(fits, reach).otherwise(found)
-
-    search = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), narrowed)
-    return df.withColumn("_bucket", search)
-
-
-def _at_most(left: list[Column], right: list[Column]) -> Column:
-    """left <= right, column by column, with NULLs first."""
-    low, high = left[0], right[0]
-    if len(left) == 1:
-        return F.coalesce(low <= high, low.isNull())
-    below = F.coalesce(low < high, low.isNull() & high.isNotNull())
-    return below | (low.eqNullSafe(high) & _at_most(left[1:], right[1:]))
+    return F.xxhash64(*parts)
+
+
+def _ordinals(df: DataFrame) -> DataFrame:
+    """Add ``nth``: the row's place, from 0, among rows with its ``natural`` key."""
+    firsts = df.groupBy("natural").agg(F.min("position").alias("first"))
+    firsts = firsts.withColumnRenamed("natural", "first_natural")
+    joined = df.join(firsts, F.col("natural").eqNullSafe(F.col("first_natural")))
+    return joined.withColumn("nth", F.col("position") - F.col("first"))

@@ -16,11 +16,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions.names import free_name, quoted
+from terrace.operators.keys import fingerprint
 from terrace.sources.staging import stage
 
-# Hash sets up to this many entries (16 bytes each) are sent to every executor.
-BROADCAST_HASHES = 4_000_000
-
 
 class Rule(NamedTuple):
     name: str
@@ -85,11 +84,12 @@ def split(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
 def violating_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per broken rule: the row's columns, then rule and column name."""
     _, failed = split(df, rules)
-    exploded = failed.withColumn("violation", F.explode(violations(rules)))
+    broken = free_name("violation", df.columns)
+    exploded = failed.withColumn(broken, F.explode(violations(rules)))
     return exploded.select(
-        *df.columns,
-        F.col("violation.rule").alias("failed_rule"),
-        F.col("violation.column").alias("failed_column"),
+        *map(quoted, df.columns),
+        F.col(broken)["rule"].alias("failed_rule"),
+        F.col(broken)["column"].alias("failed_column"),
     )
 
 
@@ -107,6 +107,9 @@ def quality_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def rule_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Violations per rule, including rules nobody broke."""
     check_columns(df, rules)
+    if not rules:
+        columns = "rule string, column string, violations bigint"
+        return df.sparkSession.createDataFrame([], columns)
     counted = df.agg(*[F.count_if(~r.holds).alias(f"v{i}") for i, r in enumerate(rules)])
     rows = F.array(
         *[
@@ -129,7 +132,7 @@ def quarantine_records(
     NULL fields are kept in the JSON so that the row can be restored from it.
     """
     _, failed = split(df, rules)
-    whole_row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    whole_row = F.to_json(F.struct(*map(quoted, df.columns)), {"ignoreNullFields": "false"})
     broken = failed.select(violations(rules).alias("broken"), whole_row.alias("record_data"))
     labels = F.transform("broken", lambda v: F.concat(v["rule"], F.lit(":"), v["column"]))
     return broken.select(
@@ -193,31 +196,28 @@ def null_counts(df: DataFrame) -> DataFrame:
     return counted.select(F.inline(rows))
 
 
-def duplicate_counts(df: DataFrame, broadcast_limit: int = BROADCAST_HASHES) -> DataFrame:
+def duplicate_counts(df: DataFrame) -> DataFrame:
     """One row: how many full rows repeat an earlier one (``duplicates``).
 
-    Whole rows are not shuffled to find out. Their 64-bit hashes are counted first;
-    only rows whose hash repeats are then compared in full, so hash collisions cannot
-    distort the result. A row copied many times collapses in the map-side aggregate of
-    either step. Should the repeated hashes be too many to broadcast, all rows are
-    compared. The first step runs when called.
+    Whole rows are not shuffled to find out. Their 64-bit hashes are counted first; only rows
+    whose hash repeats are then compared in full, so that hash collisions cannot distort the
+    result. Spark chooses how to join the repeated hashes by their true size. A row copied
+    many times collapses in the map-side aggregate of either step. Maps are compared by their
+    JSON. The first step runs when called.
     """
-    fingerprint = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    mark = free_name("_fingerprint", df.columns)
+    copies = free_name("_copies", df.columns)
     repeated = stage(
-        df.groupBy(fingerprint.alias("_fingerprint"))
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1")
+        df.groupBy(fingerprint(df).alias(mark)).agg(F.count(F.lit(1)).alias(copies)).where(f"{copies} > 1")
     )
-    found, suspects = repeated.count(), df
-    if not found:
-        return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("duplicates"))
-    if found <= broadcast_limit:
-        suspects = (
-            df.withColumn("_fingerprint", fingerprint)
-            .join(F.broadcast(repeated.select("_fingerprint")), "_fingerprint", "left_semi")
-            .drop("_fingerprint")
-        )
-    groups = suspects.groupBy(*[F.col(f"`{c}`") for c in df.columns])
+    marked = df.withColumn(mark, fingerprint(df))
+    suspects = marked.join(repeated.select(mark), mark, "left_semi")
+    maps = {f.name for f in df.schema if "map<" in f.dataType.simpleString()}
+    whole = [
+        F.to_json(F.struct(F.col(quoted(c)).alias("c"))) if c in maps else F.col(quoted(c))
+        for c in df.columns
+    ]
+    groups = suspects.groupBy(*[c.alias(f"c{i}") for i, c in enumerate(whole)])
     return groups.agg(F.count(F.lit(1)).alias("copies")).agg(
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates")
     )

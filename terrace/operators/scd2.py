@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions.compare import any_different
@@ -46,17 +46,16 @@ def version_counts(dimension: DataFrame) -> DataFrame:
 
 
 def unique_members(df: DataFrame, natural: str) -> DataFrame:
-    """The same rows, failing the job on a repeated natural key.
+    """The same rows; a repeated natural key, NULL included, is an error when this is called.
 
-    Numbering by the natural key uses the partitioning and order that the join on it
-    needs anyway, so the check adds no shuffle.
+    Natural keys alone are counted, in each task first, so that a key with very many rows
+    costs no task of its own.
     """
-    nth = F.row_number().over(Window.partitionBy(natural).orderBy(natural))
-    message = F.concat(
-        F.lit(f"duplicate {natural} in the incoming snapshot: "), F.col(natural).cast("string")
-    )
-    once = F.when(F.col("_nth") > 1, F.raise_error(message).cast("boolean")).otherwise(True)
-    return df.withColumn("_nth", nth).where(once).drop("_nth")
+    counted = df.groupBy(F.col(natural).alias("member")).agg(F.count(F.lit(1)).alias("copies"))
+    repeated = counted.where("copies > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"duplicate {natural} in the incoming snapshot: {repeated[0]['member']}")
+    return df
 
 
 def _opened(df: DataFrame, spec: Versioned, as_of: date) -> DataFrame:
@@ -91,7 +90,7 @@ def scd2_changes(
         *[F.col(c).alias(f"_was_{c}") for c in spec.tracked],
     )
     members = unique_members(incoming, spec.natural)
-    paired = members.join(current, F.col(spec.natural) == F.col("_member"), "left")
+    paired = members.join(current, F.col(spec.natural).eqNullSafe(F.col("_member")), "left")
     differs = any_different({f"_was_{c}": c for c in spec.tracked})
     action = (
         F.when(F.col("_key").isNull(), NEW)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrace.config import Layout, Run
 from terrace.operators.dimensions import date_dimension
@@ -10,7 +11,8 @@ from terrace.operators.facts import customer_totals, sales_fact
 from terrace.operators.keys import highest_key
 from terrace.operators.scd2 import scd2_apply, scd2_initial
 from terrace.plans import store_model as model
-from terrace.plans.stages import SUCCESS, Outcome, run_tables
+from terrace.plans.stages import FAILED, SUCCESS, Outcome, StageFailed, run_tables
+from terrace.sources import control
 from terrace.sources.tables import replace_table, table_exists
 
 # Gold tables; each group needs only tables of the groups before it.
@@ -22,6 +24,18 @@ GROUPS = [
     ["fact_sales_customer_agg"],
 ]
 GOLD_TABLES = [table for group in GROUPS for table in group]
+NEEDS = {
+    "dim_album": {"dim_artist"},
+    "dim_customer": {"dim_employee"},
+    "dim_track": {"dim_album", "dim_genre", "dim_media_type"},
+    "fact_sales": {"dim_date", "dim_customer", "dim_track", "dim_employee"},
+    "fact_sales_customer_agg": {"fact_sales"},
+}
+KEYS = {
+    **{f"dim_{e}": f"{e}_key" for e in ("artist", "genre", "media_type", "album", "track")},
+    "dim_employee": "employee_key",
+    "dim_customer": "customer_key",
+}
 
 
 class GoldBuilder:
@@ -31,11 +45,45 @@ class GoldBuilder:
         self.spark, self.layout, self.run = spark, layout, run
 
     def build(self) -> list[Outcome]:
-        outcomes = []
+        """Every table whose needs are met; what failed is raised at the end."""
+        outcomes: list[Outcome] = []
+        failed: set[str] = set()
         for group in GROUPS:
-            outcomes += run_tables("gold", group, self.store, self.run.parallel_tables)
+            lacking = {t: sorted(NEEDS.get(t, set()) & failed) for t in group}
+            ready = [t for t in group if not lacking[t]]
+            try:
+                done = run_tables("gold", ready, self.store, self.run.parallel_tables)
+            except StageFailed as stopped:
+                done = stopped.outcomes
+            done += [
+                Outcome(t, FAILED, detail=f"needs {', '.join(lacking[t])}")
+                for t in group
+                if lacking[t]
+            ]
+            failed |= {o.table for o in done if o.status == FAILED}
+            outcomes += done
+        log = [
+            (t, self.run.execution_time, self.highest(t), self.run.as_of)
+            for t in KEYS
+            if t not in failed
+        ]
+        control.log_rows(self.spark, self.layout, control.KEY_MARKS, log)
+        if failed:
+            raise StageFailed("gold", outcomes)
         return outcomes
 
+    def highest(self, name: str) -> int:
+        return self.gold(name).agg(F.coalesce(F.max(KEYS[name]), F.lit(0))).first()[0]
+
+    def given_out(self, name: str) -> Column:
+        """The highest key that any run has given out: it is not used again after its member left."""
+        marks = self.spark.read.table(self.layout.control(control.KEY_MARKS))
+        return highest_key(marks.where(F.col("table_name") == name), "highest_key").cast("int")
+
+    def keys(self, name: str) -> dict:
+        """How a dimension continues the keys of its stored version."""
+        return {"existing": self.known(name), "reserved": self.given_out(name)}
+
     def store(self, name: str) -> Outcome:
         target = self.layout.gold(name)
         replace_table(getattr(self, name)(), target, self.layout.table_format)
@@ -59,39 +107,27 @@ class GoldBuilder:
         return date_dimension(self.silver("invoice"), "InvoiceDate").orderBy("full_date")
 
     def dim_artist(self) -> DataFrame:
-        known = self.known("dim_artist")
-        return model.named_dimension(self.silver("artist"), "artist", existing=known)
+        return model.named_dimension(self.silver("artist"), "artist", **self.keys("dim_artist"))
 
     def dim_album(self) -> DataFrame:
-        known = self.known("dim_album")
-        return model.album_dimension(self.silver("album"), self.gold("dim_artist"), existing=known)
+        artists = self.gold("dim_artist")
+        return model.album_dimension(self.silver("album"), artists, **self.keys("dim_album"))
 
     def dim_genre(self) -> DataFrame:
-        known = self.known("dim_genre")
-        return model.named_dimension(self.silver("genre"), "genre", existing=known)
+        return model.named_dimension(self.silver("genre"), "genre", **self.keys("dim_genre"))
 
     def dim_media_type(self) -> DataFrame:
-        known = self.known("dim_media_type")
-        return model.named_dimension(self.silver("mediatype"), "media_type", existing=known)
+        types = self.silver("mediatype")
+        return model.named_dimension(types, "media_type", **self.keys("dim_media_type"))
 
     def dim_employee(self) -> DataFrame:
-        return model.employee_dimension(
-            self.silver("employee"),
-            existing=self.known("dim_employee"),
-            reserved=self.referenced_representatives(),
-        )
-
-    def referenced_representatives(self) -> Column | None:
-        """Customer versions keep a representative's key, so it must not be given out again."""
-        customers = self.stored("dim_customer")
-        return None if customers is None else highest_key(customers, "support_rep_key")
+        return model.employee_dimension(self.silver("employee"), **self.keys("dim_employee"))
 
     def dim_customer(self) -> DataFrame:
         customers, stored = self.silver("customer"), self.stored("dim_customer")
         incoming = model.incoming_customers(customers, self.gold("dim_employee"))
         if stored is None:
-            rows = customers.count()
-            return scd2_initial(incoming, model.CUSTOMER, self.run.as_of, rows=rows)
+            return scd2_initial(incoming, model.CUSTOMER, self.run.as_of)
         return scd2_apply(stored, incoming, model.CUSTOMER, self.run.as_of)
 
     def dim_track(self) -> DataFrame:
@@ -100,7 +136,7 @@ class GoldBuilder:
             self.gold("dim_album"),
             self.gold("dim_media_type"),
             self.gold("dim_genre"),
-            existing=self.known("dim_track"),
+            **self.keys("dim_track"),
         )
 
     def fact_sales(self) -> DataFrame:

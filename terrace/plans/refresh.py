@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,22 +10,32 @@ from terrace.config import Layout, Run
 from terrace.operators.audit import row_counts
 from terrace.plans import store_model as model
 from terrace.plans.gold import GOLD_TABLES, GoldBuilder
-from terrace.plans.stages import Outcome, extract, load_bronze, load_silver
+from terrace.plans.stages import Outcome, StageFailed, extract, load_bronze, load_silver
 from terrace.session import tune
 from terrace.sources.control import bootstrap
+from terrace.sources.staging import scratch
+from terrace.sources.tables import list_tables
 
 STAGES = ["bootstrap", "extract", "bronze", "silver", "gold"]
 
 
 def full_refresh(
-    spark: SparkSession, layout: Layout, run: Run, source, stages: Sequence[str] = STAGES
+    spark: SparkSession,
+    layout: Layout,
+    run: Run,
+    source,
+    stages: Sequence[str] = STAGES,
+    report: Callable[[str, list[Outcome]], None] = lambda stage, outcomes: None,
+    shuffled_bytes: int | None = None,
 ) -> dict[str, list[Outcome]]:
     """Source to star schema; the outcome of each table by stage.
 
-    A stage that fails for any table stops the refresh. ``stages`` selects some of the
+    A stage that fails for any table stops the refresh; ``report`` is called with the outcomes
+    of every stage, also of one that failed. Shuffles are sized by ``shuffled_bytes``, or else by
+    what the stage before has written. ``stages`` selects some of the
     stages, which run in their fixed order and meet only through stored tables.
     """
-    tune(spark)
+    tune(spark, shuffled_bytes)
     work = {
         "bootstrap": lambda: bootstrap(spark, layout, model.TABLES, run.as_of) or [],
         "extract": lambda: extract(spark, layout, run, source),
@@ -33,7 +43,30 @@ def full_refresh(
         "silver": lambda: load_silver(spark, layout, run, model.RULES, model.CLEANING),
         "gold": lambda: GoldBuilder(spark, layout, run).build(),
     }
-    return {name: work[name]() for name in STAGES if name in stages}
+    done = {}
+    with scratch(spark):
+        for name in STAGES:
+            if name not in stages:
+                continue
+            if shuffled_bytes is None and name in ("silver", "gold"):
+                tune(spark, largest_table(spark, layout.bronze_db))
+            try:
+                done[name] = work[name]()
+            except StageFailed as stopped:
+                report(name, stopped.outcomes)
+                raise
+            report(name, done[name])
+    return done
+
+
+def largest_table(spark: SparkSession, database: str) -> int:
+    """Bytes of the largest table of a database, as Spark's plans know them."""
+    plans = [
+        spark.read.table(f"{database}.{t}")._jdf.queryExecution().analyzed()
+        for t in list_tables(spark, database)
+    ]
+    sizes = [int(str(plan.stats().sizeInBytes())) for plan in plans]
+    return max(sizes, default=0)
 
 
 def gold_counts(spark: SparkSession, layout: Layout) -> DataFrame:

@@ -11,6 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrace.config import Layout, Run
@@ -118,25 +119,29 @@ def load_silver(
     rules: Mapping[str, Sequence[quality.Rule]],
     cleaning: Mapping[str, Treatments],
 ) -> list[Outcome]:
-    """Profile each bronze table, quarantine what breaks a rule, clean and store the rest."""
+    """Profile each bronze table, quarantine what breaks a rule, clean and store the rest.
+
+    One scan counts rows, rule outcomes and NULLs, one writes what passed, and one what
+    failed, if anything did; repeated rows cost one scan more and can be switched off.
+    """
     log: list[tuple] = []
+    profiles: list[tuple] = []
 
     def one(table: str) -> Outcome:
         bronze, table_rules = spark.read.table(layout.bronze(table)), rules.get(table, [])
-        seen = quality.profile(bronze, table_rules)
+        seen = quality.profile(bronze, table_rules, run.count_duplicates)
         if seen.failed:
-            rejected = quality.quarantine_records(bronze, table_rules, table, run.execution_time)
-            name = layout.control(control.QUARANTINE)
-            schema = control.SCHEMAS[control.QUARANTINE]
-            # Few rows out of many partitions: without this, as many tiny files.
-            rejected = rejected.hint("rebalance")
-            tables.append_table(rejected, name, schema, layout.table_format)
+            _quarantine(spark, layout, run, bronze, table_rules, table)
         passed, _ = quality.split(bronze, table_rules)
         cleaned, target = clean(passed, cleaning.get(table)), layout.silver(table)
         tables.replace_table(cleaned, target, layout.table_format)
         applied = quality.rules_as_json(table_rules)
         counts = (seen.total, seen.passed, seen.failed)
         log.append((table, run.execution_time, *counts, applied, run.as_of))
+        profiles.extend(
+            (table, run.execution_time, c, seen.nulls.get(c, 0), seen.duplicates, run.as_of)
+            for c in bronze.columns
+        )
         return _reconciled(spark, table, target, seen.passed)
 
     names = tables.list_tables(spark, layout.bronze_db)
@@ -144,6 +149,26 @@ def load_silver(
         return run_tables("silver", names, one, run.parallel_tables)
     finally:
         control.log_rows(spark, layout, control.QUALITY_LOG, log)
+        control.log_rows(spark, layout, control.PROFILE_LOG, profiles)
+
+
+def _quarantine(
+    spark: SparkSession,
+    layout: Layout,
+    run: Run,
+    bronze: DataFrame,
+    rules: Sequence[quality.Rule],
+    table: str,
+) -> None:
+    """Append the rejected rows of a table, unless an earlier attempt of this run has done so."""
+    name, schema = layout.control(control.QUARANTINE), control.SCHEMAS[control.QUARANTINE]
+    same_run = (F.col("table_name") == table) & (F.col("execution_time") == run.execution_time)
+    spark.catalog.refreshTable(name)
+    if not spark.read.table(name).where(same_run).isEmpty():
+        return
+    rejected = quality.quarantine_records(bronze, rules, table, run.execution_time)
+    # Few rows out of many partitions: without this, as many tiny files.
+    tables.append_table(rejected.hint("rebalance"), name, schema, layout.table_format)
 
 
 def _reconciled(spark: SparkSession, table: str, target: str, expected: int) -> Outcome:

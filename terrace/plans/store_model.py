@@ -130,7 +130,6 @@ def album_dimension(albums: DataFrame, artists: DataFrame, **options) -> DataFra
     on, take = {"ArtistId": "artist_id"}, {"artist_key": "artist_key"}
     owned = lookup(albums, artists, on, take, "inner")
     columns = _columns("album_id", album_title="Title", artist_key="artist_key")
-    options = {"rows": albums.count(), **options}  # the join only removes albums
     return keyed_dimension(owned, "album_key", "album_id", columns, **options)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 PARTITION_BYTES = 256 << 20
-MAX_PARTITIONS = 50_000
 
 SETTINGS = {
     # Re-plan at run time: merge small partitions, split skewed ones, and broadcast what
@@ -23,15 +22,16 @@ def tune(spark: SparkSession, shuffled_bytes: int | None = None) -> SparkSession
     """Apply the settings; with ``shuffled_bytes`` also size the shuffles.
 
     Adaptive execution merges partitions that are too small but does not cut ordinary
-    ones, so a large job has to start with enough of them, and merges up to the size that
-    also suits output files.
+    ones, so a large job has to start with enough of them. Small ones are then merged up to
+    the size that also suits output files, rather than kept for the sake of parallelism.
     """
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     if shuffled_bytes is not None:
-        wanted = min(MAX_PARTITIONS, -(-shuffled_bytes // PARTITION_BYTES))
+        wanted = -(-shuffled_bytes // PARTITION_BYTES)
         if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
             spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", wanted)
             spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", PARTITION_BYTES)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     return spark

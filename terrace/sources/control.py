@@ -11,11 +11,13 @@ from pyspark.sql import types as T
 from terrace.config import Layout
 from terrace.sources.tables import append_table, create_database
 
-# Names of the control tables.
+# Names of the control tables, and their columns in SCHEMAS below.
 SOURCES = "pipeline_metadata_parent"
 EXTRACTIONS = "pipeline_metadata_child"
 QUALITY_LOG = "dqx_execution_log"
 QUARANTINE = "dqx_quarantine"
+PROFILE_LOG = "column_profile_log"
+KEY_MARKS = "surrogate_key_marks"
 
 _TEXT, _TIME, _DAY, _ROWS = T.StringType(), T.TimestampType(), T.DateType(), T.LongType()
 
@@ -62,6 +64,20 @@ SCHEMAS = {
         ("record_data", _TEXT, "The row as JSON"),
         ("created_date", _DAY, "Row created"),
     ),
+    PROFILE_LOG: _schema(
+        ("table_name", _TEXT, "Profiled table"),
+        ("execution_time", _TIME, "Start of the run"),
+        ("column_name", _TEXT, "Column"),
+        ("null_count", _ROWS, "NULLs in the column"),
+        ("duplicate_rows", _ROWS, "Rows of the table that repeat another", NULLABLE),
+        ("created_date", _DAY, "Row created"),
+    ),
+    KEY_MARKS: _schema(
+        ("table_name", _TEXT, "Dimension"),
+        ("execution_time", _TIME, "Start of the run"),
+        ("highest_key", _ROWS, "Highest key in use at that time"),
+        ("created_date", _DAY, "Row created"),
+    ),
 }
 
 COMMENTS = {
@@ -69,6 +85,8 @@ COMMENTS = {
     EXTRACTIONS: "One row per table and extraction",
     QUALITY_LOG: "One row per table and quality check",
     QUARANTINE: "Rejected rows with the rules they broke",
+    PROFILE_LOG: "NULLs per column and repeated rows per table and run",
+    KEY_MARKS: "How far the keys of a dimension had been given out",
 }
 
 

@@ -43,7 +43,9 @@ class FrameSource:
 
 @dataclass(frozen=True)
 class DatabaseSource:
-    """Tables behind JDBC, each read in parallel where ``predicates`` divide it.
+    """Tables behind JDBC, each read in parallel as ``predicates`` divide it.
+
+    A table without predicates is read by a single task, and only if ``unsplit`` allows it.
 
     Each predicate is one task and one connection; together they must cover every row
     once. Predicates let the caller cut a skewed key evenly, which an equal-width
@@ -54,8 +56,11 @@ class DatabaseSource:
     schema: str
     properties: Mapping[str, str] = field(default_factory=dict)
     predicates: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    unsplit: bool = False
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
+        if table not in self.predicates and not self.unsplit:
+            raise ValueError(f"no predicates divide {table}; allow unsplit reads or give some")
         return spark.read.jdbc(
             self.url,
             f"{self.schema}.{table}",

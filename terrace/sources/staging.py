@@ -2,36 +2,62 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_kept: list[list[str]] = []  # what each open ``scratch`` block has staged
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent a temporary folder is used, in local mode only.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="terrace-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, spread: bool = True) -> DataFrame:
     """Write ``df`` once and return it as a Parquet relation.
 
     Unlike a cached plan the result survives the loss of executors, and unlike a
     checkpoint it keeps column pruning and has a true size, so that joins choose their
     strategy from what was really written. Rows are spread over files of a sensible size,
-    since what is staged is often a thin remainder of a wide job.
+    since what is staged is often a thin remainder of a wide job; without ``spread`` the
+    partitions stay as they are.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
-    df.hint("rebalance").write.mode("errorifexists").parquet(path)
+    for open_block in _kept:
+        open_block.append(path)
+    (df.hint("rebalance") if spread else df).write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete at the end what is staged inside; nothing may read it afterwards."""
+    staged: list[str] = []
+    _kept.append(staged)
+    try:
+        yield
+    finally:
+        _kept.remove(staged)
+        for path in staged:
+            remove_folder(spark, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it lies."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(time of change, name) of the folders in a folder, oldest first."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return []
+    found = [f for f in files.listStatus(target) if f.isDirectory()]
+    return sorted((f.getModificationTime(), f.getPath().getName()) for f in found)

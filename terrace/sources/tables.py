@@ -4,18 +4,27 @@ Plain Parquet tables have no atomic replace, and Spark refuses to overwrite a ta
 the query reads. A replacement is therefore written to a new directory first and the
 table is pointed at it afterwards: a job that fails leaves the table as it was, and with
 an unchanged schema readers see the old rows or the new ones. A changed schema means
-dropping and creating the table, between which it is missing for a moment. A format with transactions (Delta, Iceberg)
-replaces in one commit instead.
+dropping and creating the table, between which it is missing for a moment. A format with
+transactions (Delta, Iceberg) replaces in one commit instead.
+
+Of the directories of a table the newest ``VERSIONS_KEPT`` stay, so that jobs which still read
+the version before can end; what failed jobs left behind goes with the older ones.
 """
 
 from __future__ import annotations
 
 import threading
 import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrace.functions.names import quoted
+from terrace.sources.staging import remove_folder, subfolders
+
+VERSIONS_KEPT = 2
+
 _appending = threading.Lock()
 
 
@@ -34,7 +43,8 @@ def create_database(
 ) -> None:
     note = comment.replace("'", "\\'")
     place = f" LOCATION '{folder.rstrip('/')}/{name}.db'" if folder else ""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}` COMMENT '{note}'{place}")
+    full = ".".join(quoted(part) for part in name.split("."))
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {full} COMMENT '{note}'{place}")
 
 
 def replace_table(df: DataFrame, name: str, table_format: str = "parquet") -> None:
@@ -43,11 +53,14 @@ def replace_table(df: DataFrame, name: str, table_format: str = "parquet") -> No
     if table_format != "parquet":
         df.writeTo(name).using(table_format).createOrReplace()
         return
-    database, table = name.split(".")
-    root = spark.catalog.getDatabase(database).locationUri
-    version = f"{root}/{table}/{uuid.uuid4().hex}"
+    database, _, table = name.rpartition(".")  # the database may have its catalog before it
+    root = f"{spark.catalog.getDatabase(database).locationUri}/{table}"
+    version = f"{root}/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(version)
     point_table(spark, name, df.schema, version)
+    for _, old in subfolders(spark, root)[:-VERSIONS_KEPT]:
+        if not version.endswith(old):
+            remove_folder(spark, f"{root}/{old}")
 
 
 def point_table(spark: SparkSession, name: str, schema: T.StructType, folder: str) -> None:

@@ -8,7 +8,6 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terrace.operators import keys
 from terrace.operators.keys import assign_keys, extend_keys
 
 
@@ -22,35 +21,28 @@ def one_window(df, order):
 @given(ids=st.lists(st.none() | st.integers(-50, 50), min_size=1, max_size=60))
 def test_buckets_number_like_one_window(spark, ids):
     df = spark.createDataFrame([(i,) for i in ids], "id int")
-    ours = assign_keys(df, "id", "k", rows_per_bucket=7)
+    ours = assign_keys(df, "id", "k")
     assert sorted(ours.collect(), key=lambda r: r.k) == one_window(df, "id").orderBy("k").collect()
 
 
 @pytest.mark.parametrize("order", ["o_orderdate", "o_orderpriority", "o_totalprice"])
 def test_buckets_on_other_types(spark, data, order):
     df = spark.read.parquet(f"{data}/orders.parquet").select(order)
-    ours = assign_keys(df, order, "k", rows_per_bucket=100)
+    ours = assign_keys(df, order, "k")
     assert ours.exceptAll(one_window(df, order)).isEmpty()
     assert ours.count() == df.count()
 
 
 def test_a_hot_key_with_differing_rows_is_spread(spark):
     df = spark.range(6000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("n"), "id")
-    ours = assign_keys(df, "n", "k", rows_per_bucket=500)
+    ours = assign_keys(df, "n", "k")
     assert ours.agg(F.min("k"), F.max("k"), F.count_distinct("k")).first() == (1, 6000, 6000)
     assert ours.where("n = 1").agg(F.max("k")).first()[0] == 3000
 
-    tied = df.withColumn("tie", F.xxhash64(*df.columns))
-    splits, _ = keys._split_points(tied, ["n", "tie"], 6000, 12)
-    sizes = keys._with_bucket(tied, ["n", "tie"], splits).groupBy("_bucket").count().collect()
-    assert len(sizes) == 12
-    assert max(r["count"] for r in sizes) < 1000
 
-
-def test_many_exact_copies(spark, monkeypatch):
-    monkeypatch.setattr(keys, "COPIES_PER_TASK", 37)
+def test_many_exact_copies(spark):
     df = spark.range(900).select(F.when(F.col("id") < 300, -1).otherwise(F.col("id")).alias("n"))
-    ours = assign_keys(df, "n", "k", rows_per_bucket=100)
+    ours = assign_keys(df, "n", "k")
     assert sorted(ours.collect()) == sorted(one_window(df, "n").collect())
 
 
@@ -59,7 +51,7 @@ def test_planning_stays_quick_with_many_buckets(spark, hot):
     """Nothing may be pushed down through the bucket search, which would multiply it."""
     rows = F.when(F.col("id") < 10_000, -1).otherwise(F.col("id")) if hot else F.col("id")
     df = spark.range(30_000).select(rows.alias("n"))
-    keyed = assign_keys(df, "n", "k", rows_per_bucket=60)
+    keyed = assign_keys(df, "n", "k")
     joined = keyed.join(spark.range(9).withColumnRenamed("id", "k"), "k").where("n > 3 OR k > 2")
     start = time.perf_counter()
     joined._jdf.queryExecution().executedPlan()
@@ -82,9 +74,32 @@ def test_known_keys_stay_and_reserved_ones_are_skipped(spark):
 
 
 def test_no_row_passes_through_a_single_partition(spark, data):
-    df = spark.read.parquet(f"{data}/orders.parquet")
-    plan = assign_keys(df, "o_orderkey", "k", rows_per_bucket=100)._jdf.queryExecution().toString()
+    df = spark.read.parquet(f"{data}/orders.parquet").limit(1000)
+    plan = assign_keys(df, "o_orderkey", "k")._jdf.queryExecution().toString()
     physical = plan.split("== Physical Plan ==")[1].splitlines()
     [single] = [i for i, line in enumerate(physical) if "SinglePartition" in line]
-    assert "HashAggregate(keys=[_bucket" in physical[single + 1]  # only the bucket sizes
+    assert "HashAggregate(keys=[_groupingexpression" in physical[single + 1]  # only the range sizes
     assert "Python" not in plan
+
+
+def test_any_column_may_come_along(spark):
+    df = spark.sql("SELECT id AS n, map('a', id) AS m, id AS `x.y`, id AS _position, id AS _at FROM range(9)")
+    ours = assign_keys(df, "n", "k")
+    assert ours.columns == ["k", *df.columns]
+    assert [(r.k, r.n, r.m, r["x.y"], r._position) for r in ours.orderBy("k").collect()] == [
+        (i + 1, i, {"a": i}, i, i) for i in range(9)
+    ]
+
+
+def test_repeated_and_null_members_keep_a_key_each(spark):
+    rows = [(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    first = assign_keys(df, "id", "k")
+    more = df.unionByName(spark.createDataFrame([(0, "f"), (1, "g")], "id int, t string"))
+    second = extend_keys(more, first, "id", "k")
+    known = sorted((r.id is not None, r.id, r.k) for r in first.collect())
+    kept = sorted((r.id is not None, r.id, r.k) for r in second.collect() if r.k <= 5)
+    assert kept == known
+    assert sorted(r.k for r in second.collect()) == list(range(1, 8))
+    again = extend_keys(more, second, "id", "k")
+    assert sorted((r.k, r.id or -1) for r in again.collect()) == sorted((r.k, r.id or -1) for r in second.collect())

@@ -76,11 +76,10 @@ def test_unknown_rule_column_is_named(spark):
         quality.split(spark.range(1), required("nope"))
 
 
-@pytest.mark.parametrize("limit", [0, 100])
-def test_duplicates_with_and_without_broadcast(spark, limit):
+def test_duplicates(spark):
     rows = [(1, None), (1, None), (2, "a"), (2, "a"), (2, "a"), (3, "b")]
     df = spark.createDataFrame(rows, "a int, b string")
-    counted = quality.duplicate_counts(df, broadcast_limit=limit)
+    counted = quality.duplicate_counts(df)
     assert counted.first().duplicates == 3
 
 
@@ -95,3 +94,17 @@ def test_cleaning_fills_nulls_but_keeps_blanks(spark):
 def test_cleaning_leaves_other_tables_alone(spark):
     df = spark.range(2)
     assert clean(df, None) is df
+
+
+def test_columns_of_any_name_and_type(spark):
+    df = spark.sql(
+        "SELECT id AS `a.b`, id AS violation, id AS copies, map('k', id) AS m, id AS _fingerprint"
+        " FROM (SELECT explode(array(0L, 1L, 1L)) AS id)"
+    )
+    rules = quality.positive("a.b")
+    broken = quality.violating_rows(df, rules)
+    assert [tuple(r) for r in broken.collect()] == [(0, 0, 0, {"k": 0}, 0, "valid_range", "a.b")]
+    [record] = quality.quarantine_records(df, rules, "t", datetime(2024, 1, 1)).collect()
+    assert '"a.b":0' in record.record_data
+    assert quality.duplicate_counts(df).first().duplicates == 1
+    assert quality.rule_counts(df, []).collect() == []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload.roles import MEMBERS, ROLES
+from workload.roles import MEMBERS, ROLES, SECOND_DAY
 
 
 def with_tables(select: str, *roles: str, **tables: str) -> str:
@@ -54,6 +54,10 @@ RULES = {
         "valid_range:UnitPrice": "UnitPrice > 0",
     },
     "artist": {"not_null:ArtistId": "ArtistId IS NOT NULL"},
+    "playlisttrack": {
+        "not_null:PlaylistId": "PlaylistId IS NOT NULL",
+        "not_null:TrackId": "TrackId IS NOT NULL",
+    },
     "extractions": {},
 }
 
@@ -448,6 +452,74 @@ def _nulls(name: str) -> str:
     )
 
 
+def _twice_customers() -> str:
+    """Versions after two days: v1 from the first; changed and new members opened on the second."""
+    first = {"FirstName": trimmed("FirstName")}
+    opened = (
+        "SELECT CAST((SELECT max(customer_key) FROM v1)"
+        " + row_number() OVER (ORDER BY m.CustomerId) AS INT) AS customer_key,"
+        " m.CustomerId AS customer_id, m.FirstName AS first_name,"
+        f" {CHANGED} AS effective_start_date, CAST(NULL AS DATE) AS effective_end_date,"
+        " TRUE AS is_current FROM later m LEFT JOIN v1 ON v1.customer_id = m.CustomerId"
+        " WHERE v1.customer_id IS NULL OR v1.first_name <> m.FirstName"
+    )
+    kept = (
+        "SELECT customer_key, customer_id, first_name, DATE '2002-01-01' AS effective_start_date,"
+        f" CAST(CASE WHEN m.FirstName <> first_name THEN {CHANGED} - 1 END AS DATE)"
+        " AS effective_end_date, COALESCE(m.FirstName = first_name, TRUE) AS is_current"
+        " FROM v1 LEFT JOIN later m ON v1.customer_id = m.CustomerId"
+    )
+    ok = passed("customer")
+    return (
+        f"WITH r_customer AS ({ROLES['customer'].sql()}),"
+        f" r_later AS ({SECOND_DAY['customer'].sql()}),"
+        f" early AS ({replaced(f'(SELECT * FROM r_customer WHERE {ok})', **first)}),"
+        f" later AS ({replaced(f'(SELECT * FROM r_later WHERE {ok})', **first)}),"
+        f" v1 AS (SELECT {numbered('CustomerId')} AS customer_key, CustomerId AS customer_id,"
+        " FirstName AS first_name FROM early),"
+        f" versions AS ({kept} UNION ALL {opened}) "
+    )
+
+
+def _twice_fact() -> str:
+    lines = f"(SELECT * FROM ({SECOND_DAY['invoiceline'].sql()}) WHERE {passed('invoiceline')})"
+    invoices = f"(SELECT * FROM ({ROLES['invoice'].sql()}) WHERE {passed('invoice')})"
+    tracks = (
+        f"(SELECT TrackId, {numbered('TrackId')} AS track_key"
+        f" FROM ({ROLES['track'].sql()}) WHERE {passed('track')})"
+    )
+    return (
+        "SELECT InvoiceLineId AS invoice_line_id, customer_key, track_key,"
+        f" CAST(UnitPrice * Quantity AS DOUBLE) AS line_total FROM {lines} l"
+        f" JOIN {tracks} t ON l.TrackId = t.TrackId JOIN {invoices} i ON l.InvoiceId = i.InvoiceId"
+        " JOIN versions ON i.CustomerId = customer_id AND is_current"
+    )
+
+
+def _days(select: str) -> str:
+    """``select`` for each source table and day; {role}, {day} and {ok} are filled in."""
+    parts = []
+    for day, later in (("2002-01-01", False), ("2002-03-01", True)):
+        for name in SOURCE_TABLES:
+            source = SECOND_DAY.get(name, ROLES[name]) if later else ROLES[name]
+            ok = passed(name) if name in RULES else "(TRUE)"
+            parts.append(select.format(role=f"({source.sql()})", day=day, ok=ok, name=name))
+    return _union(*parts)
+
+
+def _profile_log() -> str:
+    parts = []
+    for name in SOURCE_TABLES:
+        source = f"({ROLES[name].sql()})"
+        repeated = f"(SELECT count(*) FROM {source}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {source}))"
+        parts += [
+            f"SELECT '{name}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS null_count,"
+            f" {repeated} AS duplicate_rows FROM {source}"
+            for c in ROLES[name].columns
+        ]
+    return _union(*parts)
+
+
 ORACLE: dict[str, str] = {
     "active_sources": with_tables("SELECT * FROM r_sourcelist WHERE active_flag = 'Y'", "sourcelist"),
     "latest_snapshot": with_tables(
@@ -464,7 +536,9 @@ ORACLE: dict[str, str] = {
     "reconcile_counts": with_tables(
         _union(
             _reconciled(
-                "lines", "SELECT count(*) FROM lineitem", "SELECT count(*) FROM r_invoiceline"
+                "lines",
+                "SELECT count(*) FROM lineitem",
+                f"SELECT count(*) FROM r_invoiceline WHERE {passed('invoiceline')}",
             ),
             _reconciled(
                 "invoices",
@@ -567,4 +641,52 @@ ORACLE: dict[str, str] = {
         "checks",
     ),
     "refreshed_customer_totals": refreshed(),
+    "refreshed_twice_customers": f"{_twice_customers()} SELECT * FROM versions",
+    "refreshed_twice_fact": f"{_twice_customers()} {_twice_fact()}",
+    "refreshed_logs": _days(
+        "SELECT '{name}' AS table_name, DATE '{day}' AS created_date, count(*) AS total_records,"
+        " count(*) FILTER (WHERE {ok}) AS passed_records,"
+        " count(*) FILTER (WHERE NOT {ok}) AS failed_records FROM {role}"
+    ),
+    "refreshed_quarantine": "SELECT * FROM ("
+    + _days(
+        "SELECT '{name}' AS table_name, DATE '{day}' AS created_date,"
+        " count(*) FILTER (WHERE NOT {ok}) AS rejected FROM {role}"
+    )
+    + ") WHERE rejected > 0",
+    "profile_log": _profile_log(),
+    "keys_extended_repeats": "WITH p AS (SELECT CASE WHEN p_partkey % 50 <> 0 THEN p_partkey % 40 END"
+    " AS natural_id, p_partkey % 2 = 1 AS known FROM part)"
+    f" SELECT natural_id, {numbered('natural_id')} AS part_key FROM p WHERE known"
+    " UNION ALL SELECT natural_id, CAST((SELECT count(*) FROM p WHERE known)"
+    f" + {numbered('natural_id')} AS INT) FROM p WHERE NOT known",
+    "keys_after_leavers": "WITH first AS (SELECT p_partkey,"
+    f" {numbered('p_partkey')} AS part_key FROM part), fresh AS ("
+    "SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 3 = 0"
+    " UNION ALL SELECT -p_partkey FROM part WHERE p_partkey % 7 = 0)"
+    " SELECT p_partkey, part_key FROM first"
+    " WHERE p_partkey % 10 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 3 <> 0"
+    " UNION ALL SELECT p_partkey, CAST((SELECT count(*) FROM part)"
+    f" + {numbered('p_partkey')} AS INT) FROM fresh",
+    "line_totals": "SELECT l_orderkey, l_linenumber, CAST(round("
+    "CAST(l_partkey % 9973 * CAST(0.005005 AS DECIMAL(7,6)) AS DECIMAL(14,6)) * CAST(l_quantity AS INT), 2)"
+    " AS DOUBLE) AS exact_total, CAST(round(l_partkey / 7.0::DOUBLE * CAST(l_quantity AS INT), 2)"
+    " AS DOUBLE) AS binary_total FROM lineitem",
+    "rules_with_clashing_names": with_tables(
+        _union(
+            *[
+                "SELECT CAST(InvoiceLineId AS BIGINT) AS line_id, CAST(UnitPrice AS DOUBLE) AS price,"
+                f" CAST(Quantity AS BIGINT) AS violation, '{rule}' AS failed_rule,"
+                f" '{column}' AS failed_column FROM r_invoiceline WHERE NOT COALESCE({holds}, FALSE)"
+                for rule, column, holds in (
+                    ("valid_range", "violation", "Quantity > 0"),
+                    ("valid_range", "unit.price", "UnitPrice > 0"),
+                    ("not_null", "copies", "TrackId IS NOT NULL"),
+                )
+            ],
+            "SELECT NULL, NULL, count(*) - (SELECT count(*) FROM (SELECT DISTINCT InvoiceLineId, UnitPrice,"
+            " Quantity, TrackId FROM r_invoiceline)) + count(*), 'duplicates', '' FROM r_invoiceline",
+        ),
+        "invoiceline",
+    ),
 }

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.config import Layout, Run
+from terrace.functions.money import line_total
 from terrace.operators import audit, dimensions, facts, keys, quality, scd2
 from terrace.operators.cleaning import clean
 from terrace.plans import store_model as model
@@ -19,13 +20,13 @@ from terrace.session import tune
 from terrace.sources import control, snapshots
 from terrace.sources.readers import FrameSource
 from terrace.sources.staging import shared_folder
-from workload.roles import MEMBER_COLUMNS, MEMBERS, ROLES, read
+from workload.roles import MEMBER_COLUMNS, MEMBERS, ROLES, SECOND_DAY, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 LOADED, CHANGED = date(2002, 1, 1), date(2002, 3, 1)
-CHECKED_AT = datetime(2002, 1, 1, 6, 0, 0)
+CHECKED_AT, CHECKED_LATER = datetime(2002, 1, 1, 6, 0, 0), datetime(2002, 3, 1, 6, 0, 0)
 MEMBER = scd2.Versioned(
     "customer_key", "customer_id", MEMBER_COLUMNS, tracked=["name", "segment", "nation"]
 )
@@ -76,7 +77,7 @@ def reconcile_counts(spark: SparkSession, folder: str) -> DataFrame:
     invoices, lines = role(spark, folder, "invoice"), role(spark, folder, "invoiceline")
     passed, _ = quality.split(invoices, model.RULES["invoice"])
     return (
-        audit.reconcile(lines, lines.select("InvoiceLineId"), "lines")
+        audit.reconcile(lines, quality.split(lines, model.RULES["invoiceline"])[0], "lines")
         .unionByName(audit.reconcile(invoices, passed, "invoices"))
         .unionByName(audit.reconcile(invoices, snapshot_copy(spark, folder), "snapshot"))
     )
@@ -165,6 +166,35 @@ def quarantine_restored(spark: SparkSession, folder: str) -> DataFrame:
     return plain(quality.restore_records(_quarantine(spark, folder), columns))
 
 
+@query
+def rules_with_clashing_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns with a dot in the name, or with names that the operators use themselves."""
+    lines = role(spark, folder, "invoiceline").select(
+        "InvoiceLineId",
+        F.col("UnitPrice").alias("unit.price"),
+        F.col("Quantity").alias("violation"),
+        F.col("TrackId").alias("copies"),
+        F.create_map(F.lit("track"), "TrackId").alias("tags"),
+    )
+    rules = quality.positive("violation", "unit.price") + quality.required("copies")
+    broken = quality.violating_rows(lines, rules)
+    duplicates = quality.duplicate_counts(lines.unionAll(lines))
+    counted = duplicates.select(
+        F.lit(None).cast("bigint").alias("line_id"),
+        F.lit(None).cast("double").alias("price"),
+        F.col("duplicates").alias("violation"),
+        F.lit("duplicates").alias("failed_rule"),
+        F.lit("").alias("failed_column"),
+    )
+    return broken.select(
+        F.col("InvoiceLineId").cast("bigint").alias("line_id"),
+        F.col("`unit.price`").cast("double").alias("price"),
+        F.col("violation").cast("bigint").alias("violation"),
+        "failed_rule",
+        "failed_column",
+    ).unionByName(counted)
+
+
 # Cleaning
 
 
@@ -251,7 +281,7 @@ def _customers(spark: SparkSession, folder: str, employees: DataFrame) -> DataFr
     """First load of the customer dimension."""
     customers = role(spark, folder, "customer")
     incoming = model.incoming_customers(customers, employees)
-    return scd2.scd2_initial(incoming, model.CUSTOMER, LOADED, rows=customers.count())
+    return scd2.scd2_initial(incoming, model.CUSTOMER, LOADED)
 
 
 @query
@@ -294,9 +324,9 @@ def dim_part(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def keys_in_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    """Keys of all orders, numbered in buckets of a few thousand rows."""
+    """Keys of all orders, numbered in the key ranges they are sorted into."""
     orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    return keys.assign_keys(orders, "o_orderkey", "order_key", rows_per_bucket=4000)
+    return keys.assign_keys(orders, "o_orderkey", "order_key")
 
 
 @query
@@ -305,7 +335,7 @@ def keys_for_copies(spark: SparkSession, folder: str) -> DataFrame:
     orders = read(spark, folder, "orders")
     hot = F.when(F.col("o_orderkey") % 3 == 0, -5).otherwise(F.col("o_orderkey"))
     return keys.assign_keys(
-        orders.select(hot.alias("natural_id")), "natural_id", "surrogate", rows_per_bucket=1000
+        orders.select(hot.alias("natural_id")), "natural_id", "surrogate"
     )
 
 
@@ -317,6 +347,29 @@ def keys_extended(spark: SparkSession, folder: str) -> DataFrame:
     return keys.extend_keys(parts, known, "p_partkey", "part_key")
 
 
+@query
+def keys_extended_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated and NULL natural keys over two runs: every row has a key of its own."""
+    parts = read(spark, folder, "part")
+    natural = F.when(F.col("p_partkey") % 50 != 0, F.col("p_partkey") % 40)
+    rows = parts.select("p_partkey", natural.alias("natural_id"))
+    known = keys.assign_keys(rows.where("p_partkey % 2 = 1"), "natural_id", "part_key")
+    extended = keys.extend_keys(rows, known, "natural_id", "part_key")
+    return extended.select("natural_id", "part_key")
+
+
+@query
+def keys_after_leavers(spark: SparkSession, folder: str) -> DataFrame:
+    """Members with the highest keys leave; their keys are not given to new members."""
+    parts = read(spark, folder, "part").select("p_partkey")
+    first = keys.assign_keys(parts, "p_partkey", "part_key")
+    given_out = keys.highest_key(first, "part_key")
+    stay = parts.where("p_partkey % 10 != 0 AND p_partkey % 7 != 0")
+    came = parts.where("p_partkey % 7 = 0").select((-F.col("p_partkey")).alias("p_partkey"))
+    known = first.join(stay, "p_partkey", "left_semi").where("p_partkey % 3 != 0")
+    return keys.extend_keys(stay.unionByName(came), known, "p_partkey", "part_key", given_out)
+
+
 # Versioned dimension
 
 
@@ -393,6 +446,26 @@ def fact_customer_agg(spark: SparkSession, folder: str) -> DataFrame:
     return plain(facts.customer_totals(_fact(spark, folder)))
 
 
+@query
+def line_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices with six decimals, and prices as doubles: rounded once, after multiplying."""
+    lines = read(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        (F.col("l_partkey") % 9973 * F.lit(0.005005).cast("decimal(7,6)")).cast("decimal(14,6)").alias("exact"),
+        (F.col("l_partkey") / 7.0).cast("double").alias("binary"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+    )
+    return plain(
+        lines.select(
+            "l_orderkey",
+            "l_linenumber",
+            line_total("exact", "quantity").alias("exact_total"),
+            line_total("binary", "quantity").alias("binary_total"),
+        )
+    )
+
+
 @query
 def fact_dropped(spark: SparkSession, folder: str) -> DataFrame:
     return facts.dropped_lines(
@@ -424,9 +497,16 @@ def quality_summary(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def refreshed_customer_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Source to star schema through every layer; the customer aggregate that comes out."""
-    run = f"r{uuid.uuid4().hex[:12]}"
-    base = _scratch(spark)
-    layout = Layout(
+    layout = _layout(spark)
+    source = FrameSource({t: role(spark, folder, t.lower()) for t in model.TABLES})
+    full_refresh(spark, layout, Run(execution_time=CHECKED_AT), source)
+    return plain(spark.read.table(layout.gold("fact_sales_customer_agg")))
+
+
+def _layout(spark: SparkSession) -> Layout:
+    """A warehouse of its own in the shared folder."""
+    run, base = f"r{uuid.uuid4().hex[:12]}", _scratch(spark)
+    return Layout(
         base_path=f"{base}/raw",
         control_db=f"{run}_control",
         bronze_db=f"{run}_bronze",
@@ -434,6 +514,61 @@ def refreshed_customer_totals(spark: SparkSession, folder: str) -> DataFrame:
         gold_db=f"{run}_gold",
         warehouse_path=f"{base}/warehouse",
     )
-    source = FrameSource({t: role(spark, folder, t.lower()) for t in model.TABLES})
-    full_refresh(spark, layout, Run(execution_time=CHECKED_AT), source)
-    return plain(spark.read.table(layout.gold("fact_sales_customer_agg")))
+
+
+_twice: dict[tuple[str, str], Layout] = {}
+
+
+def _refreshed_twice(spark: SparkSession, folder: str) -> Layout:
+    """A warehouse after two days, once per session and data: on the second day some customers
+    have changed, some are missing and some are new, and lines of odd invoices are missing."""
+    known = (spark.sparkContext.applicationId, folder)
+    if known not in _twice:
+        layout = _layout(spark)
+        first = {t: role(spark, folder, t.lower()) for t in model.TABLES}
+        second = {
+            t: SECOND_DAY[t.lower()].frame(spark, folder) if t.lower() in SECOND_DAY else first[t]
+            for t in model.TABLES
+        }
+        for at, frames in ((CHECKED_AT, first), (CHECKED_LATER, second)):
+            full_refresh(spark, layout, Run(execution_time=at), FrameSource(frames))
+        _twice[known] = layout
+    return _twice[known]
+
+
+@query
+def refreshed_twice_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Versions of the customers after two days."""
+    customers = spark.read.table(_refreshed_twice(spark, folder).gold("dim_customer"))
+    dates = ("effective_start_date", "effective_end_date", "is_current")
+    return customers.select("customer_key", "customer_id", "first_name", *dates)
+
+
+@query
+def refreshed_twice_fact(spark: SparkSession, folder: str) -> DataFrame:
+    """The fact of the second day: lines with the current version of their customer."""
+    fact = spark.read.table(_refreshed_twice(spark, folder).gold("fact_sales"))
+    return plain(fact.select("invoice_line_id", "customer_key", "track_key", "line_total"))
+
+
+@query
+def refreshed_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality log of two days."""
+    log = spark.read.table(_refreshed_twice(spark, folder).control(control.QUALITY_LOG))
+    counts = ("total_records", "passed_records", "failed_records")
+    return log.select("table_name", "created_date", *counts)
+
+
+@query
+def refreshed_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """Rejected rows per table and day."""
+    rejected = spark.read.table(_refreshed_twice(spark, folder).control(control.QUARANTINE))
+    return rejected.groupBy("table_name", "created_date").agg(F.count(F.lit(1)).alias("rejected"))
+
+
+@query
+def profile_log(spark: SparkSession, folder: str) -> DataFrame:
+    """NULLs per column and repeated rows per table, of the first day."""
+    log = spark.read.table(_refreshed_twice(spark, folder).control(control.PROFILE_LOG))
+    seen = log.where(F.col("created_date") == LOADED)
+    return seen.select("table_name", "column_name", "null_count", "duplicate_rows")

@@ -207,3 +207,20 @@ _THIRD = {
     " THEN c_name || ' II' WHEN c_custkey % 26 = 9 THEN c_name || ' Jr' ELSE c_name END",
 }
 MEMBERS = [Role("customer", _BASE), Role("customer", _SECOND), Role("customer", _THIRD)]
+
+# The second day of the two-day refresh: customers whose name has changed, who are missing,
+# and who are new under a negative number; and only lines of even orders.
+_LATER_NAME = "CASE WHEN c_custkey % 15 = 4 THEN c_name || ' II' ELSE {0} END"
+_LATER_CUSTOMER = {
+    **ROLES["customer"].columns,
+    "CustomerId": "CASE WHEN c_custkey % 40 = 3 THEN -c_custkey ELSE c_custkey END",
+    "FirstName": _LATER_NAME.format(ROLES["customer"].columns["FirstName"]),
+}
+_LATER_LINE = {
+    **ROLES["invoiceline"].columns,
+    "Quantity": "CASE WHEN l_orderkey % 2 = 1 THEN 0 ELSE CAST(l_quantity AS INT) END",
+}
+SECOND_DAY = {
+    "customer": Role("customer", _LATER_CUSTOMER),
+    "invoiceline": Role("lineitem", _LATER_LINE),
+}
