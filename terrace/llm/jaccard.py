@@ -10,9 +10,11 @@ either; so each set goes to as many keys, common elements coming last and rarely
    nodes with the number of keys they share, and hence a bound of what they can share in
    all; most pairs of texts with only a passage in common end here.
 3. Each node's most promising pair is checked first, and components are formed. Large groups
-   (families of near copies) give only pairs with a few leaders here.
-4. Pairs of different components, from all groups, are checked: no link is lost, and those
-   inside a component need no check.
+   give only pairs with a few leaders here.
+4. Pairs of different components from small groups are checked. Nodes that large groups tie
+   together are a family (of near copies, mostly): those outside its largest component are
+   checked, in blocks, against all of it, and only links that connect components are kept. So
+   no link is lost, and no pairs inside a component are written out.
 
 A check stores the ordered sets of one node's partners in a prefix tree (its leaves in order,
 each with the depth it shares with the one before), walks down with the node's set, keeps the
@@ -39,10 +41,11 @@ from pyspark.sql import functions as F
 from terrace.llm.common import Batches, Memo, as_bytes, batch, documents, mix, put
 
 N_GRAM = 5
-COMMON = 1_000_000
+COMMON = 4_000_000
 LAST = 1 << 62  # added to common elements
 GROUP = 128  # nodes of one key that are paired directly
 LEADERS = 3
+QUERY_BLOCK, TREE_BLOCK = 256, 2048  # nodes of a family that meet in one task
 SALTS = 16
 WORDS_REMEMBERED = 1 << 18
 TEXTS_AT_ONCE = 256
@@ -370,13 +373,18 @@ class PrefixTree:
             different = np.flatnonzero(before[:n] != leaf[:n])
             self.shared.append(int(different[0]) if len(different) else n)
 
-    def linked(self, query: np.ndarray) -> list[int]:
-        """Which of the sets have a coefficient of 0.8 or more with the query."""
+    def linked(self, query: np.ndarray, skip=lambda place: False) -> list[int]:
+        """Which of the sets, but those to skip, have a coefficient of 0.8 or more with the query."""
         found = []
         hits = np.zeros(0, np.int64)  # overlap of the path so far, by depth
+        left_at = len(query)  # where the path leaves that of the last leaf walked down
         for place, leaf, shared in zip(self.place, self.leaves, self.shared):
+            left_at = min(left_at, shared)
+            if skip(place):
+                continue
             needed = least_overlap(len(leaf), len(query))
-            depth = min(shared, len(hits))
+            depth = min(left_at, len(hits))
+            left_at = len(leaf)
             steps = [hits[:depth]]
             overlap = int(hits[depth - 1]) if depth else 0
             while depth < len(leaf):
@@ -472,36 +480,73 @@ def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return joined.filter(other).select(*pairs.columns)
 
 
-def rest_of_groups(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of different components within large groups, with the keys they share there."""
-    members = members.select("key", F.col("a").alias("node"), F.col("na").alias("n"), F.col("la").alias("last"))
-    members = members.join(parts, "node", "left")
-    members = members.withColumn("component", F.coalesce("component", "node"))
+class Joined:
+    """Which of a task's nodes are connected so far."""
 
-    def run(batches: Batches) -> Batches:
-        pairs = Pairs()
-        names = ["key", "node", "n", "last", "component"]
-        for key, node, n, last, part in groups(batches, names):
-            starts = np.flatnonzero(np.append(True, np.diff(key) != 0))
-            for at, end in zip(starts, np.append(starts[1:], len(key))):
-                own = [x[at:end] for x in (node, n, last)]
-                parts_here = part[at:end]
-                if (parts_here == parts_here[0]).all():
-                    continue
-                sizes = own[1].astype(np.int64)
-                for i in range(end - at - 1):
-                    upto = int(np.searchsorted(4 * sizes, 5 * sizes[i], "right"))
-                    j = i + 1 + np.flatnonzero(parts_here[i + 1 : upto] != parts_here[i])
-                    if len(j):
-                        left = [np.full(len(j), c[i]) for c in own]
-                        if pairs.add(left, [c[j] for c in own]):
-                            yield pairs.take()
-        found = pairs.take()
-        if found is not None:
-            yield found
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (above := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(above, above)
+            x = above
+        return x
+
+    def tie(self, x: int, y: int) -> bool:
+        """Connect two nodes; False if they were connected."""
+        x, y = self.root(x), self.root(y)
+        self.up[x] = y
+        return x != y
+
+
+def within_families(votes: DataFrame, members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect different components of nodes tied together by large groups."""
+    families = components(votes).withColumnRenamed("component", "family")
+    nodes = members.select(F.col("a").alias("node")).distinct().join(families, "node")
+    nodes = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    nodes = put(nodes.select("node", "family", "part"))
+    counts = nodes.groupBy("family", "part").agg(F.count(F.lit(1)).alias("size"))
+    by_family = counts.groupBy("family").agg(
+        F.max(F.struct("size", "part"))["part"].alias("main"),
+        F.sum("size").alias("all"),
+        (F.sum("size") - F.max("size")).alias("outside"),
+    )
+    open_families = put(by_family.filter("outside > 0"))
+    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    placed = nodes.join(open_families, "family").join(sets.dropDuplicates(["node"]), "node")
+    placed = placed.withColumns(
+        {"queries": blocks("outside", QUERY_BLOCK), "trees": blocks("all", TREE_BLOCK)}
+    )
+    columns = ["family", "query", "tree", "is_query", "node", "part", "elements"]
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stored = placed.withColumns({"tree": own("trees"), "query": every("queries"), "is_query": F.lit(False)})
+    asked = placed.filter("part != main").withColumns(
+        {"query": own("queries"), "tree": every("trees"), "is_query": F.lit(True)}
+    )
+
+    def meet(key, rows):
+        joined, links = Joined(), []
+        names = list(zip(*(rows[c].to_pylist() for c in ("is_query", "node", "part"))))
+        sets = [np.frombuffer(x, np.int64) for x in rows["elements"].to_pylist()]
+        for _, node, part in names:
+            joined.tie(node, part)  # components count as nodes
+        inside = [i for i, (is_query, *_) in enumerate(names) if not is_query]
+        tree = PrefixTree([sets[i] for i in inside])
+        for i, (is_query, node, _) in enumerate(names):
+            if is_query:
+                root = joined.root
+                skip = lambda place, node=node: root(names[inside[place]][1]) == root(node)
+                for place in tree.linked(sets[i], skip):
+                    other = names[inside[place]][1]
+                    if joined.tie(node, other):
+                        links.append((min(node, other), max(node, other)))
+        return pa.table(
+            {"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())}
+        )
 
-    together = members.repartition("key").sortWithinPartitions("key", "n", "node")
-    return together.mapInArrow(run, PAIR)
+    rows = stored.select(*columns).unionByName(asked.select(*columns))
+    return put(rows.groupBy("family", "query", "tree").applyInArrow(meet, "a bigint, b bigint"))
 
 
 def best_partners(pairs: DataFrame) -> DataFrame:
@@ -530,11 +575,9 @@ def join(docs: DataFrame) -> DataFrame:
 
     links = check(first, sets)
     parts = put(components(links))
-    # A pair's small and large groups count together.
-    more = rest_of_groups(near.filter("kind = 2"), parts)
-    left = summed_pairs(more.union(apart(near.filter("kind = 0"), parts))).select("a", "b")
-    left = put(left.join(first, ["a", "b"], "left_anti"))
-    parts = put(components(links.union(check(left, sets))))
+    left = put(apart(pairs.select("a", "b"), parts).join(first, ["a", "b"], "left_anti"))
+    more = within_families(votes, near.filter("kind = 2"), parts, sets)
+    parts = put(components(links.union(check(left, sets)).union(more)))
 
     rows = found.filter("element is null").join(parts, "node", "left")
     part = F.coalesce("component", "node")
