@@ -136,6 +136,28 @@ def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[first], np.add.reduceat(counts, first) if len(codes) else counts
 
 
+def merged(keys: np.ndarray, logs: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of both by key."""
+    order = np.argsort(keys, kind="stable")
+    keys, logs, known = keys[order], logs[order], known[order]
+    if not len(keys):
+        return keys, logs, known
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(logs, first), np.add.reduceat(known, first)
+
+
+def bucketed(
+    keys: np.ndarray, logs: np.ndarray, known: np.ndarray, buckets: int, first: int = 0
+) -> pa.RecordBatch:
+    """A row for each bucket of keys, with all that belongs there."""
+    bucket = keys % buckets
+    order = np.argsort(bucket, kind="stable")
+    offsets = pa.array(np.searchsorted(bucket[order], np.arange(buckets + 1)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (keys, logs, known)]
+    number = np.arange(first, first + buckets).astype(np.int32)
+    return batch(bucket=number, keys=lists[0], logs=lists[1], known=lists[2])
+
+
 def neighbours(training: DataFrame, nodes: Nodes) -> DataFrame:
     """before, after, n: how often each pair of nodes is adjacent; an end stands before a text."""
     held = training.sparkSession.sparkContext.broadcast(nodes)
@@ -215,7 +237,13 @@ def cluster(pairs: DataFrame, nodes: Nodes, classes: int = CLASSES, rounds: int
     entry = lambda other: F.collect_list(F.struct(F.col(other).alias("node"), "n"))
     out = pairs.groupBy(F.col("before").alias("own")).agg(entry("after").alias("out"))
     into = pairs.groupBy(F.col("after").alias("own")).agg(entry("before").alias("into"))
-    words = put(out.join(into, "own", "full").repartition(8))
+    joined = out.join(into, "own", "full")
+    sides = {
+        f"{side}_{part}": F.coalesce(F.col(f"{side}.{part}"), F.array().cast("array<bigint>"))
+        for side in ("out", "into")
+        for part in ("node", "n")
+    }
+    words = put(joined.select("own", *[c.alias(n) for n, c in sides.items()]).repartition(8))
     width = classes + 1
 
     counts = np.zeros(nodes.count, np.int64)
@@ -225,12 +253,15 @@ def cluster(pairs: DataFrame, nodes: Nodes, classes: int = CLASSES, rounds: int
     own[np.argsort(-counts, kind="stable")] = np.arange(nodes.count) % classes
     own[nodes.end] = classes
 
-    def by_class(entries: list | None, own: np.ndarray) -> np.ndarray:
-        if not entries:
-            return np.zeros(width)
-        return np.bincount(
-            own[[e["node"] for e in entries]], [e["n"] for e in entries], minlength=width
-        )
+    def entries(b: pa.RecordBatch, side: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Neighbours and counts of each word of the batch."""
+        nodes, n = b[f"{side}_node"], b[f"{side}_n"]
+        ends = np.cumsum([0, *nodes.value_lengths().to_pylist()])
+        flat = nodes.flatten().to_numpy(), n.flatten().to_numpy()
+        return [tuple(x[i:j] for x in flat) for i, j in zip(ends, ends[1:])]
+
+    def by_class(side: tuple[np.ndarray, np.ndarray], own: np.ndarray) -> np.ndarray:
+        return np.bincount(own[side[0]], side[1], minlength=width)
 
     def class_pairs(own: np.ndarray) -> np.ndarray:
         held = spark.sparkContext.broadcast(own)
@@ -238,11 +269,11 @@ def cluster(pairs: DataFrame, nodes: Nodes, classes: int = CLASSES, rounds: int
         def run(batches: Batches) -> Batches:
             own, total = held.value, np.zeros((width, width))
             for b in batches:
-                for node, out in zip(b["own"].to_pylist(), b["out"].to_pylist()):
+                for node, out in zip(b["own"].to_pylist(), entries(b, "out")):
                     total[own[node]] += by_class(out, own)
             yield batch(total=pa.array([total.tobytes()], pa.binary()))
 
-        found = words.select("own", "out").mapInArrow(run, "total binary").collect()
+        found = words.select("own", "out_node", "out_n").mapInArrow(run, "total binary").collect()
         arrays = [np.frombuffer(r["total"]).reshape(width, width) for r in found]
         return sum(arrays, np.zeros((width, width)))
 
@@ -254,11 +285,11 @@ def cluster(pairs: DataFrame, nodes: Nodes, classes: int = CLASSES, rounds: int
             own, between = (x.copy() for x in held.value)  # as this task's moves change them
             found = []
             for b in batches:
-                rows = zip(*(b[n].to_pylist() for n in ("own", "out", "into")))
+                rows = zip(b["own"].to_pylist(), entries(b, "out"), entries(b, "into"))
                 for node, out, into in rows:
                     if node == nodes_end or node // 8 % MOVED_AT_ONCE != turn % MOVED_AT_ONCE:
                         continue
-                    self_pairs = sum(e["n"] for e in out or () if e["node"] == node)
+                    self_pairs = float(out[1][out[0] == node].sum())
                     sides = by_class(out, own), by_class(into, own)
                     rest, *sides = without(own[node], *sides, self_pairs, between)
                     gain = gains(rest, *sides, self_pairs)
@@ -333,61 +364,77 @@ def rare_words(rows: DataFrame, nodes: Nodes, own: np.ndarray) -> tuple[DataFram
     gathered = rows.select("key", "held_out", "text").mapInArrow(gather, schema)
     together = gathered.repartition("word").sortWithinPartitions("word")
 
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def count(batches: Batches) -> Batches:
         nodes, own = held.value, classes.value
         known_words = np.zeros(int(own.max(initial=0)) + 1, np.int64)
-        total: dict[int, list] = {}
-        word, trained, keys, times = None, 0, [], []
-
-        def finish():
-            if trained:
-                known_words[own[nodes.group(word)]] += 1
-            log = np.log10(trained + ADDED)
-            for k, n in zip(keys, times):
-                e = total.get(k)
-                if e is None:
-                    total[k] = [n * log, n if trained else 0]
-                else:
-                    e[0] += n * log
-                    e[1] += n if trained else 0
-
-        def sums() -> pa.RecordBatch:
-            return batch(
-                key=pa.array(list(total), pa.int64()),
-                class_=pa.nulls(len(total), pa.int64()),
-                logs=pa.array([e[0] for e in total.values()], pa.float64()),
-                known=pa.array([e[1] for e in total.values()], pa.int64()),
-            ).rename_columns(["key", "class", "logs", "known"])
+        parts: list[tuple[np.ndarray, ...]] = []  # key, logs, known
+        size = 0
+        words, trained, lengths = [], *(np.zeros(0, np.int64) for _ in range(2))
+        keys, times = (np.zeros(0, np.int64) for _ in range(2))
+
+        def settle(words, trained, lengths, keys, times) -> None:
+            """Whole words: what each adds to the texts that hold it."""
+            new = np.array([True, *(a != b for a, b in zip(words, words[1:]))])
+            number = np.cumsum(new) - 1
+            total = np.bincount(number, trained)
+            for i in np.flatnonzero(new):
+                if total[number[i]]:
+                    known_words[own[nodes.group(words[i])]] += 1
+            at = np.repeat(number, lengths)
+            logs = np.log10(total + ADDED)[at] * times
+            parts.append(merged(keys, logs, np.where(total[at] > 0, times, 0)))
 
         for b in batches:
-            columns = (b[n].to_pylist() for n in ("word", "trained", "keys", "times"))
-            for w, n, k, t in zip(*columns):
-                if w != word:
-                    if word is not None:
-                        finish()
-                    word, trained, keys, times = w, 0, [], []
-                trained += n
-                keys += k
-                times += t
-            if len(total) > ENTRIES_HELD // 4:
-                yield sums()
-                total.clear()
-        if word is not None:
-            finish()
-        yield sums()
-        yield batch(
-            key=pa.nulls(len(known_words), pa.int64()),
-            class_=np.arange(len(known_words)),
-            logs=np.zeros(len(known_words)),
-            known=known_words,
-        ).rename_columns(["key", "class", "logs", "known"])
-
-    counted = together.mapInArrow(count, "key bigint, class bigint, logs double, known bigint")
-    found = put(
-        counted.groupBy("key", "class").agg(
-            F.sum("logs").alias("logs"), F.sum("known").alias("known")
-        )
-    )
+            if not b.num_rows:
+                continue
+            words = words + b["word"].to_pylist()
+            trained = np.append(trained, b["trained"].to_numpy())
+            lengths = np.append(lengths, b["keys"].value_lengths().to_numpy())
+            keys = np.append(keys, b["keys"].flatten().to_numpy())
+            times = np.append(times, b["times"].flatten().to_numpy())
+            cut = len(words) - 1
+            while cut and words[cut - 1] == words[-1]:
+                cut -= 1
+            if cut:  # the last word may go on in the next batch
+                at = int(lengths[:cut].sum())
+                settle(words[:cut], trained[:cut], lengths[:cut], keys[:at], times[:at])
+                words, trained, lengths = words[cut:], trained[cut:], lengths[cut:]
+                keys, times = keys[at:], times[at:]
+                size += len(parts[-1][0])
+            if size > ENTRIES_HELD:
+                parts = [merged(*map(np.concatenate, zip(*parts)))]
+                size = len(parts[0][0])
+                if size > ENTRIES_HELD // 2:
+                    yield bucketed(*parts[0], buckets)
+                    parts, size = [], 0
+        if words:
+            settle(words, trained, lengths, keys, times)
+        if parts:
+            yield bucketed(*merged(*map(np.concatenate, zip(*parts))), buckets)
+        number = np.arange(len(known_words))
+        yield bucketed(number, np.zeros(len(number)), known_words, 1, first=-1)
+
+    def total(batches: Batches) -> Batches:
+        for_class = {True: [], False: []}
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                columns = tuple(row[n].flatten().to_numpy() for n in ("keys", "logs", "known"))
+                for_class[row["bucket"][0].as_py() < 0].append(columns)
+        for is_class, parts in for_class.items():
+            if parts:
+                key, logs, known = merged(*map(np.concatenate, zip(*parts)))
+                none = pa.nulls(len(key), pa.int64())
+                names, both = ["key", "class", "logs", "known"], (none, pa.array(key))
+                yield pa.RecordBatch.from_arrays(
+                    [*(both if is_class else both[::-1]), pa.array(logs), pa.array(known)], names
+                )
+
+    lists = "bucket int, keys array<bigint>, logs array<double>, known array<bigint>"
+    counted = together.mapInArrow(count, lists).repartition("bucket")
+    found = put(counted.mapInArrow(total, "key bigint, class bigint, logs double, known bigint"))
     vocabulary = np.zeros(int(own.max(initial=0)) + 1, np.int64)
     for r in found.filter(F.col("class").isNotNull()).collect():
         vocabulary[r["class"]] = r["known"]
