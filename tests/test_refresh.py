@@ -11,10 +11,12 @@ import pytest
 from terrace import __main__ as command
 from terrace.config import Layout, Run
 from terrace.plans import stages
-from terrace.plans.gold import GOLD_TABLES
+from terrace.plans.gold import GOLD_TABLES, GoldBuilder
 from terrace.plans.refresh import full_refresh, gold_counts
 from terrace.sources import control
 from terrace.sources.readers import FrameSource
+from terrace.sources.staging import shared_folder, subfolders
+from terrace.sources.tables import create_database, replace_table
 from tests.fixtures import ROWS, customer, employee, frames
 
 FIRST = datetime(2024, 1, 1, 5, 0, 0)
@@ -264,3 +266,32 @@ def test_stages_from_the_command_line(spark, tmp_path):
     assert not spark.catalog.tableExists("cli_gold.fact_sales")
     command.main([*options, "--stages", "gold", "silver"])
     assert spark.read.table("cli_gold.fact_sales").count() == 5
+
+
+def test_gold_builds_all_that_does_not_need_what_failed(spark, tmp_path, monkeypatch):
+    warehouse = Warehouse(spark, tmp_path, "partly")
+    monkeypatch.setattr(GoldBuilder, "dim_genre", lambda self: 1 / 0)
+    seen = {}
+    with pytest.raises(stages.StageFailed):
+        full_refresh(spark, warehouse.layout, Run(FIRST), FrameSource(frames(spark)), report=seen.__setitem__)
+    status = {o.table: o.status for o in seen["gold"]}
+    assert status["dim_customer"] == status["dim_album"] == "SUCCESS"
+    assert status["dim_genre"] == status["dim_track"] == status["fact_sales"] == "FAILED"
+    assert seen["silver"] and {o.status for o in seen["silver"]} == {"SUCCESS"}
+
+
+def test_old_versions_and_staged_folders_go(spark, tmp_path):
+    warehouse = Warehouse(spark, tmp_path, "tidy")
+    before = subfolders(spark, f"{shared_folder(spark)}/staged")
+    for day in range(1, 4):
+        warehouse.refresh(datetime(2024, 1, day, 5))
+    assert subfolders(spark, f"{shared_folder(spark)}/staged") == before
+    root = spark.catalog.getDatabase(warehouse.layout.gold_db).locationUri
+    assert len(subfolders(spark, f"{root}/fact_sales")) == 2
+
+
+def test_names_may_have_a_catalog(spark, tmp_path):
+    create_database(spark, "spark_catalog.three", folder=str(tmp_path))
+    for rows in (3, 5):
+        replace_table(spark.range(rows), "spark_catalog.three.numbers")
+    assert spark.read.table("spark_catalog.three.numbers").count() == 5

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 from functools import reduce
 
@@ -269,12 +270,14 @@ def _employees(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tracks(spark: SparkSession, folder: str) -> DataFrame:
-    return model.track_dimension(
-        role(spark, folder, "track"),
-        _albums(spark, folder),
-        _media_types(spark, folder),
-        _genres(spark, folder),
-    )
+    parents = _together(spark, folder, _albums, _media_types, _genres)
+    return model.track_dimension(role(spark, folder, "track"), *parents)
+
+
+def _together(spark: SparkSession, folder: str, *builds: Query) -> list[DataFrame]:
+    """Dimensions that do not need each other, built at the same time."""
+    with ThreadPoolExecutor(len(builds)) as pool:
+        return list(pool.map(lambda build: build(spark, folder), builds))
 
 
 def _customers(spark: SparkSession, folder: str, employees: DataFrame) -> DataFrame:
@@ -425,13 +428,17 @@ def scd2_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fact(spark: SparkSession, folder: str) -> DataFrame:
-    employees = _employees(spark, folder)
+    def people(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+        employees = _employees(spark, folder)
+        return employees, _customers(spark, folder, employees)
+
+    (employees, customers), tracks = _together(spark, folder, people, _tracks)
     return facts.sales_fact(
         role(spark, folder, "invoiceline"),
         role(spark, folder, "invoice"),
-        _customers(spark, folder, employees),
+        customers,
         dim_date(spark, folder),
-        _tracks(spark, folder),
+        tracks,
         employees,
     )
 
