@@ -15,64 +15,94 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Batches, batch, documents, mapped
+from terrace.llm.common import Batches, Memo, batch, documents, mapped
 
 LONGEST = 1024
 END = 0
 PIECES_REMEMBERED = 1 << 18
+WORDS_REMEMBERED = 1 << 16
 TEXTS_AT_ONCE = 256
+MARKS = (",", ".", ";", ":", "!", "?")
 
-_loaded: dict[str, Tokenized] = {}
+_loaded: dict[tuple[str, str], Tokenized] = {}
+
+
+def byte_characters() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself if it is
+    printable and no space, else the next one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Tokenized:
     """Ids of whole texts by a byte-level tokenizer of the ``tokenizers`` library.
 
     A space that stands alone between two other characters always begins the pre-token on
-    its right (byte-level pre-tokenizers split so), and so the pieces between such spaces are
-    encoded one by one and remembered. Texts with any other arrangement of spaces are
-    encoded whole. Strings of special tokens are ordinary text.
+    its right (byte-level pre-tokenizers split so). The pieces between such spaces are
+    encoded once and remembered: one of letters only is a single pre-token, which goes to
+    the tokenizer's model at once, as does one with a mark behind; others are split by
+    ``pattern``, the tokenizer's own. Texts with any other arrangement of spaces are encoded
+    whole. Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes | None] = {}
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        known = self.known
-        if len(known) > PIECES_REMEMBERED:
-            known.clear()
-        new = [p for p in set().union(*(p[1:] for p in cut)) if p not in known]
-        known.update(zip(new, self.encoded([" " + p for p in new])))
-        known.update((p, None) for p in new if not p or p[0].isspace() or p[-1].isspace())
-        firsts = self.encoded([p[0] for p in cut])
-        out = []
-        for text, pieces, first in zip(texts, cut, firsts):
-            ids = list(map(known.__getitem__, pieces[1:]))
-            if len(pieces) > 1 and (not pieces[0] or pieces[0][-1].isspace() or None in ids):
-                out += self.encoded([text])
-            else:
-                out.append(b"".join([first, *ids]))
-        return out
-
-
-def tokenized(path: str) -> Tokenized:
+        self.model = self.tokenizer.model
+        self.split = regex.compile(pattern).findall
+        self.shown = byte_characters()
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.words = Memo(self._word, WORDS_REMEMBERED)
+        self.pieces = Memo(self._piece, PIECES_REMEMBERED)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        shown = word.encode().decode("latin-1").translate(self.shown)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
+
+    def _piece(self, piece: str) -> bytes | None:
+        """Ids of a space and the piece, None if white space would stand next to the space."""
+        if piece.isalpha():
+            return self._word(" " + piece)
+        if piece[-1:] in MARKS and piece[:-1].isalpha():
+            return self.words[" " + piece[:-1]] + self.words[piece[-1]]
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        return self.split_first(" " + piece)
+
+    def split_first(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split(text)))
+
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return b"".join(map(self.packed.__getitem__, ids))
+
+    def __call__(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if not text:
+            return b""
+        pieces = text.split(" ")
+        if len(pieces) == 1 or not pieces[0] or pieces[0][-1].isspace():
+            return self.whole(text)
+        ids = list(map(self.pieces.__getitem__, pieces[1:]))
+        if None in ids:
+            return self.whole(text)
+        return b"".join([self.split_first(pieces[0]), *ids])
+
+
+def tokenized(path: str, pattern: str) -> Tokenized:
     """The tokenizer of a file, loaded once per worker."""
-    if path not in _loaded:
-        _loaded[path] = Tokenized(path)
-    return _loaded[path]
+    if (path, pattern) not in _loaded:
+        _loaded[path, pattern] = Tokenized(path, pattern)
+    return _loaded[path, pattern]
 
 
 def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -82,20 +112,20 @@ def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + digits
 
 
-def decompose(docs: DataFrame, path: str, longest: int = LONGEST) -> DataFrame:
+def decompose(docs: DataFrame, path: str, pattern: str, longest: int = LONGEST) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, bucket (the power), ids (binary)."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest length must be a power of two")
 
     def run(batches: Batches) -> Batches:
-        encode = tokenized(path)
+        encode = tokenized(path, pattern)
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             names, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
             for at in range(0, len(texts), TEXTS_AT_ONCE):
                 rows = []
-                for name, ids in zip(names[at:], encode(texts[at : at + TEXTS_AT_ONCE])):
-                    ids += end
+                for name, text in zip(names[at:], texts[at : at + TEXTS_AT_ONCE]):
+                    ids = encode(text) + end
                     start = 0
                     for length in binary_lengths(len(ids) // 4, longest):
                         piece = ids[4 * start : 4 * (start + length)]
