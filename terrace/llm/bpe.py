@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from terrace.llm.common import Batches, Memo, batch, documents, mapped
 
-PIECES_REMEMBERED = 1 << 18
+PIECES_REMEMBERED = 1 << 17
 KEYS_PER_BUCKET = 4
+MARKS = (",", ".", ";", ":", "!", "?")
 MASK = (1 << 64) - 1
 SPREAD, SCATTER = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9  # odd multipliers
 
@@ -104,6 +105,7 @@ class Codec:
         self.token = ranks and {i: t for t, i in ranks.items()}
         self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
         self.width = max(self.ids, default=0) + 1
+        self.packed = [i.to_bytes(4, "little") for i in range(self.width)]
         self.pairs = {}
         for whole in tokens:
             for cut in range(1, len(whole)):
@@ -155,13 +157,17 @@ class Codec:
 
     def _piece(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers, split by the pattern."""
-        ids: list[int] = []
-        for word in self.split(text):
-            ids += self.encode_word(word.encode())
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(map(self._word, self.split(text)))
+
+    def _word(self, word: str) -> bytes:
+        return b"".join([self.packed[i] for i in self.encode_word(word.encode())])
 
     def _spaced(self, piece: str) -> bytes | None:
         """Ids of a space and the piece, None if white space would stand next to the space."""
+        if piece.isalpha():  # one pre-token
+            return self._word(" " + piece)
+        if piece[-1:] in MARKS and piece[:-1].isalpha():
+            return self._word(" " + piece[:-1]) + self._word(piece[-1])
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
         return self._piece(" " + piece)
