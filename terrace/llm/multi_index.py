@@ -1,6 +1,12 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-The halves of the vectors are quantised separately by ``CENTROIDS`` centroids each, fitted on
+Nearness is the inner product, which is made a distance first: each half x of a vector gets
+the component sqrt(M^2 - |x|^2), M the largest norm of that half over all vectors, and each half
+of a query gets 0, so that the nearer of two vectors, by summed squared distance, is the one with
+the larger inner product, whatever the norms. Queries are brought to the length of the vectors,
+which changes no order of theirs.
+
+The lifted halves are quantised separately by ``CENTROIDS`` centroids each, fitted on
 a bounded sample; a pair of centroids is a cell, and every vector lies in one. A query
 traverses the pairs in the order of summed distance with a heap until the cells hold
 ``VISITED`` of all vectors, and their entries are ranked by the exact inner product in double
@@ -20,6 +26,7 @@ smaller id. Other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from heapq import heappop, heappush
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +45,34 @@ QUERIES_AT_ONCE = 256
 NEAR_TIE = 1e-9
 
 
+class Codebook(NamedTuple):
+    """Centroids of both lifted halves, and the largest squared norm of each half."""
+
+    first: np.ndarray
+    second: np.ndarray
+    largest: tuple[float, float]
+
+    def halves(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of vectors, lifted so that all have the length of the longest."""
+        return lifted(m, self.largest)
+
+    def query_halves(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of queries, scaled to the length of the vectors and not lifted."""
+        norms = np.sqrt((m**2).sum(1))[:, None]
+        m = m * (np.sqrt(sum(self.largest)) / np.where(norms > 0, norms, 1.0))
+        half, flat = m.shape[1] // 2, np.zeros((len(m), 1))
+        return np.hstack([m[:, :half], flat]), np.hstack([m[:, half:], flat])
+
+
+def lifted(m: np.ndarray, largest: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    half = m.shape[1] // 2
+    rest = [
+        np.sqrt(np.maximum(most - (x**2).sum(1), 0.0))[:, None]
+        for x, most in zip((m[:, :half], m[:, half:]), largest)
+    ]
+    return np.hstack([m[:, :half], rest[0]]), np.hstack([m[:, half:], rest[1]])
+
+
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id and vector (array<double>) of the rows that take part."""
     rows = vectors.select(
@@ -81,17 +116,28 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return distances(points, centres).argmin(1)
 
 
-def fit(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of both halves from about ``sample_rows`` rows, chosen by a hash of the id."""
-    share = min(1.0, sample_rows / max(1, vectors.count()))
+def fit(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Codebook:
+    """Centroids of both halves from about ``sample_rows`` rows, chosen by a hash of the id.
+
+    The largest norms are those of all vectors.
+    """
+    half = F.floor(F.size("vector") / 2).cast("int")
+    squares = lambda x: F.aggregate(x, F.lit(0.0), lambda a, c: a + c * c)
+    sizes = vectors.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(squares(F.slice("vector", F.lit(1), half))).alias("first"),
+        F.max(squares(F.slice("vector", half + 1, F.size("vector") - half))).alias("second"),
+    ).collect()[0]
+    share = min(1.0, sample_rows / max(1, sizes["n"]))
     wanted = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < round(share * (1 << 20))
     sample = np.array([r["vector"] for r in vectors.filter(wanted).select("vector").collect()])
     if not len(sample):  # so few rows that the hash chose none
         sample = np.array([r["vector"] for r in vectors.limit(CENTROIDS).collect()])
     if not len(sample):
-        return np.zeros((1, 0)), np.zeros((1, 0))
-    half = sample.shape[1] // 2
-    return _kmeans(sample[:, :half], CENTROIDS, ROUNDS), _kmeans(sample[:, half:], CENTROIDS, ROUNDS)
+        return Codebook(np.zeros((1, 0)), np.zeros((1, 0)), (0.0, 0.0))
+    largest = (float(sizes["first"]), float(sizes["second"]))
+    first, second = (_kmeans(x, CENTROIDS, ROUNDS) for x in lifted(sample, largest))
+    return Codebook(first, second, largest)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
@@ -100,17 +146,16 @@ def matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(rows, -1)
 
 
-def index(vectors: DataFrame, centres: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def index(vectors: DataFrame, centres: Codebook) -> DataFrame:
     """Every vector with its cell: vec_id, a, b, vector. Written once."""
     held = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Batches) -> Batches:
-        first, second = held.value
+        book = held.value
         for b in batches:
             if b.num_rows:
-                m = matrix(b["vector"], b.num_rows)
-                half = first.shape[1]
-                own = (nearest(m[:, :half], first), nearest(m[:, half:], second))
+                first, second = book.halves(matrix(b["vector"], b.num_rows))
+                own = (nearest(first, book.first), nearest(second, book.second))
                 a, c = (pa.array(x.astype(np.int32)) for x in own)
                 yield batch(vec_id=b["vec_id"], a=a, b=c, vector=b["vector"])
 
@@ -142,30 +187,30 @@ def traverse(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: f
 def search(
     indexed: DataFrame,
     queries: DataFrame,
-    centres: tuple[np.ndarray, np.ndarray],
+    centres: Codebook,
     k: int = 20,
     visited: float = VISITED,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (vec_id, vector)."""
     spark = indexed.sparkSession
-    shape = (len(centres[0]), len(centres[1]))
+    shape = (len(centres.first), len(centres.second))
     sizes = np.zeros(shape, np.int64)
     for r in indexed.groupBy("a", "b").count().collect():
         sizes[r["a"], r["b"]] = r["count"]
     blocks = np.maximum(1, -(-sizes.sum(1) // BLOCK))
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    held = spark.sparkContext.broadcast((*centres, sizes, blocks))
+    held = spark.sparkContext.broadcast((centres, sizes, blocks))
     # Enough cells for k others besides the query itself.
     wanted = max(visited * float(sizes.sum()), min(k + 1, int(sizes.sum())))
 
     def send(batches: Batches) -> Batches:
-        first, second, sizes, blocks = held.value
-        half = first.shape[1]
+        book, sizes, blocks = held.value
         for b in batches:
             if not b.num_rows:
                 continue
             m = matrix(b["vector"], b.num_rows)
-            to_first, to_second = distances(m[:, :half], first), distances(m[:, half:], second)
+            first, second = book.query_halves(m)
+            to_first, to_second = distances(first, book.first), distances(second, book.second)
             names = b["vec_id"].to_pylist()
             rows: dict[str, list] = {n: [] for n in ("query_id", "a", "block", "cells", "query")}
             for i, name in enumerate(names):

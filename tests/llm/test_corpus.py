@@ -187,6 +187,19 @@ def test_visiting_all_is_exact_and_half_is_close(spark):
     assert len(found & {(q, i) for q, _, i, _ in exact}) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("spread", [0.25, 0.5, 1.0])
+def test_recall_holds_for_unequal_norms(spark, spread):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(1000, 32))
+    m *= np.exp(spread * rng.normal(size=(1000, 1))) / np.sqrt((m**2).sum(1))[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id bigint, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in searched(spark, frame, 10, multi_index.VISITED)}
+    exact = set()
+    for q in range(0, 1000, 20):
+        exact |= {(q, int(i)) for i in [i for i in np.argsort(-(m @ m[q])) if i != q][:10]}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
 def test_few_vectors_give_all_and_none_give_none(spark):
     _, frame = vectors(spark, 300)
     few = searched(spark, frame.filter("vec_id < 5"), 20, 0.1)
