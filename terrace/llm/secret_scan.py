@@ -1,10 +1,11 @@
 """Finding secrets: fixed forms, and random strings by the token-efficiency test.
 
 A vocabulary built from natural text needs few tokens for words and many for random
-characters. Runs of at least ``MIN_RUN`` key characters that mix letters and digits are
-encoded; fewer than ``CHARS_PER_TOKEN`` characters per token expose a random string. Known
-digests (hexadecimal of a digest's length, UUIDs) and identifiers (words and numbers joined
-by separators or capitals) are left out of this test first.
+characters. Runs of at least ``MIN_RUN`` key characters with a letter are encoded, whole and cut
+into words and numbers at separators, capitals and digits; fewer than ``CHARS_PER_TOKEN``
+characters per token both ways expose a random string, so that identifiers and words in capitals
+are told by their parts. Known digests (hexadecimal of a digest's length, UUIDs), times of day and
+runs without a letter (card and phone numbers) are left out of this test.
 
 Every row is scanned where it is read, whole; nothing is shuffled. NULL and empty texts
 have no spans; repeated rows give repeated results; other columns are ignored by ``scan`` and
@@ -24,7 +25,7 @@ from terrace.llm.common import Batches, as_bytes, batch, documents, mapped
 
 KINDS = ("assign", "access", "hex", "random")  # in the order of spans with one start
 BASE_KINDS = KINDS[:3]
-MIN_RUN = 20
+MIN_RUN = 16
 CHARS_PER_TOKEN = 2.0
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
@@ -41,7 +42,8 @@ RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(rb"(?i)[0-9a-f]+")
 UUID = re.compile(rb"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}")
-MEAN_PART = 3.0
+TIME = re.compile(rb"[0-9]{4}-?[0-9]{2}-?[0-9]{2}[Tt_-][0-9]{2}[-_]?[0-9]{2}[-_]?[0-9]{2}[Zz]?")
+LETTER = re.compile(rb"[A-Za-z]")
 
 _HEX_CLASS = bytes(b"h"[0] if chr(b) in "0123456789abcdef" else b"."[0] for b in range(256))
 _RUN_CLASS = bytes(b"x"[0] if RUN.fullmatch(bytes([b]) * MIN_RUN) else b"."[0] for b in range(256))
@@ -63,15 +65,6 @@ def encoder(path: str, pattern: str):
     return _encoders[path]
 
 
-def identifier(run: bytes) -> bool:
-    """Words and numbers joined by separators or capitals: parts that are not short.
-
-    In random strings letters of both cases and digits take turns after a character or two.
-    """
-    parts = _PARTS.findall(run)
-    return sum(map(len, parts)) >= MEAN_PART * len(parts)
-
-
 def digest(run: bytes) -> bool:
     """Hexadecimal of a digest's length, or a UUID."""
     known = len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)
@@ -81,9 +74,20 @@ def digest(run: bytes) -> bool:
 def excluded(run: bytes) -> bool:
     """Whether a run is no candidate of the token test."""
     core = run.strip(b"-_=+/")
-    if not (any(48 <= b <= 57 for b in core) and any(b >= 65 for b in core)):
-        return True
-    return digest(core) or identifier(core)
+    return not LETTER.search(core) or digest(core) or bool(TIME.fullmatch(core))
+
+
+def random_string(run: bytes, encode) -> bool:
+    """Whether a run has few characters per token, as it stands and by its words and numbers.
+
+    The words are encoded in small letters; in a random string parts have a character or two, or
+    are as random as the whole.
+    """
+    if len(run) >= CHARS_PER_TOKEN * len(encode(run.decode())):
+        return False
+    parts = _PARTS.findall(run)
+    tokens = sum(len(encode(part.decode().lower())) for part in parts)
+    return sum(map(len, parts)) < CHARS_PER_TOKEN * tokens
 
 
 def byte_spans(text: bytes, encode) -> list[tuple[int, int, int]]:
@@ -105,7 +109,7 @@ def byte_spans(text: bytes, encode) -> list[tuple[int, int, int]]:
     if b"x" * MIN_RUN in text.translate(_RUN_CLASS):
         for m in RUN.finditer(text):
             run = m.group()
-            if not excluded(run) and len(run) < CHARS_PER_TOKEN * len(encode(run.decode())):
+            if not excluded(run) and random_string(run, encode):
                 spans.append((m.start(), 3, m.end()))
     return sorted(spans)
 

@@ -105,6 +105,38 @@ def test_base_spans_and_random_strings(spark):
     assert secret_scan.scan(no_docs(spark), RANKS, PATTERN).count() == 0
 
 
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = {
+    "letters": UPPER + LOWER, "upper": UPPER, "lower": LOWER, "base32": UPPER + "234567",
+    "lower and digits": LOWER + DIGITS, "upper and digits": UPPER + DIGITS,
+    "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/",
+}
+
+
+def is_random(run: str) -> bool:
+    encode = secret_scan.encoder(RANKS, PATTERN).encode_ordinary
+    spans = secret_scan.byte_spans(run.encode(), encode)
+    return any(secret_scan.KINDS[kind] == "random" for _, kind, _ in spans)
+
+
+@pytest.mark.parametrize("alphabet", sorted(ALPHABETS))
+@pytest.mark.parametrize("length", [16, 20, 32, 40])
+def test_random_strings_of_every_alphabet_are_found(alphabet, length):
+    rng = np.random.default_rng(length)
+    made = ["".join(rng.choice(list(ALPHABETS[alphabet]), length)) for _ in range(300)]
+    assert sum(map(is_random, made)) >= (0.8 if length < 32 else 0.93) * len(made)
+
+
+def test_words_identifiers_and_known_forms_are_no_random_strings():
+    known = (
+        "some_long_identifier_name_42 getUserNameFromCache HttpServletRequestWrapper internationalization"
+        " donaudampfschifffahrtsgesellschaft CONSTITUTIONALISATION MAX_CONNECTION_COUNT_8 order-20240115-abc123"
+        " src/main/java/org/apache xxxxxxxxxxxxxxxxxxxx 2024-01-15T10-20-30 4111-1111-1111-1111 4952935900253052"
+        " 0b5e0f5c-1c5e-4b0a-9d7b-2f6c1e8a9b10 9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    )
+    assert [w for w in known.split() if is_random(w)] == []
+
+
 def test_redaction_replaces_spans_only(spark):
     frame = docs(spark)
     done = secret_scan.redact(frame, RANKS, PATTERN)
