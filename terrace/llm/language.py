@@ -2,8 +2,8 @@
 
 Four kinds of evidence meet in one posterior per document:
 
-* the text: byte-trigram likelihoods of each language, fitted on a bounded sample of labelled
-  rows; the whole text counts, as the mean over its trigrams times at most ``EVIDENCE``
+* the text: byte-trigram likelihoods of each language, fitted on a bounded sample of the rows of
+  each label, so that every label with a text is a language of the model; the whole text counts, as the mean over its trigrams times at most ``EVIDENCE``
   trigrams, since neighbours in a text are not independent;
 * the declared markup language, trusted as far as it agrees with the texts: a table of
   declared by likely language is summed over all documents;
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm.common import Batches, batch, put
 
-SAMPLE_ROWS = 4000  # labelled rows that the text model is fitted on, about
+SAMPLE_ROWS = 4000  # rows of each label that the text model is fitted on, about
 FITTING_TASKS = 4
 CELLS = 1 << 16
 EVIDENCE = 60.0
@@ -82,17 +82,21 @@ def sums_of(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Trigram probabilities of each label from about ``sample_rows`` rows with text and label.
+    """Trigram probabilities of each label from about ``sample_rows`` of its rows.
 
-    The rows are chosen by a hash of their id. Each of a few tasks returns one array of counts
-    per label.
+    A label's rows with a text of a trigram are counted, and rows are chosen by a hash of id and
+    text: all of a label with up to ``sample_rows``, and always the row with its least hash. Each of
+    a few tasks returns the cells it has seen of each label.
     """
-    rows = labelled.select("doc_id", F.col("text"), F.col("label")).filter(
-        "label is not null and label != '' and text is not null"
-    )
-    total = labelled.count()
-    share = min(1.0, sample_rows / max(1, total))
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < round(share * (1 << 20)))
+    rows = labelled.select(
+        F.col("text"),
+        F.col("label"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("place"),
+    ).filter("label is not null and label != '' and octet_length(text) >= 3")
+    share = F.lit(float(sample_rows)) / F.col("n")
+    limits = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
+    limits = limits.select("label", F.greatest("least", share * float(1 << 40)).alias("limit"))
+    chosen = rows.join(F.broadcast(limits), "label").filter("place <= limit")
 
     def run(batches: Batches) -> Batches:
         counts: dict[str, np.ndarray] = {}
@@ -103,13 +107,15 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
                 own = counts.setdefault(labels[i], np.zeros(CELLS, np.int64))
                 own += np.bincount(cells[begin:end], minlength=CELLS)
         for label, own in counts.items():
-            yield batch(label=[label], counts=pa.array([own.tobytes()], pa.binary()))
+            seen = np.flatnonzero(own)
+            sent = (pa.array([x.tobytes()], pa.binary()) for x in (seen, own[seen]))
+            yield batch(label=[label], **dict(zip(("cells", "counts"), sent)))
 
     found: dict[str, np.ndarray] = {}
     spread = chosen.select("text", "label").repartition(FITTING_TASKS)
-    for row in spread.mapInArrow(run, "label string, counts binary").collect():
-        own = np.frombuffer(row["counts"], np.int64)
-        found[row["label"]] = found.get(row["label"], 0) + own
+    for row in spread.mapInArrow(run, "label string, cells binary, counts binary").collect():
+        own = found.setdefault(row["label"], np.zeros(CELLS, np.int64))
+        own[np.frombuffer(row["cells"], np.int64)] += np.frombuffer(row["counts"], np.int64)
     languages = sorted(found)
     scores = [
         np.log((found[n] + SMOOTHING) / (found[n].sum() + SMOOTHING * CELLS)) for n in languages

@@ -220,6 +220,18 @@ def test_languages_held_out_and_odd_rows(spark):
     assert {r.kept for r in language.identify(docs(spark), nothing).collect()} == {False}
 
 
+def test_every_label_is_in_the_model_however_rare(spark):
+    import pyspark.sql.functions as F
+
+    texts = [(SAMPLES["en"], "en")] * 3000 + [(SAMPLES["de"], "de")] * 3 + [(SAMPLES["en"], None)] * 3000
+    frame = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id bigint, text string, label string")
+    same = spark.createDataFrame([(None, "uno dos tres cuatro", "es")] * 2000, frame.schema)
+    model = language.fit(frame.unionByName(same), sample_rows=10)
+    assert model.languages == ("de", "en", "es", "und")
+    found = language.identify(frame, model).filter(F.col("doc_id").between(3000, 3002)).collect()
+    assert {(r.lang, r.kept) for r in found} == {("de", True)}
+
+
 def test_evidence_beyond_the_text_decides_short_texts(spark):
     import pyspark.sql.functions as F
 
