@@ -5,16 +5,20 @@ P(word | class). Classes come from exchange clustering: words move, each to the
 raises the likelihood of the training text most, until the rounds are over.
 
 Words with at least one in ``COMMON`` training tokens (at most ``COMMON`` words, whatever the
-input) are clustered one by one; all other words are clustered in ``ENDINGS`` groups of
-words that end alike. Emissions use the count of every single word, common or not.
+input) are clustered one by one, together with ``ENDINGS`` groups of other words that end alike.
+With these classes fixed, every other word seen ``SEEN`` times or more in training joins the class
+that gains most by its own neighbours; only words seen less often keep their group's. Emissions use the count of every single word, common or not.
 
 Passes over the text, each read whole where it lies:
 1. candidates for common words: a word that is common at all is common in some partition;
 2. pairs of neighbours among common words and groups, summed by pair;
+   the classes of the neighbours of each other word, gathered in each task, shuffled by word;
+   class pairs, counted anew with the classes found for them;
 3. all other words: gathered in each task, shuffled by word, and counted; each word's
    contribution goes back to the texts that hold it;
 4. transitions and common words of each text, joined with what pass 3 found for it.
-The driver sees common words, their classes and class counts, all bounded. A word that many
+The driver sees common words, their classes and class counts, all bounded, and nine bytes (a hash
+and a class) of each other word seen ``SEEN`` times; classes are exact up to that 64-bit hash. A word that many
 texts share is either common or has less than one in ``COMMON`` tokens, so no task gathers a hot
 word.
 
@@ -26,6 +30,7 @@ model is uniform.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -39,6 +44,7 @@ from terrace.llm.common import Batches, Memo, as_bytes, batch, put
 
 COMMON = 10_000
 ENDINGS = 256
+SEEN = 20  # training tokens from which a word has a class by its own neighbours
 CLASSES = 64
 ROUNDS = 16
 MOVED_AT_ONCE = 4  # one in so many words may move in a round
@@ -129,6 +135,157 @@ class Nodes:
         return np.array(nodes, np.int64), np.array(starts, np.int64)
 
 
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+@dataclass
+class Lookup:
+    """The class of every word: common words' own, further words' by hash, others' by group."""
+
+    nodes: Nodes
+    own: np.ndarray
+    hashes: np.ndarray  # of the further words, sorted
+    classes: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return int(self.own[self.nodes.end]) + 1
+
+    def of(self, word: bytes) -> int:
+        node = self.nodes.number.get(word)
+        if node is None:
+            wanted = np.uint64(word_hash(word))
+            at = int(np.searchsorted(self.hashes, wanted))
+            if at < len(self.hashes) and self.hashes[at] == wanted:
+                return int(self.classes[at])
+            node = self.nodes.group(word)
+        return int(self.own[node])
+
+    def code(self, word: bytes) -> int:
+        return self.nodes.of(word) * self.width + self.of(word)
+
+    def sequences(self, texts: list[bytes], memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and classes of all tokens, one text after the other, and where each text begins."""
+        codes: list[int] = []
+        starts = []
+        end = self.nodes.end * self.width + self.width - 1
+        for text in texts:
+            starts.append(len(codes))
+            codes += map(memo.__getitem__, words_of(text))
+            codes.append(end)
+        found = np.array(codes, np.int64)
+        return found // self.width, found % self.width, np.array(starts, np.int64)
+
+
+def further_words(
+    training: DataFrame, nodes: Nodes, own: np.ndarray, between: np.ndarray, seen: int = SEEN
+) -> Lookup:
+    """Every word that is not common and has ``seen`` training tokens joins its best class."""
+    spark = training.sparkSession
+    held = spark.sparkContext.broadcast((nodes, own, between))
+    width = len(between)
+    places = 2 * width + 1  # classes after, classes before, pairs with itself
+
+    def gather(batches: Batches) -> Batches:
+        nodes, own, _ = held.value
+        memo = Memo(nodes.of, WORDS_REMEMBERED)
+        place: dict[bytes, int] = {}
+        parts, size = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            codes, counts = summed(*map(np.concatenate, zip(*parts)))
+            offsets = pa.array(np.searchsorted(codes // places, np.arange(len(place) + 1)), pa.int32())
+            lists = (codes % places).astype(np.int16), counts.astype(np.int64)
+            at, n = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists)
+            return batch(word=pa.array(list(place), pa.binary()), at=at, n=n)
+
+        for b in batches:
+            for start in range(0, b.num_rows, TEXTS_AT_ONCE):
+                words: list[bytes | None] = []
+                for text in b["text"].slice(start, TEXTS_AT_ONCE).to_pylist():
+                    words += words_of(text)
+                    words.append(None)
+                found = np.array([nodes.end if w is None else memo[w] for w in words], np.int64)
+                classes = own[found]
+                tokens = np.flatnonzero((found >= len(nodes.common)) & (found < nodes.end))
+                if not len(tokens):
+                    continue
+                number = [place.setdefault(words[i], len(place)) for i in tokens.tolist()]
+                base = np.array(number, np.int64) * places
+                same = [words[i] == words[i + 1] for i in tokens.tolist()]  # an end follows at last
+                before = np.append(width - 1, classes[:-1])[tokens]
+                codes = [base + classes[tokens + 1], base + width + before, base[same] + 2 * width]
+                parts.append(np.unique(np.concatenate(codes), return_counts=True))
+                size += len(parts[-1][0])
+                if size > ENTRIES_HELD:
+                    yield flushed()
+                    place.clear()
+                    parts, size = [], 0
+        if parts:
+            yield flushed()
+
+    def assign(batches: Batches) -> Batches:
+        nodes, own, between = held.value
+        hashes: list[int] = []
+        best: list[int] = []
+
+        def settle(word: bytes, total: np.ndarray) -> None:
+            out, into, self_pairs = total[:width], total[width : 2 * width], total[-1]
+            if out.sum() >= seen:
+                now = int(own[nodes.group(word)])
+                rest, out, into = without(now, out, into, self_pairs, between)
+                gain = gains(rest, out, into, self_pairs)
+                top = int(gain.argmax())
+                hashes.append(word_hash(word))
+                best.append(top if gain[top] > gain[now] + 1e-6 else now)
+
+        last, total = None, np.zeros(places)
+        for b in batches:
+            for word, at, n in zip(b["word"].to_pylist(), *(b[c] for c in ("at", "n"))):
+                if word != last:
+                    if last is not None:
+                        settle(last, total)
+                    last, total = word, np.zeros(places)
+                total[at.values.to_numpy()] += n.values.to_numpy()
+        if last is not None:
+            settle(last, total)
+        found = np.array(hashes, np.uint64).tobytes(), np.array(best, np.uint8).tobytes()
+        yield batch(hashes=pa.array([found[0]], pa.binary()), classes=pa.array([found[1]], pa.binary()))
+
+    gathered = training.select("text").mapInArrow(gather, "word binary, at array<smallint>, n array<bigint>")
+    together = gathered.repartition("word").sortWithinPartitions("word")
+    rows = together.mapInArrow(assign, "hashes binary, classes binary").collect()
+    hashes = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint64)
+    classes = np.frombuffer(b"".join(r["classes"] for r in rows), np.uint8)
+    order = np.argsort(hashes, kind="stable")
+    return Lookup(nodes, own, hashes[order], classes[order])
+
+
+def class_pairs_of(training: DataFrame, lookup: Lookup) -> np.ndarray:
+    """How often each class follows each, with the classes of all words."""
+    held = training.sparkSession.sparkContext.broadcast(lookup)
+    width = lookup.width
+
+    def run(batches: Batches) -> Batches:
+        memo = Memo(held.value.code, WORDS_REMEMBERED)
+        total = np.zeros(width * width, np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, TEXTS_AT_ONCE):
+                texts = b["text"].slice(at, TEXTS_AT_ONCE).to_pylist()
+                _, after, _ = held.value.sequences(texts, memo)
+                before = np.append(width - 1, after[:-1])
+                total += np.bincount(before * width + after, minlength=width * width)
+        pair = np.flatnonzero(total)
+        yield batch(pair=pair, n=total[pair])
+
+    pairs = training.select("text").mapInArrow(run, "pair bigint, n bigint")
+    total = np.zeros(width * width)
+    for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        total[r["pair"]] = r["n"]
+    return total.reshape(width, width)
+
+
 def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
@@ -319,12 +476,13 @@ def cluster(pairs: DataFrame, nodes: Nodes, classes: int = CLASSES, rounds: int
     return own, between, counts
 
 
-def rare_words(rows: DataFrame, nodes: Nodes, own: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+def rare_words(rows: DataFrame, nodes: Nodes, lookup: Lookup) -> tuple[DataFrame, np.ndarray]:
     """What the words that are not common add to each text: key, logs (the sum of
     log10(count + 0.5)) and known tokens; and how many known such words each class has."""
     spark = rows.sparkSession
     held = spark.sparkContext.broadcast(nodes)
-    classes = spark.sparkContext.broadcast(own)
+    classes = spark.sparkContext.broadcast(lookup)
+    width = lookup.width
 
     def gather(batches: Batches) -> Batches:
         common = held.value.number
@@ -367,8 +525,7 @@ def rare_words(rows: DataFrame, nodes: Nodes, own: np.ndarray) -> tuple[DataFram
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Batches) -> Batches:
-        nodes, own = held.value, classes.value
-        known_words = np.zeros(int(own.max(initial=0)) + 1, np.int64)
+        known_words = np.zeros(width, np.int64)
         parts: list[tuple[np.ndarray, ...]] = []  # key, logs, known
         size = 0
         words, trained, lengths = [], *(np.zeros(0, np.int64) for _ in range(2))
@@ -381,7 +538,7 @@ def rare_words(rows: DataFrame, nodes: Nodes, own: np.ndarray) -> tuple[DataFram
             total = np.bincount(number, trained)
             for i in np.flatnonzero(new):
                 if total[number[i]]:
-                    known_words[own[nodes.group(words[i])]] += 1
+                    known_words[classes.value.of(words[i])] += 1
             at = np.repeat(number, lengths)
             logs = np.log10(total + ADDED)[at] * times
             parts.append(merged(keys, logs, np.where(total[at] > 0, times, 0)))
@@ -435,7 +592,7 @@ def rare_words(rows: DataFrame, nodes: Nodes, own: np.ndarray) -> tuple[DataFram
     lists = "bucket int, keys array<bigint>, logs array<double>, known array<bigint>"
     counted = together.mapInArrow(count, lists).repartition("bucket")
     found = put(counted.mapInArrow(total, "key bigint, class bigint, logs double, known bigint"))
-    vocabulary = np.zeros(int(own.max(initial=0)) + 1, np.int64)
+    vocabulary = np.zeros(width, np.int64)
     for r in found.filter(F.col("class").isNotNull()).collect():
         vocabulary[r["class"]] = r["known"]
     return found.filter(F.col("class").isNull()).select("key", "logs", "known"), vocabulary
@@ -448,7 +605,9 @@ def score(docs: DataFrame) -> DataFrame:
     training = rows.filter(~F.col("held_out"))
     nodes = Nodes(common_words(training))
     own, between, counts = cluster(neighbours(training, nodes), nodes)
-    rare, rare_known = rare_words(rows, nodes, own)
+    lookup = further_words(training, nodes, own, between)
+    between = class_pairs_of(training, lookup)
+    rare, rare_known = rare_words(rows, nodes, lookup)
 
     tokens = int(counts.sum())
     single = np.append(np.arange(len(nodes.common)), nodes.end)  # nodes that are one word
@@ -462,8 +621,7 @@ def score(docs: DataFrame) -> DataFrame:
     one_word = np.zeros(nodes.count, bool)
     one_word[single] = True
     model = (
-        nodes,
-        own,
+        lookup,
         np.log10(transition) - emission[None, :],
         np.where(one_word, np.log10(counts + ADDED), 0.0),
         one_word & (counts > 0),
@@ -471,16 +629,15 @@ def score(docs: DataFrame) -> DataFrame:
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Batches) -> Batches:
-        nodes, own, step, log_count, is_known = held.value
-        memo = Memo(nodes.of, WORDS_REMEMBERED)
+        lookup, step, log_count, is_known = held.value
+        memo = Memo(lookup.code, WORDS_REMEMBERED)
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
                 b = whole.slice(at, TEXTS_AT_ONCE)
-                found, starts = nodes.sequences(b["text"].to_pylist(), memo)
+                found, classes, starts = lookup.sequences(b["text"].to_pylist(), memo)
                 if not len(starts):
                     continue
-                classes = own[found]
-                steps = step[np.append(own[nodes.end], classes[:-1]), classes]
+                steps = step[np.append(lookup.width - 1, classes[:-1]), classes]
                 yield batch(
                     doc_id=b["doc_id"],
                     held_out=b["held_out"],

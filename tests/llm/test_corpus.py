@@ -6,6 +6,7 @@ import base64
 import hashlib
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyspark.sql.functions as F
@@ -111,6 +112,17 @@ def test_classes_find_structure_and_lower_perplexity(spark, data):
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
 
 
+def test_words_below_the_common_ones_have_classes_by_their_neighbours(spark, monkeypatch):
+    """Words of one ending and of two uses, like those of two common words."""
+    monkeypatch.setattr(brown, "common_words", lambda training: [b"aa", b"bb", b"cc", b"dd", b"p", b"q"])
+    monkeypatch.setattr(brown, "cluster", partial(brown.cluster, classes=7))
+    texts = [f"aa w{i}xyz bb cc v{i}xyz dd aa p bb cc q dd" for i in range(10) for _ in range(40)]
+    odd = ["aa w1xyz bb cc v1xyz dd", "aa v1xyz bb cc w1xyz dd"]
+    frame = spark.createDataFrame(list(enumerate(texts + odd)), "doc_id bigint, text string")
+    score = {r.doc_id: r.score for r in brown.score(frame).collect()}
+    assert score[400] > score[401] + 1
+
+
 def test_gains_are_differences_of_likelihood():
     rng = np.random.default_rng(3)
     pairs = rng.integers(0, 20, (12, 12)).astype(float)
