@@ -89,3 +89,127 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     AND host NOT IN (SELECT host FROM bad) AS kept
 FROM measured
 """
+
+ORACLE["op11_exact_dedup"] = r"""
+WITH normalised AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id,
+  first_value(doc_id) OVER ids AS keep_id,
+  count(*) OVER (PARTITION BY text_sha256) AS group_size,
+  row_number() OVER ids = 1 AS kept,
+  text_sha256
+FROM normalised
+WINDOW ids AS (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST, r)
+"""
+
+_TERMS = r"""unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+
+ORACLE["op12_lexical_search"] = rf"""
+WITH asked AS (
+  SELECT r, item_id, term, count(*) AS times
+  FROM (SELECT r, item_id, {_TERMS} FROM (SELECT row_number() OVER () AS r, * FROM benchmark))
+  GROUP BY r, item_id, term
+), found AS (
+  SELECT r, doc_id, term, count(*) AS tf
+  FROM (SELECT r, doc_id, {_TERMS} FROM (SELECT row_number() OVER () AS r, * FROM documents))
+  GROUP BY r, doc_id, term
+), sizes AS (
+  SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM found GROUP BY r
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM sizes
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM found, totals WHERE term IN (SELECT term FROM asked) GROUP BY term
+), scored AS (
+  SELECT a.r AS item, a.item_id, f.r, f.doc_id,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // l)))) AS BIGINT) AS score
+  FROM asked a JOIN found f USING (term) JOIN weights USING (term) JOIN sizes s ON s.r = f.r, totals
+  GROUP BY a.r, a.item_id, f.r, f.doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0
+) WHERE rank <= 10
+"""
+
+# States: 0 nothing yet, 1 after system, 2 after user, 3 after assistant. The CRC-32 is that of
+# the polynomial 0xEDB88320, its table made by rule. A repair is compared by cost, then audit, which determine its text.
+ORACLE["op13_conversation_repair"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t
+), named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations
+), kinds AS (
+  SELECT *, xor(list_reduce(
+      list_concat([4294967295], list_transform(string_split(name, ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS INTEGER) + 1])), 4294967295) % 20 AS kind
+  FROM named, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, (VALUES (1), (2)) AS copies (copy)
+  WHERE kind <> 0 AND (copy = 1 OR kind = 3)
+), placed AS (
+  SELECT *, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM damaged
+), marked AS (
+  SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), inserted (state, between_state, letters, given) AS (
+  VALUES (0, 0, '', []), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []),
+    (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (3, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']),
+    (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:'])
+), edited (between_state, next_state, letter, initial, given) AS (
+  VALUES (0, 0, 'D', '', ''), (1, 1, 'D', '', ''), (2, 2, 'D', '', ''), (3, 3, 'D', '', ''),
+    (0, 1, 'K', 's', ''), (0, 2, 'K', 'u', ''), (1, 2, 'K', 'u', ''), (3, 2, 'K', 'u', ''), (2, 3, 'K', 'a', ''),
+    (0, 2, 'R', 'u', 'user'), (1, 2, 'R', 'u', 'user'), (3, 2, 'R', 'u', 'user'), (2, 3, 'R', 'a', 'assistant')
+), best AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state,
+    {'cost': CAST(0 AS BIGINT), 'audit': '', 'said': CAST([] AS VARCHAR[])} AS way
+  FROM conversations
+  UNION ALL
+  SELECT b.conv_id, m.i, next_state, min({
+    'cost': CAST(way.cost + 2 * length(letters)
+      + CASE letter WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END
+      + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS BIGINT),
+    'audit': way.audit || letters || letter,
+    'said': list_concat(way.said, n.given, CASE letter WHEN 'D' THEN CAST([] AS VARCHAR[])
+      WHEN 'K' THEN [m.role || ':' || text] ELSE [e.given || ':' || text] END)})
+  FROM best b
+  JOIN marked m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.i = b.i + 1
+  JOIN inserted n ON n.state = b.state
+  JOIN edited e ON e.between_state = n.between_state
+    AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate'))
+    AND (letter = 'D' OR (letter = 'K') = (e.initial = m.initial))
+  GROUP BY b.conv_id, m.i, next_state
+), counted AS (
+  SELECT conv_id, count(*) AS rows,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id
+), ended AS (
+  SELECT b.conv_id, min({'cost': CAST(way.cost + 2 * length(letters) AS BIGINT), 'audit': way.audit || letters,
+    'said': list_concat(way.said, given)}) AS way
+  FROM best b LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+  JOIN inserted n ON n.state = b.state AND between_state IN (0, 3)
+  WHERE i = coalesce(c.rows, 0) GROUP BY b.conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, way.cost AS cost, way.audit AS audit,
+  sha256(array_to_string(way.said, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

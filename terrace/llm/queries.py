@@ -12,11 +12,14 @@ from terrace.llm import (
     bpe,
     brown,
     chat,
+    exact_dedup,
     host_rules,
     jaccard,
     language,
+    lexical_search,
     multi_index,
     packing,
+    repair,
     secret_scan,
     warc,
 )
@@ -178,3 +181,22 @@ def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under links of shingle sets."""
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for every document, by its normalised text."""
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for every benchmark item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical_search.search(docs, items)
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged, and repaired at the least cost."""
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
