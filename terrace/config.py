@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,8 @@ class Layout:
     # Snapshots never change, so the rows are the same and nothing is rewritten; the
     # snapshot must then be kept as long as the table.
     link_bronze: bool = False
+    # How long a version of a table stays after it was replaced, for jobs that still read it.
+    keep_versions_for: timedelta = timedelta(days=1)
 
     @property
     def databases(self) -> dict[str, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable
 from functools import reduce
 from operator import or_
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def any_different(pairs: Mapping[str, str]) -> Column:
+def any_different(pairs: Iterable[tuple[Column, Column]]) -> Column:
     """True when any pair of columns differs, counting NULL against a value as different."""
-    changes = (~F.col(left).eqNullSafe(F.col(right)) for left, right in pairs.items())
+    changes = (~left.eqNullSafe(right) for left, right in pairs)
     return reduce(or_, changes, F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions.calendar import calendar_attributes
+from terrace.functions.names import free_name, quoted
 from terrace.operators.keys import assign_keys, extend_keys
 
 
@@ -56,9 +57,10 @@ def lookup(
     join has no hint: Spark broadcasts the dimension if its measured size allows it and
     shuffles otherwise, splitting a skewed key.
     """
+    own = [free_name(f"_on_{i}", df.columns, take) for i in range(len(on))]
     wanted = dimension.select(
-        *[F.col(d).alias(f"_on_{i}") for i, d in enumerate(on.values())],
-        *[F.col(c).alias(name) for name, c in take.items()],
+        *[F.col(quoted(d)).alias(o) for o, d in zip(own, on.values())],
+        *[F.col(quoted(c)).alias(name) for name, c in take.items()],
     )
-    matches = [F.col(c) == F.col(f"_on_{i}") for i, c in enumerate(on)]
-    return df.join(wanted, matches, how).drop(*[f"_on_{i}" for i in range(len(on))])
+    matches = [F.col(quoted(c)) == F.col(o) for o, c in zip(own, on)]
+    return df.join(wanted, matches, how).drop(*own)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions.names import free_name
 from terrace.functions.money import cents, from_cents, line_total, mean_money
 from terrace.operators.dimensions import lookup
 from terrace.operators.scd2 import current_rows
 
-CUSTOMER_KEYS = {"customer_key": "customer_key", "_rep": "support_rep_key"}
 TRACK_KEYS = {k: k for k in ("track_key", "album_key", "genre_key", "media_type_key")}
 
 
@@ -21,12 +21,14 @@ def keyed_invoices(
     These keys belong to the invoice, so they are looked up there, on the smaller side,
     and reach the lines with the one join that lines and invoices need in any case.
     """
-    dated = invoices.withColumn("_day", F.col("InvoiceDate").try_cast("date"))
+    day, rep = (free_name(n, invoices.columns) for n in ("_day", "_rep"))
+    dated = invoices.withColumn(day, F.col("InvoiceDate").try_cast("date"))
+    of_customer = {"customer_key": "customer_key", rep: "support_rep_key"}
     keyed = lookup(
-        dated, current_rows(customers), {"CustomerId": "customer_id"}, CUSTOMER_KEYS, "inner"
+        dated, current_rows(customers), {"CustomerId": "customer_id"}, of_customer, "inner"
     )
-    keyed = lookup(keyed, dates, {"_day": "full_date"}, {"date_key": "date_key"}, "inner")
-    return lookup(keyed, employees, {"_rep": "employee_key"}, {"employee_key": "employee_key"})
+    keyed = lookup(keyed, dates, {day: "full_date"}, {"date_key": "date_key"}, "inner")
+    return lookup(keyed, employees, {rep: "employee_key"}, {"employee_key": "employee_key"})
 
 
 def sales_fact(

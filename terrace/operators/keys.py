@@ -1,11 +1,12 @@
-"""Dense surrogate keys: 1..n in natural-key order, by one plan for every size.
-
-A window over the whole table would move every row to one task. Rows are instead sorted into
-key ranges by Spark, numbered within each range where they lie, and staged; the number of rows
-in the ranges before is added on reading. Staged numbers stay what they are, whatever has to
-be recomputed later. A key shared by very many rows is cut into several ranges by a hash of
-the row; only exact copies of one row stay together. Rows are carried along without being
-compared, so that columns of any type may come with them.
+"""Dense surrogate keys: 1..n in natural-key order, without a window over the whole table.
+
+Spark sorts rows into key ranges and numbers them within each range where they lie. What one
+range can hold (``RANGE_BYTES`` of files to read) is one range, numbered as part of the query
+that uses it. More is sorted into as many ranges as a shuffle has partitions; the numbered rows
+are staged, so that they stay what they are whatever has to be recomputed later, and the number
+of rows in the ranges before is added on reading. A key shared by very many rows is cut into
+several ranges by the rows' fingerprints; only exact copies of one row stay together. Rows are
+carried along without being compared, so that columns of any type may come with them.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.functions.fingerprint import fingerprint
 from terrace.functions.names import free_name, quoted
+from terrace.session import PARTITION_BYTES
 from terrace.sources.staging import stage
 
+RANGE_BYTES = PARTITION_BYTES
 _WITHIN = 33  # bits of monotonically_increasing_id that count within a partition
 
 
@@ -30,8 +34,8 @@ def assign_keys(
 ) -> DataFrame:
     """Prepend ``key``: ``base`` plus the row's position in ``order_by`` order, NULLs first.
 
-    ``base`` may be a scalar subquery, such as the highest key in use. Rows are sorted and
-    staged when this is called.
+    ``base`` may be a scalar subquery, such as the highest key in use. Rows of more than one
+    range are sorted and staged when this is called, which is the only time they are shuffled.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     position = free_name("_position", df.columns)
@@ -56,27 +60,40 @@ def extend_keys(
     ``reserved`` raises the floor for new keys, so that a number given out before, or still
     referenced elsewhere, is not given out again.
 
-    Rows are staged once, and joined once, with their new keys by position; all else moves
-    natural keys and numbers only.
+    Natural keys, fingerprints and numbers find the keys. Whole rows are shuffled once, to
+    meet theirs; exact copies of a row meet all of theirs as one row.
     """
-    position = free_name("_position", df.columns, [key])
-    rows = placed(df, [natural], position)
+    small = fits_one_range(df, known)
+    settle = (lambda rows: rows) if small else stage
+    one, two = fingerprint(df)
+    names = df.select(F.col(quoted(natural)).alias("natural"), one.alias("one"), two.alias("two"))
+    own = placed(names, ["natural", "one", "two"], "position")
     given = known.select(F.col(quoted(natural)).alias("natural"), F.col(quoted(key)).alias("key"))
     given = _ordinals(placed(given, ["natural", "key"], "position"))
-    own = rows.select(F.col(position).alias("position"), F.col(quoted(natural)).alias("natural"))
     given = given.select(*[F.col(c).alias(f"known_{c}") for c in ("natural", "nth", "key")])
     same = F.col("natural").eqNullSafe(F.col("known_natural")) & (F.col("nth") == F.col("known_nth"))
-    matched = stage(
-        _ordinals(own).join(given, same, "left").select("position", F.col("known_key").alias("key"))
+    columns = ["natural", "one", "two", "position"]
+    matched = settle(
+        _ordinals(own).join(given, same, "left").select(*columns, F.col("known_key").alias("key"))
     )
     floor = highest_key(known, key)
     if reserved is not None:
         floor = F.greatest(floor, reserved)
-    fresh = placed(matched.where("key IS NULL").select("position"), ["position"], "nth")
-    fresh = fresh.select("position", (floor + F.col("nth")).cast(key_type).alias("key"))
+    fresh = placed(matched.where("key IS NULL").drop("key"), ["position"], "nth")
+    fresh = fresh.select(*columns, (floor + F.col("nth")).cast(key_type).alias("key"))
     kept = matched.where("key IS NOT NULL").withColumn("key", F.col("key").cast(key_type))
-    keyed = kept.unionByName(fresh).select(F.col("position").alias(position), F.col("key").alias(key))
-    return rows.join(keyed, position).select(quoted(key), *map(quoted, df.columns))
+    keyed = kept.unionByName(fresh).select("natural", "one", "two", "key")
+
+    row = F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    whole = df.select(
+        F.col(quoted(natural)).alias("own"), one.alias("a"), two.alias("b"), row.alias("row")
+    )
+    copies = own.groupBy("natural", "one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if small or not copies.isEmpty():
+        whole = whole.groupBy("own", "a", "b").agg(F.first("row").alias("row"))
+    meets = [F.col("own").eqNullSafe(F.col("natural")), F.col("a") == F.col("one"), F.col("b") == F.col("two")]
+    fields = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns)]
+    return whole.join(keyed, meets).select(F.col("key").alias(key), *fields)
 
 
 def highest_key(df: DataFrame, key: str) -> Column:
@@ -84,14 +101,32 @@ def highest_key(df: DataFrame, key: str) -> Column:
     return df.select(F.coalesce(F.max(quoted(key)), F.lit(0))).scalar()
 
 
+def fits_one_range(*frames: DataFrame) -> bool:
+    """Whether all that the frames read is small enough to be sorted by one task.
+
+    Known from the sizes of files, without a job. What has no known size does not fit. An
+    estimate that is off, say by a join that multiplies rows, costs time, not the result.
+    """
+    total = 0
+    for df in frames:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total += sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return total <= RANGE_BYTES
+
+
 def placed(df: DataFrame, order: Sequence[str], position: str) -> DataFrame:
-    """The rows, staged, with their position from 1 in the order of the columns, NULLs first."""
+    """The rows with their position from 1 in the order of the columns, NULLs first."""
     at = free_name("_at", df.columns, [position])
-    tie = free_name("_tie", df.columns)
-    ends = [*map(quoted, order), tie]
-    ranges = df.withColumn(tie, fingerprint(df)).repartitionByRange(*ends)
-    sorted_rows = ranges.sortWithinPartitions(*ends).drop(tie)
-    staged = stage(sorted_rows.withColumn(at, F.monotonically_increasing_id()), spread=False)
+    ties = [free_name(f"_tie_{i}", df.columns) for i in range(2)]
+    ends = [*map(quoted, order), *ties]
+    tagged = df.withColumns(dict(zip(ties, fingerprint(df))))
+    single = fits_one_range(df)
+    ranges = tagged.repartitionByRange(1, *ends) if single else tagged.repartitionByRange(*ends)
+    sorted_rows = ranges.sortWithinPartitions(*ends).withColumn(at, F.monotonically_increasing_id())
+    sorted_rows = sorted_rows.select(*map(quoted, df.columns), at)
+    if single:  # no ranges before
+        return sorted_rows.select(*map(quoted, df.columns), (F.col(at) + 1).alias(position))
+    staged = stage(sorted_rows, spread=False)
 
     part = F.shiftright(at, _WITHIN)
     sizes = staged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size"))
@@ -106,16 +141,6 @@ def placed(df: DataFrame, order: Sequence[str], position: str) -> DataFrame:
     return joined.select(*map(quoted, df.columns), number.alias(position))
 
 
-def fingerprint(df: DataFrame) -> Column:
-    """A 64-bit hash of the row; maps, which cannot be hashed, as their sorted entries."""
-    maps = [f.name for f in df.schema if "map<" in f.dataType.simpleString()]
-    parts = [
-        F.to_json(F.struct(F.col(quoted(c)).alias("c"))) if c in maps else F.col(quoted(c))
-        for c in df.columns
-    ]
-    return F.xxhash64(*parts)
-
-
 def _ordinals(df: DataFrame) -> DataFrame:
     """Add ``nth``: the row's place, from 0, among rows with its ``natural`` key."""
     firsts = df.groupBy("natural").agg(F.min("position").alias("first"))

@@ -16,9 +16,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions.fingerprint import fingerprint
 from terrace.functions.names import free_name, quoted
-from terrace.operators.keys import fingerprint
-from terrace.sources.staging import stage
 
 
 class Rule(NamedTuple):
@@ -82,14 +81,15 @@ def split(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
 
 
 def violating_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One row per broken rule: the row's columns, then rule and column name."""
+    """One row per broken rule: the row's columns, then ``failed_rule`` and ``failed_column``,
+    with underscores before them where the table has such columns."""
     _, failed = split(df, rules)
     broken = free_name("violation", df.columns)
     exploded = failed.withColumn(broken, F.explode(violations(rules)))
     return exploded.select(
         *map(quoted, df.columns),
-        F.col(broken)["rule"].alias("failed_rule"),
-        F.col(broken)["column"].alias("failed_column"),
+        F.col(broken)["rule"].alias(free_name("failed_rule", df.columns)),
+        F.col(broken)["column"].alias(free_name("failed_column", df.columns)),
     )
 
 
@@ -132,14 +132,31 @@ def quarantine_records(
     NULL fields are kept in the JSON so that the row can be restored from it.
     """
     _, failed = split(df, rules)
-    whole_row = F.to_json(F.struct(*map(quoted, df.columns)), {"ignoreNullFields": "false"})
-    broken = failed.select(violations(rules).alias("broken"), whole_row.alias("record_data"))
-    labels = F.transform("broken", lambda v: F.concat(v["rule"], F.lit(":"), v["column"]))
-    return broken.select(
+    rejected = failed.select(rejection(rules, df.columns).alias("r")).select("r.*")
+    return as_quarantine(rejected, table_name, execution_time)
+
+
+def rejection(rules: Sequence[Rule], columns: Sequence[str]) -> Column:
+    """What the quarantine keeps of a failed row: the broken rules, their columns, and the row
+    as JSON."""
+    broken = violations(rules)
+    labels = F.transform(broken, lambda v: F.concat(v["rule"], F.lit(":"), v["column"]))
+    named = F.transform(broken, lambda v: v["column"])
+    whole_row = F.to_json(F.struct(*map(quoted, columns)), {"ignoreNullFields": "false"})
+    return F.struct(
+        F.array_join(labels, ",").alias("failed_rule"),
+        F.array_join(named, ",").alias("failed_column"),
+        whole_row.alias("record_data"),
+    )
+
+
+def as_quarantine(rejected: DataFrame, table_name: str, execution_time: datetime) -> DataFrame:
+    """Rejections as records of the quarantine."""
+    return rejected.select(
         F.lit(table_name).alias("table_name"),
         F.lit(execution_time).alias("execution_time"),
-        F.array_join(labels, ",").alias("failed_rule"),
-        F.array_join("broken.column", ",").alias("failed_column"),
+        "failed_rule",
+        "failed_column",
         "record_data",
         F.lit(execution_time.date()).alias("created_date"),
     )
@@ -197,27 +214,11 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def duplicate_counts(df: DataFrame) -> DataFrame:
-    """One row: how many full rows repeat an earlier one (``duplicates``).
+    """One row: how many full rows repeat an earlier one (``duplicates``). One scan.
 
-    Whole rows are not shuffled to find out. Their 64-bit hashes are counted first; only rows
-    whose hash repeats are then compared in full, so that hash collisions cannot distort the
-    result. Spark chooses how to join the repeated hashes by their true size. A row copied
-    many times collapses in the map-side aggregate of either step. Maps are compared by their
-    JSON. The first step runs when called.
+    Whole rows are not shuffled to find out, but their 128-bit fingerprints. A row copied
+    many times collapses in the map-side aggregate.
     """
-    mark = free_name("_fingerprint", df.columns)
-    copies = free_name("_copies", df.columns)
-    repeated = stage(
-        df.groupBy(fingerprint(df).alias(mark)).agg(F.count(F.lit(1)).alias(copies)).where(f"{copies} > 1")
-    )
-    marked = df.withColumn(mark, fingerprint(df))
-    suspects = marked.join(repeated.select(mark), mark, "left_semi")
-    maps = {f.name for f in df.schema if "map<" in f.dataType.simpleString()}
-    whole = [
-        F.to_json(F.struct(F.col(quoted(c)).alias("c"))) if c in maps else F.col(quoted(c))
-        for c in df.columns
-    ]
-    groups = suspects.groupBy(*[c.alias(f"c{i}") for i, c in enumerate(whole)])
-    return groups.agg(F.count(F.lit(1)).alias("copies")).agg(
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates")
-    )
+    one, two = fingerprint(df)
+    groups = df.groupBy(one.alias("one"), two.alias("two")).agg(F.count(F.lit(1)).alias("copies"))
+    return groups.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"))

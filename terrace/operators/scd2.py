@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions.compare import any_different
+from terrace.functions.names import free_name, quoted
 from terrace.operators.keys import assign_keys, highest_key
 from terrace.sources.staging import stage
 
@@ -33,6 +34,11 @@ class Versioned:
         validity = ["effective_start_date", "effective_end_date", "is_current"]
         return [self.key, self.natural, *self.attributes, *validity]
 
+    @property
+    def marks(self) -> tuple[str, str]:
+        """The columns that changes have besides: the key of the current version, the action."""
+        return free_name("_key", self.columns), free_name("_action", self.columns)
+
 
 def current_rows(dimension: DataFrame) -> DataFrame:
     return dimension.where("is_current")
@@ -51,7 +57,7 @@ def unique_members(df: DataFrame, natural: str) -> DataFrame:
     Natural keys alone are counted, in each task first, so that a key with very many rows
     costs no task of its own.
     """
-    counted = df.groupBy(F.col(natural).alias("member")).agg(F.count(F.lit(1)).alias("copies"))
+    counted = df.groupBy(F.col(quoted(natural)).alias("member")).agg(F.count(F.lit(1)).alias("copies"))
     repeated = counted.where("copies > 1").limit(1).collect()
     if repeated:
         raise ValueError(f"duplicate {natural} in the incoming snapshot: {repeated[0]['member']}")
@@ -65,7 +71,7 @@ def _opened(df: DataFrame, spec: Versioned, as_of: date) -> DataFrame:
             "effective_end_date": F.lit(None).cast("date"),
             "is_current": F.lit(True),
         }
-    ).select(*spec.columns)
+    ).select(*map(quoted, spec.columns))
 
 
 def scd2_initial(incoming: DataFrame, spec: Versioned, as_of: date, **options) -> DataFrame:
@@ -79,28 +85,75 @@ def scd2_changes(
 ) -> DataFrame:
     """Incoming rows that are new or differ from the current version.
 
-    Adds ``_key``, the surrogate of the current version, and ``_action``: "new",
+    Adds ``spec.marks``: ``_key``, the surrogate of the current version, and ``_action``: "new",
     "supersede", or "amend" for a version that only opened on ``as_of`` and so is
     corrected in place. NULL against a value is a difference.
     """
+    key, action = spec.marks
     current = current_rows(dimension).select(
-        F.col(spec.natural).alias("_member"),
-        F.col(spec.key).alias("_key"),
-        F.col("effective_start_date").alias("_since"),
-        *[F.col(c).alias(f"_was_{c}") for c in spec.tracked],
+        F.struct(
+            F.col(quoted(spec.natural)).alias("member"),
+            F.col(quoted(spec.key)).alias("key"),
+            F.col("effective_start_date").alias("since"),
+            *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(spec.tracked)],
+        ).alias("was")
     )
-    members = unique_members(incoming, spec.natural)
-    paired = members.join(current, F.col(spec.natural).eqNullSafe(F.col("_member")), "left")
-    differs = any_different({f"_was_{c}": c for c in spec.tracked})
-    action = (
-        F.when(F.col("_key").isNull(), NEW)
-        .when(differs & (F.col("_since") >= F.lit(as_of)), AMEND)
+    members = unique_members(incoming, spec.natural).select(
+        F.struct(*[quoted(c) for c in (spec.natural, *spec.attributes)]).alias("now")
+    )
+    field = lambda side, name: F.col(side).getField(name)
+    same = field("now", spec.natural).eqNullSafe(field("was", "member"))
+    paired = members.join(current, same, "left")
+    differs = any_different(
+        [(field("was", f"c{i}"), field("now", c)) for i, c in enumerate(spec.tracked)]
+    )
+    found = (
+        F.when(field("was", "key").isNull(), NEW)
+        .when(differs & (field("was", "since") >= F.lit(as_of)), AMEND)
         .when(differs, SUPERSEDE)
     )
-    return (
-        paired.withColumn("_action", action)
-        .where("_action IS NOT NULL")
-        .select(spec.natural, *spec.attributes, "_key", "_action")
+    return paired.where(found.isNotNull()).select(
+        *[field("now", c).alias(c) for c in (spec.natural, *spec.attributes)],
+        field("was", "key").alias(key),
+        found.alias(action),
+    )
+
+
+def scd2_closed(dimension: DataFrame, changes: DataFrame, spec: Versioned, as_of: date) -> DataFrame:
+    """The versions that changes supersede, closed the day before ``as_of``."""
+    key, action = spec.marks
+    superseded = changes.where(F.col(action) == SUPERSEDE).select(F.col(key).alias("touched"))
+    ending = current_rows(dimension).alias("d").join(
+        superseded.alias("c"), F.col(f"d.{quoted(spec.key)}") == F.col("c.touched"), "left_semi"
+    )
+    validity = {
+        "effective_end_date": F.date_sub(F.lit(as_of), 1),
+        "is_current": F.lit(False),
+    }
+    return ending.withColumns(validity).select(*map(quoted, spec.columns))
+
+
+def scd2_kept(dimension: DataFrame, changes: DataFrame, spec: Versioned) -> DataFrame:
+    """The current versions that stay, corrected where a change amends them."""
+    key, action = spec.marks
+    touched = changes.where(F.col(action) != NEW).select(
+        F.struct(
+            F.col(key).alias("key"),
+            F.col(action).alias("action"),
+            *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(spec.attributes)],
+        ).alias("change")
+    )
+    rows = current_rows(dimension).select(F.struct(*map(quoted, spec.columns)).alias("row"))
+    field = lambda side, name: F.col(side).getField(name)
+    paired = rows.join(touched, field("row", spec.key) == field("change", "key"), "left")
+    kept = paired.where(~field("change", "action").eqNullSafe(SUPERSEDE))
+    amended = field("change", "action").eqNullSafe(AMEND)
+    attributes = {
+        c: F.when(amended, field("change", f"c{i}")).otherwise(field("row", c))
+        for i, c in enumerate(spec.attributes)
+    }
+    return kept.select(
+        *[attributes.get(c, field("row", c)).alias(c) for c in spec.columns]
     )
 
 
@@ -109,35 +162,21 @@ def scd2_close(
 ) -> DataFrame:
     """All existing versions, those that were superseded closed the day before ``as_of``.
 
-    Closed history is passed through without a join and lands in files of its own, which
-    later reads of the current versions skip by their statistics.
+    Closed history is passed through without a join.
     """
     history = dimension.where("is_current = false OR is_current IS NULL")
-    touched = changes.where(f"_action <> '{NEW}'").select(
-        F.col("_key").alias("_touched"),
-        "_action",
-        *[F.col(c).alias(f"_new_{c}") for c in spec.attributes],
-    )
-    paired = current_rows(dimension).join(touched, F.col(spec.key) == F.col("_touched"), "left")
-    superseded = F.col("_action").eqNullSafe(SUPERSEDE)
-    amended = F.col("_action").eqNullSafe(AMEND)
-    ended = F.date_sub(F.lit(as_of), 1)
-    attributes = {
-        c: F.when(amended, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in spec.attributes
-    }
-    validity = {
-        "effective_end_date": F.when(superseded, ended).otherwise(F.col("effective_end_date")),
-        "is_current": ~superseded,
-    }
-    kept = paired.withColumns({**attributes, **validity})
-    return history.select(*spec.columns).unionByName(kept.select(*spec.columns))
+    kept = scd2_kept(dimension, changes, spec)
+    closed = scd2_closed(dimension, changes, spec, as_of)
+    return history.select(*map(quoted, spec.columns)).unionByName(kept).unionByName(closed)
 
 
 def scd2_open(
     dimension: DataFrame, changes: DataFrame, spec: Versioned, as_of: date, **options
 ) -> DataFrame:
     """New versions for new and superseded members, keys continuing after the highest."""
-    fresh = changes.where(f"_action <> '{AMEND}'").select(spec.natural, *spec.attributes)
+    _, action = spec.marks
+    columns = map(quoted, (spec.natural, *spec.attributes))
+    fresh = changes.where(F.col(action) != AMEND).select(*columns)
     base = highest_key(dimension, spec.key)
     return _opened(assign_keys(fresh, spec.natural, spec.key, base=base, **options), spec, as_of)
 

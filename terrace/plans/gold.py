@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from terrace.operators.dimensions import date_dimension
 from terrace.operators.facts import customer_totals, sales_fact
 from terrace.operators.keys import highest_key
 from terrace.operators.scd2 import scd2_apply, scd2_initial
+from terrace.sources.history import create_versions, update_versions
 from terrace.plans import store_model as model
 from terrace.plans.stages import FAILED, SUCCESS, Outcome, StageFailed, run_tables
 from terrace.sources import control
@@ -85,10 +88,23 @@ class GoldBuilder:
         return {"existing": self.known(name), "reserved": self.given_out(name)}
 
     def store(self, name: str) -> Outcome:
-        target = self.layout.gold(name)
-        replace_table(getattr(self, name)(), target, self.layout.table_format)
+        target, keep_for = self.layout.gold(name), self.layout.keep_versions_for
+        if name == "dim_customer" and self.layout.table_format == "parquet":
+            self.store_customers(target, keep_for)
+        else:
+            replace_table(getattr(self, name)(), target, self.layout.table_format, keep_for)
         return Outcome(name, SUCCESS, self.gold(name).count())
 
+    def store_customers(self, target: str, keep_for: timedelta) -> None:
+        """The versions in place: closed history is not written again."""
+        if self.stored("dim_customer") is None:
+            create_versions(self.dim_customer(), target, keep_for)
+        else:
+            update_versions(target, self.incoming(), model.CUSTOMER, self.run.as_of, keep_for)
+
+    def incoming(self) -> DataFrame:
+        return model.incoming_customers(self.silver("customer"), self.gold("dim_employee"))
+
     def silver(self, table: str) -> DataFrame:
         return self.spark.read.table(self.layout.silver(table))
 
@@ -124,11 +140,10 @@ class GoldBuilder:
         return model.employee_dimension(self.silver("employee"), **self.keys("dim_employee"))
 
     def dim_customer(self) -> DataFrame:
-        customers, stored = self.silver("customer"), self.stored("dim_customer")
-        incoming = model.incoming_customers(customers, self.gold("dim_employee"))
+        stored = self.stored("dim_customer")
         if stored is None:
-            return scd2_initial(incoming, model.CUSTOMER, self.run.as_of)
-        return scd2_apply(stored, incoming, model.CUSTOMER, self.run.as_of)
+            return scd2_initial(self.incoming(), model.CUSTOMER, self.run.as_of)
+        return scd2_apply(stored, self.incoming(), model.CUSTOMER, self.run.as_of)
 
     def dim_track(self) -> DataFrame:
         return model.track_dimension(

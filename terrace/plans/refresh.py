@@ -12,7 +12,7 @@ from terrace.plans import store_model as model
 from terrace.plans.gold import GOLD_TABLES, GoldBuilder
 from terrace.plans.stages import Outcome, StageFailed, extract, load_bronze, load_silver
 from terrace.session import tune
-from terrace.sources.control import bootstrap
+from terrace.sources.control import STAGE_LOG, bootstrap, log_rows
 from terrace.sources.staging import scratch
 from terrace.sources.tables import list_tables
 
@@ -53,12 +53,25 @@ def full_refresh(
             try:
                 done[name] = work[name]()
             except StageFailed as stopped:
+                log_stage(spark, layout, run, name, stopped.outcomes)
                 report(name, stopped.outcomes)
                 raise
+            log_stage(spark, layout, run, name, done[name])
             report(name, done[name])
     return done
 
 
+def log_stage(
+    spark: SparkSession, layout: Layout, run: Run, stage: str, outcomes: Sequence[Outcome]
+) -> None:
+    """Store the outcome of each table of a stage."""
+    rows = [
+        (stage, o.table, run.execution_time, o.status, o.rows, o.detail or None, run.as_of)
+        for o in outcomes
+    ]
+    log_rows(spark, layout, STAGE_LOG, rows)
+
+
 def largest_table(spark: SparkSession, database: str) -> int:
     """Bytes of the largest table of a database, as Spark's plans know them."""
     plans = [

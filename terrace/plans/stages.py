@@ -7,17 +7,18 @@ stage does not start on half a result unnoticed.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrace.config import Layout, Run
+from terrace.functions.names import free_name, quoted
 from terrace.operators import quality
 from terrace.operators.cleaning import Treatments, clean
 from terrace.sources import control, snapshots, tables
+from terrace.sources.staging import in_threads, staged_folder
 
 SUCCESS, FAILED = "SUCCESS", "FAILED"
 
@@ -48,8 +49,7 @@ def run_tables(
         except Exception as error:
             return Outcome(name, FAILED, detail=_first_line(error))
 
-    with ThreadPoolExecutor(max(1, parallel)) as pool:
-        outcomes = list(pool.map(guarded, names))
+    outcomes = in_threads(guarded, names, parallel)
     if any(o.status == FAILED for o in outcomes):
         raise StageFailed(stage, outcomes)
     return outcomes
@@ -105,7 +105,8 @@ def load_bronze(spark: SparkSession, layout: Layout, run: Run) -> list[Outcome]:
             tables.point_table(spark, target, raw.schema, paths[table])
             return _reconciled(spark, table, target, raw.count())
         read = snapshots.write_counted(
-            raw, lambda df: tables.replace_table(df, target, layout.table_format)
+            raw,
+            lambda df: tables.replace_table(df, target, layout.table_format, layout.keep_versions_for),
         )
         return _reconciled(spark, table, target, read)
 
@@ -121,25 +122,23 @@ def load_silver(
 ) -> list[Outcome]:
     """Profile each bronze table, quarantine what breaks a rule, clean and store the rest.
 
-    One scan counts rows, rule outcomes and NULLs, one writes what passed, and one what
-    failed, if anything did; repeated rows cost one scan more and can be switched off.
+    One scan writes what passed and what failed side by side, and counts rows, rule outcomes
+    and NULLs on the way; repeated rows cost one scan more and can be switched off.
     """
     log: list[tuple] = []
     profiles: list[tuple] = []
 
     def one(table: str) -> Outcome:
         bronze, table_rules = spark.read.table(layout.bronze(table)), rules.get(table, [])
-        seen = quality.profile(bronze, table_rules, run.count_duplicates)
-        if seen.failed:
-            _quarantine(spark, layout, run, bronze, table_rules, table)
-        passed, _ = quality.split(bronze, table_rules)
-        cleaned, target = clean(passed, cleaning.get(table)), layout.silver(table)
-        tables.replace_table(cleaned, target, layout.table_format)
+        target = layout.silver(table)
+        seen = _route(spark, layout, run, bronze, table_rules, cleaning.get(table), table)
+        repeated = None
+        if run.count_duplicates:
+            repeated = quality.duplicate_counts(bronze).first()["duplicates"]
         applied = quality.rules_as_json(table_rules)
-        counts = (seen.total, seen.passed, seen.failed)
-        log.append((table, run.execution_time, *counts, applied, run.as_of))
+        log.append((table, run.execution_time, seen.total, seen.passed, seen.failed, applied, run.as_of))
         profiles.extend(
-            (table, run.execution_time, c, seen.nulls.get(c, 0), seen.duplicates, run.as_of)
+            (table, run.execution_time, c, seen.nulls.get(c, 0), repeated, run.as_of)
             for c in bronze.columns
         )
         return _reconciled(spark, table, target, seen.passed)
@@ -152,23 +151,56 @@ def load_silver(
         control.log_rows(spark, layout, control.PROFILE_LOG, profiles)
 
 
-def _quarantine(
+def _route(
     spark: SparkSession,
     layout: Layout,
     run: Run,
     bronze: DataFrame,
     rules: Sequence[quality.Rule],
+    treatments: Treatments | None,
     table: str,
-) -> None:
-    """Append the rejected rows of a table, unless an earlier attempt of this run has done so."""
-    name, schema = layout.control(control.QUARANTINE), control.SCHEMAS[control.QUARANTINE]
-    same_run = (F.col("table_name") == table) & (F.col("execution_time") == run.execution_time)
-    spark.catalog.refreshTable(name)
-    if not spark.read.table(name).where(same_run).isEmpty():
-        return
-    rejected = quality.quarantine_records(bronze, rules, table, run.execution_time)
-    # Few rows out of many partitions: without this, as many tiny files.
-    tables.append_table(rejected.hint("rebalance"), name, schema, layout.table_format)
+) -> quality.Profile:
+    """Store passed rows, cleaned, as the silver table and failed ones in the quarantine.
+
+    Both are written by one job as the two partitions of a folder. The silver table is
+    pointed at the first; the second, usually few rows, is copied to the quarantine, where it
+    takes the place of what an earlier attempt of this run put there.
+    """
+    quality.check_columns(bronze, rules)
+    target, plain = layout.silver(table), layout.table_format == "parquet"
+    ok, rejected = (free_name(n, bronze.columns) for n in ("passed", "rejected"))
+    seen = Observation()
+    holds = quality.passes(rules)
+    nulls = [F.count_if(F.col(quoted(c)).isNull()).alias(f"n{i}") for i, c in enumerate(bronze.columns)]
+    totals = [F.count(F.lit(1)).alias("total"), F.count_if(holds).alias("held")]
+    counted = bronze.observe(seen, *totals, *nulls).withColumns(
+        {ok: holds, rejected: F.when(~holds, quality.rejection(rules, bronze.columns))}
+    )
+    tagged = clean(counted, treatments)
+    root = tables.new_version(spark, tables.table_folder(spark, target)) if plain else staged_folder(spark)
+    tagged.write.partitionBy(ok).mode("errorifexists").parquet(root)
+    found = seen.get
+    total, passed = found.get("total", 0), found.get("held", 0)
+
+    columns = [c for c in tagged.columns if c not in (ok, rejected)]
+    schema = tagged.select(*map(quoted, columns)).schema
+    good, bad = f"{root}/{ok}=true", f"{root}/{ok}=false"
+    if not passed:
+        spark.createDataFrame([], schema).write.parquet(good)
+    if total > passed:
+        failed = spark.read.schema(tagged.select(rejected).schema).parquet(bad)
+        records = quality.as_quarantine(failed.select(f"{rejected}.*"), table, run.execution_time)
+        name, shape = layout.control(control.QUARANTINE), control.SCHEMAS[control.QUARANTINE]
+        part = f"{table}_{run.execution_time:%Y%m%dT%H%M%S%f}"
+        # Few rows out of many partitions: without this, as many tiny files.
+        tables.append_table(records.hint("rebalance"), name, shape, layout.table_format, part)
+    if plain:
+        tables.point_table(spark, target, schema, good)
+        tables.retire(spark, root, layout.keep_versions_for)
+    else:
+        tables.replace_table(spark.read.schema(schema).parquet(good), target, layout.table_format)
+    by_column = {c: found.get(f"n{i}", 0) for i, c in enumerate(bronze.columns)}
+    return quality.Profile(total, passed, total - passed, by_column, None)
 
 
 def _reconciled(spark: SparkSession, table: str, target: str, expected: int) -> Outcome:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from terrace.config import Layout
-from terrace.sources.tables import append_table, create_database
+from terrace.sources.tables import PART, append_table, create_database
 
 # Names of the control tables, and their columns in SCHEMAS below.
 SOURCES = "pipeline_metadata_parent"
@@ -18,6 +18,7 @@ QUALITY_LOG = "dqx_execution_log"
 QUARANTINE = "dqx_quarantine"
 PROFILE_LOG = "column_profile_log"
 KEY_MARKS = "surrogate_key_marks"
+STAGE_LOG = "stage_execution_log"
 
 _TEXT, _TIME, _DAY, _ROWS = T.StringType(), T.TimestampType(), T.DateType(), T.LongType()
 
@@ -78,6 +79,15 @@ SCHEMAS = {
         ("highest_key", _ROWS, "Highest key in use at that time"),
         ("created_date", _DAY, "Row created"),
     ),
+    STAGE_LOG: _schema(
+        ("stage", _TEXT, "Stage of the refresh"),
+        ("table_name", _TEXT, "Table of that stage"),
+        ("execution_time", _TIME, "Start of the run"),
+        ("status", _TEXT, "SUCCESS or FAILED"),
+        ("row_count", _ROWS, "Rows stored"),
+        ("detail", _TEXT, "What went wrong", NULLABLE),
+        ("created_date", _DAY, "Row created"),
+    ),
 }
 
 COMMENTS = {
@@ -87,6 +97,7 @@ COMMENTS = {
     QUARANTINE: "Rejected rows with the rules they broke",
     PROFILE_LOG: "NULLs per column and repeated rows per table and run",
     KEY_MARKS: "How far the keys of a dimension had been given out",
+    STAGE_LOG: "One row per stage, table and run",
 }
 
 
@@ -96,9 +107,12 @@ def control_ddl(name: str, table: str, table_format: str) -> str:
         f" COMMENT '{f.metadata['comment']}'"
         for f in SCHEMAS[table]
     )
+    appended = table_format == "parquet"  # each append is a partition
+    part = f", {PART} STRING COMMENT 'The append'" if appended else ""
+    by = f" PARTITIONED BY ({PART})" if appended else ""
     return (
-        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) "
-        f"USING {table_format} COMMENT '{COMMENTS[table]}'"
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}{part}) "
+        f"USING {table_format}{by} COMMENT '{COMMENTS[table]}'"
     )
 
 

@@ -8,9 +8,24 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from terrace.functions.fingerprint import fingerprint
+from terrace.operators import keys
 from terrace.operators.keys import assign_keys, extend_keys
 
 
+@pytest.fixture(params=["one range", "many ranges"], autouse=True)
+def ranges(request, monkeypatch):
+    """Every test with rows that one range holds, and with rows that it does not."""
+    monkeypatch.setattr(keys, "RANGE_BYTES", 1 << 90 if request.param == "one range" else -1)
+    monkeypatch.setattr(keys, "stage", lambda df, *a, **b: staged.append(df) or STAGE(df, *a, **b))
+    staged.clear()
+    yield request.param
+    assert request.param != "one range" or not staged
+
+
+STAGE, staged = keys.stage, []
+
+
 def one_window(df, order):
     return df.select(F.row_number().over(Window.orderBy(order)).alias("k"), *df.columns)
 
@@ -73,7 +88,9 @@ def test_known_keys_stay_and_reserved_ones_are_skipped(spark):
     assert sorted(extend_keys(df, known, "id", "k", reserved).collect())[1:] == [(41, 1), (42, 9)]
 
 
-def test_no_row_passes_through_a_single_partition(spark, data):
+def test_no_row_of_many_ranges_passes_through_a_single_partition(spark, data, ranges):
+    if ranges == "one range":
+        return
     df = spark.read.parquet(f"{data}/orders.parquet").limit(1000)
     plan = assign_keys(df, "o_orderkey", "k")._jdf.queryExecution().toString()
     physical = plan.split("== Physical Plan ==")[1].splitlines()
@@ -103,3 +120,32 @@ def test_repeated_and_null_members_keep_a_key_each(spark):
     assert sorted(r.k for r in second.collect()) == list(range(1, 8))
     again = extend_keys(more, second, "id", "k")
     assert sorted((r.k, r.id or -1) for r in again.collect()) == sorted((r.k, r.id or -1) for r in second.collect())
+
+
+def test_sizes_decide_without_a_job(spark, data, monkeypatch):
+    orders = spark.read.parquet(f"{data}/orders.parquet")
+    monkeypatch.setattr(keys, "RANGE_BYTES", 60_000)
+    assert keys.fits_one_range(orders)  # 36 kB
+    assert not keys.fits_one_range(orders, orders)
+    unknown = spark.createDataFrame([(1,)], "a int")
+    assert not keys.fits_one_range(unknown)
+
+
+def test_whole_rows_are_shuffled_once(spark, data, ranges):
+    orders = spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey", "o_orderpriority")
+    known = keys.assign_keys(orders.where("o_orderkey % 2 = 0"), "o_orderkey", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = extend_keys(orders, known, "o_orderkey", "k")
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("struct(c0, ") == 1  # whole rows are made, and so shuffled, once
+        assert ranges == "one range" or "rangepartitioning" not in text  # all else is staged
+        assert plan.count() == orders.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fingerprints_tell_where_nulls_are(spark):
+    rows = [(1, None, [1, None]), (None, 1, [None, 1]), (1, None, [None, 1]), (1, None, None)]
+    df = spark.createDataFrame(rows, "a int, b int, c array<int>")
+    assert df.select(*fingerprint(df)).distinct().count() == 4

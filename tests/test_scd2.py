@@ -107,13 +107,14 @@ def test_bucketed_keys_continue(spark):
 def test_the_uniqueness_check_adds_no_shuffle(spark, data):
     """Members are counted beforehand; the plan has the exchanges of the join alone."""
     from terrace.operators.scd2 import scd2_changes
+    from terrace.sources.staging import stage
 
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         members = spark.read.parquet(f"{data}/customer.parquet").select(
             F.col("c_custkey").alias("id"), F.col("c_name").alias("a"),
             F.col("c_nationkey").alias("b"), F.col("c_mktsegment").alias("note"))
-        stored = scd2_initial(members, SPEC, DAY)
+        stored = stage(scd2_initial(members, SPEC, DAY))
         plan = scd2_changes(stored, members, SPEC, DAY)._jdf.queryExecution().executedPlan()
         text = plan.toString()
         assert "Window" not in text

@@ -58,6 +58,14 @@ RULES = {
         "not_null:PlaylistId": "PlaylistId IS NOT NULL",
         "not_null:TrackId": "TrackId IS NOT NULL",
     },
+    "album": {
+        "not_null:AlbumId": "AlbumId IS NOT NULL",
+        "not_null:Title": "Title IS NOT NULL",
+        "not_null:ArtistId": "ArtistId IS NOT NULL",
+    },
+    "genre": {"not_null:GenreId": "GenreId IS NOT NULL"},
+    "mediatype": {"not_null:MediaTypeId": "MediaTypeId IS NOT NULL"},
+    "playlist": {"not_null:PlaylistId": "PlaylistId IS NOT NULL"},
     "extractions": {},
 }
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 from functools import reduce
 
@@ -20,7 +19,7 @@ from terrace.plans.refresh import full_refresh
 from terrace.session import tune
 from terrace.sources import control, snapshots
 from terrace.sources.readers import FrameSource
-from terrace.sources.staging import shared_folder
+from terrace.sources.staging import in_threads, shared_folder
 from workload.roles import MEMBER_COLUMNS, MEMBERS, ROLES, SECOND_DAY, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,12 +119,11 @@ def rules_fail(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def rules_summary(spark: SparkSession, folder: str) -> DataFrame:
-    names = ["customer", "employee", "invoice", "invoiceline", "track", "artist"]
     counts = [
-        quality.quality_counts(role(spark, folder, n), model.RULES[n]).select(
+        quality.quality_counts(role(spark, folder, n), rules).select(
             F.lit(n).alias("table_name"), "*"
         )
-        for n in names
+        for n, rules in model.RULES.items()
     ]
     unruled = quality.quality_counts(role(spark, folder, "extractions"), [])
     counts.append(unruled.select(F.lit("extractions").alias("table_name"), "*"))
@@ -276,8 +274,7 @@ def _tracks(spark: SparkSession, folder: str) -> DataFrame:
 
 def _together(spark: SparkSession, folder: str, *builds: Query) -> list[DataFrame]:
     """Dimensions that do not need each other, built at the same time."""
-    with ThreadPoolExecutor(len(builds)) as pool:
-        return list(pool.map(lambda build: build(spark, folder), builds))
+    return in_threads(lambda build: build(spark, folder), builds, len(builds))
 
 
 def _customers(spark: SparkSession, folder: str, employees: DataFrame) -> DataFrame:
