@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from terrace.config import Layout, Run
 from terrace.plans.refresh import STAGES, full_refresh
 from terrace.plans.stages import Outcome, outcomes_frame
+from terrace.plans.store_model import KEYS
 from terrace.sources.readers import CatalogSource, DatabaseSource, FileSource
 
 
@@ -19,8 +20,10 @@ def arguments(words: list[str] | None = None) -> argparse.Namespace:
     source = parser.add_mutually_exclusive_group(required=True)
     source.add_argument("--source-schema", help="catalog schema that holds the source tables")
     source.add_argument("--source-files", help="path of a source table, with {table} in it")
-    source.add_argument("--source-url", help="JDBC address; each table is read by one task")
+    source.add_argument("--source-url", help="JDBC address")
     parser.add_argument("--source-url-schema", default="public", help="schema behind the address")
+    parser.add_argument("--source-parts", type=int, default=8, help="tasks that read one table")
+    parser.add_argument("--source-unsplit", action="store_true", help="read each table by one task")
     parser.add_argument("--shuffled-bytes", type=int, help="size of the largest shuffle")
     parser.add_argument("--warehouse-path", help="folder in which databases are created")
     parser.add_argument("--control-db", default="pipeline_control")
@@ -53,7 +56,13 @@ def main(words: list[str] | None = None) -> None:
     elif given.source_files:
         source = FileSource(given.source_files)
     else:
-        source = DatabaseSource(given.source_url, given.source_url_schema, unsplit=True)
+        source = DatabaseSource(
+            given.source_url,
+            given.source_url_schema,
+            keys={} if given.source_unsplit else KEYS,
+            parts=given.source_parts,
+            unsplit=given.source_unsplit,
+        )
 
     def report(stage: str, outcomes: list[Outcome]) -> None:
         if outcomes:

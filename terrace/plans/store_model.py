@@ -25,6 +25,10 @@ TABLES = [
     "Track",
 ]
 
+# The column that divides a table for parallel reads: its own id, or in a table without one
+# that of the many.
+KEYS = {t: f"{t}Id" for t in TABLES} | {"PlaylistTrack": "TrackId"}
+
 # Mandatory and positive columns per table. The date rules are ours; they
 # send unreadable dates to quarantine where a cast would stop the job.
 RULES: dict[str, list[Rule]] = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import replace
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 
@@ -282,12 +282,13 @@ def test_gold_builds_all_that_does_not_need_what_failed(spark, tmp_path, monkeyp
 
 def test_old_versions_and_staged_folders_go(spark, tmp_path):
     warehouse = Warehouse(spark, tmp_path, "tidy")
+    warehouse.layout = replace(warehouse.layout, keep_versions_for=timedelta(0))
     before = subfolders(spark, f"{shared_folder(spark)}/staged")
     for day in range(1, 4):
         warehouse.refresh(datetime(2024, 1, day, 5))
     assert subfolders(spark, f"{shared_folder(spark)}/staged") == before
     root = spark.catalog.getDatabase(warehouse.layout.gold_db).locationUri
-    assert len(subfolders(spark, f"{root}/fact_sales")) == 2
+    assert len(subfolders(spark, f"{root}/fact_sales")) == 1
 
 
 def test_names_may_have_a_catalog(spark, tmp_path):

@@ -515,6 +515,16 @@ def _days(select: str) -> str:
     return _union(*parts)
 
 
+def _third_day(select: str) -> str:
+    """``select`` for each source table on the day on which two cannot be read."""
+    parts = []
+    for name in SOURCE_TABLES:
+        read = name not in ("genre", "playlist")
+        status, rows = ("SUCCESS", "count(*)") if read else ("FAILED", "CAST(0 AS BIGINT)")
+        parts.append(select.format(name=name, role=f"({ROLES[name].sql()})", status=status, rows=rows))
+    return _union(*parts)
+
+
 def _profile_log() -> str:
     parts = []
     for name in SOURCE_TABLES:
@@ -662,6 +672,31 @@ ORACLE: dict[str, str] = {
         " count(*) FILTER (WHERE NOT {ok}) AS rejected FROM {role}"
     )
     + ") WHERE rejected > 0",
+    "refreshed_extractions": "SELECT *, table_name || '.csv' AS file_name, 'Y' AS active_flag FROM ("
+    + _union(
+        _days(
+            "SELECT '{name}' AS table_name, DATE '{day}' AS created_date, 'SUCCESS' AS status,"
+            " count(*) AS source_row_count, count(*) AS target_row_count FROM {role}"
+        ),
+        _third_day(
+            "SELECT '{name}' AS table_name, DATE '2002-03-02' AS created_date, '{status}' AS status,"
+            " {rows} AS source_row_count, {rows} AS target_row_count FROM {role}"
+        ),
+    )
+    + ")",
+    "refreshed_stage_log": _union(
+        *[
+            _days(
+                f"SELECT '{stage}' AS stage, '{{name}}' AS table_name, DATE '{{day}}' AS created_date,"
+                f" 'SUCCESS' AS status, count(*){kept} AS row_count FROM {{role}}"
+            )
+            for stage, kept in (("extract", ""), ("bronze", ""), ("silver", " FILTER (WHERE {ok})"))
+        ],
+        _third_day(
+            "SELECT 'extract' AS stage, '{name}' AS table_name, DATE '2002-03-02' AS created_date,"
+            " '{status}' AS status, {rows} AS row_count FROM {role}"
+        ),
+    ),
     "profile_log": _profile_log(),
     "keys_extended_repeats": "WITH p AS (SELECT CASE WHEN p_partkey % 50 <> 0 THEN p_partkey % 40 END"
     " AS natural_id, p_partkey % 2 = 1 AS known FROM part)"
@@ -698,3 +733,4 @@ ORACLE: dict[str, str] = {
         "invoiceline",
     ),
 }
+ORACLE["scd2_with_clashing_names"] = ORACLE["scd2_full"]

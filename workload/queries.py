@@ -16,6 +16,7 @@ from terrace.operators import audit, dimensions, facts, keys, quality, scd2
 from terrace.operators.cleaning import clean
 from terrace.plans import store_model as model
 from terrace.plans.refresh import full_refresh
+from terrace.plans.stages import StageFailed
 from terrace.session import tune
 from terrace.sources import control, snapshots
 from terrace.sources.readers import FrameSource
@@ -27,6 +28,8 @@ QUERIES: dict[str, Query] = {}
 
 LOADED, CHANGED = date(2002, 1, 1), date(2002, 3, 1)
 CHECKED_AT, CHECKED_LATER = datetime(2002, 1, 1, 6, 0, 0), datetime(2002, 3, 1, 6, 0, 0)
+CHECKED_LAST = datetime(2002, 3, 2, 6, 0, 0)
+UNREADABLE = ("Genre", "Playlist")
 MEMBER = scd2.Versioned(
     "customer_key", "customer_id", MEMBER_COLUMNS, tracked=["name", "segment", "nation"]
 )
@@ -404,6 +407,16 @@ def scd2_full(spark: SparkSession, folder: str) -> DataFrame:
     return _member_update(spark, folder)
 
 
+@query
+def scd2_with_clashing_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Attributes with the names that change detection uses itself."""
+    names = dict(zip(MEMBER_COLUMNS, ("_key", "_action", "was", "effective")))
+    spec = scd2.Versioned("customer_key", "customer_id", list(names.values()), ["_key", "_action", "was"])
+    days = [m.frame(spark, folder).withColumnsRenamed(names) for m in MEMBERS[:2]]
+    updated = scd2.scd2_apply(scd2.scd2_initial(days[0], spec, LOADED), days[1], spec, CHANGED)
+    return updated.withColumnsRenamed({v: k for k, v in names.items()})
+
+
 @query
 def scd2_same_day(spark: SparkSession, folder: str) -> DataFrame:
     """A further snapshot on the day of the last change corrects those versions in place."""
@@ -536,10 +549,35 @@ def _refreshed_twice(spark: SparkSession, folder: str) -> Layout:
         }
         for at, frames in ((CHECKED_AT, first), (CHECKED_LATER, second)):
             full_refresh(spark, layout, Run(execution_time=at), FrameSource(frames))
+        # On a third day two sources cannot be read.
+        third = {t: df for t, df in first.items() if t not in UNREADABLE}
+        try:
+            full_refresh(spark, layout, Run(execution_time=CHECKED_LAST), FrameSource(third), ["extract"])
+        except StageFailed:
+            pass
         _twice[known] = layout
     return _twice[known]
 
 
+@query
+def refreshed_extractions(spark: SparkSession, folder: str) -> DataFrame:
+    """The extraction log of three days, with the source list, which three runs have seeded once."""
+    layout = _refreshed_twice(spark, folder)
+    listed = spark.read.table(layout.control(control.SOURCES)).select("table_name", "file_name", "active_flag")
+    log = spark.read.table(layout.control(control.EXTRACTIONS))
+    columns = ("table_name", "created_date", "status", "source_row_count", "target_row_count")
+    joined = log.select(*columns).join(listed, "table_name", "left")
+    return joined.withColumn("table_name", F.lower("table_name"))
+
+
+@query
+def refreshed_stage_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes of the stages that store the given rows, by day."""
+    log = spark.read.table(_refreshed_twice(spark, folder).control(control.STAGE_LOG))
+    stored = log.where("stage IN ('extract', 'bronze', 'silver')")
+    return stored.select("stage", F.lower("table_name").alias("table_name"), "created_date", "status", "row_count")
+
+
 @query
 def refreshed_twice_customers(spark: SparkSession, folder: str) -> DataFrame:
     """Versions of the customers after two days."""
