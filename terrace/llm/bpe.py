@@ -4,10 +4,11 @@ Tier one: a minimal perfect hash over the vocabulary resolves a whole pre-token
 token itself. Tier two: other pre-tokens start as single bytes in a linked list; a heap
 gives the adjacent pair of lowest rank, ties from the left, until no pair is a token.
 
-Text is cut at spaces that stand alone between two other characters before the pattern
-splits it: there, the space always belongs to the pre-token on its right, so that the cut
-changes nothing, and each different piece is split and encoded once per worker for as long
-as it is remembered. A text with any other arrangement of spaces is split as a whole.
+Text is cut at spaces and line breaks that stand alone between two other characters before the
+pattern splits it: there, a space always belongs to the pre-token on its right, and a line break
+is one itself, so that the cut changes nothing. Each different piece is split and encoded once
+per worker for as long as it is remembered, a word with a mark behind it as the word and the
+mark. A text with any other arrangement of spaces is split as a whole.
 
 The vocabulary (some 50,000 tokens, a fixed file) is broadcast. Nothing is shuffled.
 NULL and empty texts have no tokens; repeated rows give repeated results; other columns
@@ -26,9 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Batches, Memo, batch, documents, mapped
+from terrace.llm.common import Batches, Memo, batch, documents, encode_texts, mapped, slices
 
-PIECES_REMEMBERED = 1 << 17
+PIECES_REMEMBERED = 1 << 18
+BYTES_AT_ONCE = 8 << 20
 KEYS_PER_BUCKET = 4
 MARKS = (",", ".", ";", ":", "!", "?")
 MASK = (1 << 64) - 1
@@ -106,15 +108,22 @@ class Codec:
         self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
         self.width = max(self.ids, default=0) + 1
         self.packed = [i.to_bytes(4, "little") for i in range(self.width)]
+        empty = [-1] * 256
+        self.rows = [empty] * 256  # by two bytes: the rank of the token that they are
         self.pairs = {}
         for whole in tokens:
             for cut in range(1, len(whole)):
                 left, right = ranks.get(whole[:cut]), ranks.get(whole[cut:])
                 if left is not None and right is not None:
                     self.pairs[left * self.width + right] = ranks[whole]
+            if len(whole) == 2 and self.single[whole[0]] >= 0 <= self.single[whole[1]]:
+                if self.rows[whole[0]] is empty:
+                    self.rows[whole[0]] = list(empty)
+                self.rows[whole[0]][whole[1]] = ranks[whole]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo", "first")}
+        own = ("split", "memo", "bytes_of", "_break", "_marks")  # made by each worker
+        return {k: v for k, v in self.__dict__.items() if k not in own}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -130,29 +139,41 @@ class Codec:
     def merge(self, word: bytes) -> list[int]:
         """Join adjacent tokens, lowest rank first, until no pair is a token."""
         pairs, width, n = self.pairs, self.width, len(word)
-        ids = [self.single[b] for b in word]
-        following, previous = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_at = [pairs.get(ids[i] * width + ids[i + 1], -1) for i in range(n - 1)] + [-1]
-        heap = [r * n + i for i, r in enumerate(rank_at) if r >= 0]
+        bits = n.bit_length()
+        place = (1 << bits) - 1  # an entry of the heap is a rank and the place of the left token
+        rows = self.rows
+        ids = [*map(self.single.__getitem__, word)]
+        rank_at = [rows[a][b] for a, b in zip(word, word[1:])]
+        rank_at.append(-1)
+        heap = [r << bits | i for i, r in enumerate(rank_at) if r >= 0]
+        if not heap:
+            return ids
         heapify(heap)
+        following, previous = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            rank, i = divmod(heappop(heap), n)
+            entry = heappop(heap)
+            i = entry & place
+            rank = entry >> bits
             if rank_at[i] != rank:
                 continue  # one of the two tokens has been joined to another since
             j = following[i]
             after = following[i] = following[j]
-            ids[i], ids[j] = rank, -1
-            rank_at[i] = rank_at[j] = -1
+            ids[i] = rank
+            ids[j] = rank_at[i] = rank_at[j] = -1
             if after < n:
                 previous[after] = i
-                new = rank_at[i] = pairs.get(rank * width + ids[after], -1)
-                if new >= 0:
-                    heappush(heap, new * n + i)
+                key = rank * width + ids[after]
+                if key in pairs:
+                    new = rank_at[i] = pairs[key]
+                    heappush(heap, new << bits | i)
             before = previous[i]
             if before >= 0:
-                new = rank_at[before] = pairs.get(ids[before] * width + rank, -1)
-                if new >= 0:
-                    heappush(heap, new * n + before)
+                key = ids[before] * width + rank
+                if key in pairs:
+                    new = rank_at[before] = pairs[key]
+                    heappush(heap, new << bits | before)
+                else:
+                    rank_at[before] = -1
         return [t for t in ids if t >= 0]
 
     def _piece(self, text: str) -> bytes:
@@ -163,60 +184,86 @@ class Codec:
         return b"".join([self.packed[i] for i in self.encode_word(word.encode())])
 
     def _spaced(self, piece: str) -> bytes | None:
-        """Ids of a space and the piece, None if white space would stand next to the space."""
+        """Ids of a space and the piece, None if white space would stand next to the space or
+        to a line break; also of a line break and what follows, known by a space before it."""
         if piece.isalpha():  # one pre-token
             return self._word(" " + piece)
-        if piece[-1:] in MARKS and piece[:-1].isalpha():
-            return self._word(" " + piece[:-1]) + self._word(piece[-1])
-        if not piece or piece[0].isspace() or piece[-1].isspace():
+        if not piece:
+            return None
+        if piece[0] == " ":
+            return self._break + self._piece(piece[2:])
+        if "\n" in piece:  # standing alone it is a pre-token
+            at = piece.rindex("\n")
+            before, rest = piece[:at], piece[at + 1 :]
+            if not before or not rest or rest[0].isspace() or rest[-1].isspace():
+                return None
+            before = self.memo[before]
+            return before and before + self.memo[" \n" + rest]
+        if piece[-1] in MARKS and piece[:-1].isalpha():
+            return self.memo[piece[:-1]] + self._marks[piece[-1]]
+        if piece[0].isspace() or piece[-1].isspace():
             return None
         return self._piece(" " + piece)
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """Ids of whole texts as little-endian unsigned 32-bit integers."""
         if "memo" not in self.__dict__:
             self.split = regex.compile(self.pattern).findall
             self.memo = Memo(self._spaced, PIECES_REMEMBERED)
-        if not text:
-            return b""
-        pieces = text.split(" ")
-        if not pieces[0] or pieces[0][-1].isspace():
-            return self._piece(text)
-        found = list(map(self.memo.__getitem__, pieces[1:]))
-        if None in found:
-            return self._piece(text)
-        return b"".join([self._piece(pieces[0]), *found])
+            self._break, self._marks = self._word("\n"), {m: self._word(m) for m in MARKS}
+        return encode_texts(texts, self.memo, self._piece, self._piece)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text."""
+        return self.encode_all(pa.array([text], pa.string()))[0].as_py()
+
+    def decode_all(self, ids: pa.Array) -> pa.Array:
+        """The bytes that each row of ids (binary) stands for: token bytes, laid end to end."""
+        if "bytes_of" not in self.__dict__:
+            self.bytes_of = pa.array(map(self.token.get, range(self.width)), pa.large_binary())
+        rows = ids.fill_null(b"").cast(pa.large_binary())
+        ends = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+        if not len(rows) or ends[-1] == ends[0]:
+            return pa.array([b""] * len(rows), pa.large_binary())
+        flat = np.frombuffer(rows.buffers()[2], "<u4", count=int(ends[-1]) // 4)
+        tokens = self.bytes_of.take(pa.array(flat))
+        places = np.frombuffer(tokens.buffers()[1], np.int64)[: len(flat) + 1]
+        offsets = pa.py_buffer(places[ends // 4].tobytes())
+        return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, offsets, tokens.buffers()[2]])
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decode_all(pa.array([ids], pa.binary()))[0].as_py()
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens and ids (binary: little-endian unsigned 32-bit) of every text."""
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids (binary: little-endian unsigned 32-bit) of every text; with
+    ``decoded`` also the bytes that the ids stand for, by the same pass."""
     held = docs.sparkSession.sparkContext.broadcast(Codec.load(path, pattern))
 
     def run(batches: Batches) -> Batches:
         codec = held.value
-        for b in batches:
-            ids = [codec.encode(t) for t in b["text"].to_pylist()]
-            yield batch(doc_id=b["doc_id"], ids=pa.array(ids, pa.binary()))
+        for whole in batches:
+            for b in slices(whole, "text", BYTES_AT_ONCE):
+                ids = codec.encode_all(b["text"])
+                more = {"decoded": codec.decode_all(ids).cast(pa.binary())} if decoded else {}
+                yield batch(doc_id=b["doc_id"], ids=ids.cast(pa.binary()), **more)
 
-    out = mapped(documents(docs), run, "doc_id bigint, ids binary")
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids")
+    out = mapped(documents(docs), run, "doc_id bigint, ids binary" + ", decoded binary" * decoded)
+    n_tokens = (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens")
+    return out.select("doc_id", n_tokens, *out.columns[1:])
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Adds ``decoded`` (binary) to rows with ``ids``."""
+    """Adds ``decoded`` (binary) to rows with ``ids``; NULL ids stand for nothing."""
     held = encoded.sparkSession.sparkContext.broadcast(Codec.load(path, pattern))
     columns = encoded.select("doc_id", "n_tokens", "ids")
 
     def run(batches: Batches) -> Batches:
         codec = held.value
-        for b in batches:
-            texts = [codec.decode(x or b"") for x in b["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, "decoded"]
-            )
+        for whole in batches:
+            for b in slices(whole, "ids", BYTES_AT_ONCE):
+                columns = [*b.columns, codec.decode_all(b["ids"]).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "decoded"])
 
     return mapped(columns, run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")

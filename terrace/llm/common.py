@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,59 @@ class Memo(dict):
         return value
 
 
+def slices(b: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of ``most`` bytes in a column, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(b[column]), 0).to_numpy().astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < b.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield b.slice(start, end - start)
+        start = end
+
+
+def encode_texts(
+    texts: pa.Array,
+    spaced: Memo,
+    first: Callable[[str], bytes],
+    whole: Callable[[str], bytes],
+    last: bytes = b"",
+) -> pa.Array:
+    """The ids of each text, as bytes laid end to end, ``last`` following each text.
+
+    Texts are cut at spaces and each different piece is looked up once: ``spaced`` has the ids
+    of a space and the piece, or None where cutting would change them; ``first`` gives those of
+    the piece before the first space, ``whole`` those of a text that cannot be cut.
+    """
+    pieces = pc.split_pattern(texts, " ")
+    starts = pieces.offsets.to_numpy().astype(np.int64)
+    coded = pieces.flatten().dictionary_encode()
+    values = [spaced[p] for p in coded.dictionary.to_pylist()]
+    places = coded.indices.to_numpy().astype(np.int64)
+    uncut = np.array([v is None for v in values], bool)[places]
+    uncut[starts[:-1]] = False  # the first pieces are not after a space
+    before = np.append(0, np.cumsum(uncut))
+    spoilt = before[starts[1:]] > before[starts[:-1]]
+    empty, end = len(values), len(values) + 1
+    values = [v or b"" for v in values] + [b"", last]
+    for i, text in enumerate(texts.to_pylist()):
+        at, cut = int(starts[i]), text.find(" ")
+        opening = text if cut < 0 else text[:cut]
+        if spoilt[i] or (cut >= 0 and (not opening or opening[-1].isspace())):
+            places[at : starts[i + 1]] = empty
+            values.append(whole(text))
+        else:
+            values.append(first(opening))
+        places[at] = end + 1 + i
+    if last:
+        places = np.insert(places, starts[1:], end)
+        starts = starts + np.arange(len(starts))
+    laid = pa.array(values, pa.large_binary()).take(pa.array(places))
+    offsets = np.frombuffer(laid.buffers()[1], np.int64)[laid.offset : laid.offset + len(laid) + 1]
+    ends = pa.py_buffer(offsets[starts].tobytes())
+    return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, ends, laid.buffers()[2]])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values (a bijection)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

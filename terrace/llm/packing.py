@@ -19,13 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Batches, Memo, batch, documents, mapped
+from terrace.llm.common import Batches, Memo, batch, documents, encode_texts, mapped, slices
 
 LONGEST = 1024
 END = 0
-PIECES_REMEMBERED = 1 << 18
-WORDS_REMEMBERED = 1 << 16
-TEXTS_AT_ONCE = 256
+PIECES_REMEMBERED = 1 << 19
+BYTES_AT_ONCE = 8 << 20
 MARKS = (",", ".", ";", ":", "!", "?")
 
 _loaded: dict[tuple[str, str], Tokenized] = {}
@@ -43,11 +42,11 @@ class Tokenized:
     """Ids of whole texts by a byte-level tokenizer of the ``tokenizers`` library.
 
     A space that stands alone between two other characters always begins the pre-token on
-    its right (byte-level pre-tokenizers split so). The pieces between such spaces are
-    encoded once and remembered: one of letters only is a single pre-token, which goes to
-    the tokenizer's model at once, as does one with a mark behind; others are split by
-    ``pattern``, the tokenizer's own. Texts with any other arrangement of spaces are encoded
-    whole. Strings of special tokens are ordinary text.
+    its right, and a line break there is one itself (byte-level pre-tokenizers split so). The
+    pieces between are encoded once and remembered: one of letters only is a single pre-token,
+    which goes to the tokenizer's model at once; one with a mark behind is that and the mark;
+    others are split by ``pattern``, the tokenizer's own. Texts with any other arrangement of
+    spaces are encoded whole. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -59,43 +58,55 @@ class Tokenized:
         self.model = self.tokenizer.model
         self.split = regex.compile(pattern).findall
         self.shown = byte_characters()
+        self.space = self.shown[32]
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.words = Memo(self._word, WORDS_REMEMBERED)
         self.pieces = Memo(self._piece, PIECES_REMEMBERED)
+        self.line_break, self.marks = self._word("\n"), {m: self._word(m) for m in MARKS}
 
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token."""
-        shown = word.encode().decode("latin-1").translate(self.shown)
-        return b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
+        if word.isascii() and word[1:].isalpha() and word[0] == " ":
+            shown = self.space + word[1:]
+        else:
+            shown = word.encode().decode("latin-1").translate(self.shown)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(shown)])
 
     def _piece(self, piece: str) -> bytes | None:
-        """Ids of a space and the piece, None if white space would stand next to the space."""
+        """Ids of a space and the piece, None if white space would stand next to the space or
+        to a line break; also of a line break and what follows, known by a space before it."""
         if piece.isalpha():
             return self._word(" " + piece)
-        if piece[-1:] in MARKS and piece[:-1].isalpha():
-            return self.words[" " + piece[:-1]] + self.words[piece[-1]]
-        if not piece or piece[0].isspace() or piece[-1].isspace():
+        if not piece:
+            return None
+        if piece[0] == " ":
+            return self.line_break + self.split_first(piece[2:])
+        if "\n" in piece:  # standing alone it is a pre-token
+            at = piece.rindex("\n")
+            before, rest = piece[:at], piece[at + 1 :]
+            if not before or not rest or rest[0].isspace() or rest[-1].isspace():
+                return None
+            before = self.pieces[before]
+            return before and before + self.pieces[" \n" + rest]
+        if piece[-1] in MARKS and piece[:-1].isalpha():
+            return self.pieces[piece[:-1]] + self.marks[piece[-1]]
+        if piece[0].isspace() or piece[-1].isspace():
             return None
         return self.split_first(" " + piece)
 
     def split_first(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split(text)))
+        return b"".join(map(self._word, self.split(text)))
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join(map(self.packed.__getitem__, ids))
 
+    def encode_all(self, texts: pa.Array, last: bytes = b"") -> pa.Array:
+        """Ids of texts as little-endian unsigned 32-bit integers, each followed by ``last``."""
+        return encode_texts(texts, self.pieces, self.split_first, self.whole, last)
+
     def __call__(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        pieces = text.split(" ")
-        if len(pieces) == 1 or not pieces[0] or pieces[0][-1].isspace():
-            return self.whole(text)
-        ids = list(map(self.pieces.__getitem__, pieces[1:]))
-        if None in ids:
-            return self.whole(text)
-        return b"".join([self.split_first(pieces[0]), *ids])
+        return self.encode_all(pa.array([text], pa.string()))[0].as_py()
 
 
 def tokenized(path: str, pattern: str) -> Tokenized:
@@ -120,25 +131,24 @@ def decompose(docs: DataFrame, path: str, pattern: str, longest: int = LONGEST)
     def run(batches: Batches) -> Batches:
         encode = tokenized(path, pattern)
         end = np.array([END], "<u4").tobytes()
-        for b in batches:
-            names, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
-            for at in range(0, len(texts), TEXTS_AT_ONCE):
-                rows = []
-                for name, text in zip(names[at:], texts[at : at + TEXTS_AT_ONCE]):
-                    ids = encode(text) + end
-                    start = 0
-                    for length in binary_lengths(len(ids) // 4, longest):
-                        piece = ids[4 * start : 4 * (start + length)]
-                        rows.append((name, start, length, len(ids) // 4, piece))
-                        start += length
-                columns = list(zip(*rows))
+        for whole in batches:
+            for b in slices(whole, "text", BYTES_AT_ONCE):
+                ids = encode.encode_all(b["text"], end)
+                sizes = np.diff(np.frombuffer(ids.buffers()[1], np.int64)) // 4
+                cuts = [binary_lengths(n, longest) for n in sizes.tolist()]
+                pieces = np.array([len(own) for own in cuts])
+                length = np.array([n for own in cuts for n in own], np.int64)
+                ends = np.append(0, np.cumsum(length))  # pieces lie end to end, as the texts do
+                first = np.repeat(np.cumsum(sizes) - sizes, pieces)
+                offsets = pa.py_buffer((4 * ends).tobytes())
+                laid = [None, offsets, ids.buffers()[2]]
                 yield batch(
-                    doc_id=pa.array(columns[0], pa.int64()),
-                    start=pa.array(columns[1], pa.int64()),
-                    length=pa.array(columns[2], pa.int64()),
-                    doc_tokens=pa.array(columns[3], pa.int64()),
-                    bucket=pa.array([n.bit_length() - 1 for n in columns[2]], pa.int32()),
-                    ids=pa.array(columns[4], pa.binary()),
+                    doc_id=b["doc_id"].take(pa.array(np.repeat(np.arange(b.num_rows), pieces))),
+                    start=ends[:-1] - first,
+                    length=length,
+                    doc_tokens=np.repeat(sizes, pieces),
+                    bucket=np.log2(length).astype(np.int32),
+                    ids=pa.Array.from_buffers(pa.large_binary(), len(length), laid).cast(pa.binary()),
                 )
 
     schema = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, bucket int, ids binary"

@@ -42,9 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded, with digests of both."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, path, public_tokenizers.PATTERN)
-    return decoded.select(
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
