@@ -134,6 +134,21 @@ def encode_texts(
     return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, ends, laid.buffers()[2]])
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Left join of rows with what is known of their group; ``groups`` has its ``size``.
+
+    Groups larger than an even share of all rows, of which there are fewer than partitions,
+    are broadcast; only rows of others are dealt out by key.
+    """
+    even = total // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = F.broadcast(groups.filter(F.col("size") > even))
+    small = groups.filter(F.col("size") <= even)
+    columns = [*rows.columns, *[c for c in groups.columns if c not in keys]]
+    in_large = rows.join(large, keys).select(*columns)
+    others = rows.join(large.select(*keys), keys, "left_anti").join(small, keys, "left")
+    return in_large.unionByName(others.select(*columns))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values (a bijection)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -1,25 +1,29 @@
 """N-gram Jaccard join: texts whose sets of word n-grams are alike, and their components.
 
-Elements are 62-bit hashes of five-word shingles, in one global order: rare elements by hash,
-then common ones (at least one in ``COMMON`` of all, so at most ``COMMON``, whatever the input).
-Two sets with a Jaccard coefficient of 0.8 share one of the first n - 0.8 n + 1 elements of
-either; so each set goes to as many keys, common elements coming last and rarely among them.
-
-1. Every text becomes a set; equal sets are one node. Common elements are summed.
-2. Sets are posted under the elements of their prefixes. Groups of one key give pairs of
-   nodes with the number of keys they share, and hence a bound of what they can share in
-   all; most pairs of texts with only a passage in common end here.
-3. Each node's most promising pair is checked first, and components are formed. Large groups
-   give only pairs with a few leaders here.
+Elements are 62-bit hashes of five-word shingles, ordered by value everywhere. Every text becomes
+a set; equal sets are one node. Two sets are linked if they share 4/9 of the sum of their sizes,
+that is, if no more than a ninth of that sum, D, is in one of them only.
+
+1. Candidates. The range of all values is cut into m > D equal parts, and each ordered set falls
+   into m runs. A linked pair differs in at most D of them, and so has a run in common: the sets
+   are stored in a forest of prefix trees, one for each part, by their runs, and pairs meet where
+   whole runs are equal. A run has some four elements: texts that share but a passage hardly
+   ever meet. Sizes are put in bands, each with an m of its own; a pair meets in the band
+   of the larger set. Runs leave out common elements (at least one in ``COMMON`` of all, so at
+   most ``COMMON``, whatever the input). Sets that would so have too few runs to be sure
+   are stored by their runs with common elements, too, and if need be by their empty runs.
+2. Groups of equal runs give pairs of nodes with the number of runs they share, which must be
+   enough for their sizes. Large groups give only pairs with a few leaders.
+3. Each node's most promising pair is checked first, and components are formed.
 4. Pairs of different components from small groups are checked. Nodes that large groups tie
    together are a family (of near copies, mostly): those outside its largest component are
    checked, in blocks, against all of it, and only links that connect components are kept. So
    no link is lost, and no pairs inside a component are written out.
 
-A check stores the ordered sets of one node's partners in a prefix tree (its leaves in order,
-each with the depth it shares with the one before), walks down with the node's set, keeps the
-overlap along shared paths, and leaves a subtree when what remains cannot reach the overlap
-that is needed.
+A check stores the ordered sets of a node's partners in a prefix tree (its leaves in order, each
+with the depth it shares with the one before), walks down with the node's set, keeps the overlap
+along shared paths, and leaves a subtree when what remains cannot reach the overlap that any
+of its leaves needs.
 
 Equal sets are dropped in each task before they are posted; sets are fetched only for nodes
 with candidate pairs, by a Bloom filter of fixed size. Nodes are known by a 64-bit digest.
@@ -38,18 +42,32 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Batches, Memo, as_bytes, batch, documents, mix, put
+from terrace.llm.common import (
+    Batches,
+    Memo,
+    as_bytes,
+    batch,
+    documents,
+    join_groups,
+    mix,
+    put,
+    slices,
+)
 
 N_GRAM = 5
 COMMON = 4_000_000
-LAST = 1 << 62  # added to common elements
 GROUP = 128  # nodes of one key that are paired directly
 LEADERS = 3
 QUERY_BLOCK, TREE_BLOCK = 256, 2048  # nodes of a family that meet in one task
-SALTS = 16
-WORDS_REMEMBERED = 1 << 18
-TEXTS_AT_ONCE = 256
-PAIRS_HELD = 1 << 21
+BLOCK_BYTES = 16 << 20
+SLACK = 3  # runs beyond those that a linked pair needs
+BANDS = [1]  # the least sizes of the bands: a linked pair lies in one or in neighbours
+while BANDS[-1] < 1 << 32:
+    BANDS.append(max(BANDS[-1] + 1, -(-5 * BANDS[-1] // 4)))
+WORDS_REMEMBERED = 1 << 17
+PAIRS_HELD = 1 << 19
+BYTES_AT_ONCE = 4 << 20
+RUNS = (1 << 24) - 1
 STEP = 128  # elements per step down the tree
 BLOOM_BITS = 1 << 24
 BLOOM_HASHES = 3
@@ -62,8 +80,9 @@ def least_overlap(size: int, other: int) -> int:
     return (4 * (size + other) + 8) // 9
 
 
-def prefix_length(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1
+def most_different(band: int) -> int:
+    """D: elements in one set only, for linked pairs whose larger set is of this band."""
+    return 2 * (BANDS[band + 1] - 1) // 9
 
 
 def word_hash(word: bytes) -> int:
@@ -97,13 +116,45 @@ def digest(elements: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63)
 
 
-def in_order(elements: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The set in global order: common elements marked, and last."""
-    if not len(common):
-        return elements
-    at = np.minimum(np.searchsorted(common, elements), len(common) - 1)
-    often = common[at] == elements
-    return np.concatenate([elements[~often], elements[often] + LAST]) if often.any() else elements
+def runs_of(elements: np.ndarray, band: int, kind: int) -> np.ndarray:
+    """A key for each run of the set that is not empty: the part, and a hash of its elements."""
+    m = most_different(band) + SLACK
+    part = ((elements.view(np.uint64) >> np.uint64(30)) * np.uint64(m)) >> np.uint64(32)
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, int)
+    sums = np.add.reduceat(mix(elements.view(np.uint64)), starts) if len(starts) else np.zeros(0, np.uint64)
+    return _named(sums, part[starts], band, kind)
+
+
+def _named(sums: np.ndarray, part: np.ndarray, band: int, kind: int) -> np.ndarray:
+    names = part * np.uint64(256) + np.uint64(band * 2 + kind)
+    return mix(sums + names * _FACTOR).view(np.int64)
+
+
+def keys_of(elements: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(band, runs, keys) for each band in which the set can meet a linked one.
+
+    Keys are those of its runs without common elements, as many as ``runs``. A set of too few
+    has 0 and more keys: its runs with common elements, and if need be its empty ones.
+    """
+    n = len(elements)
+    own = int(np.searchsorted(BANDS, n, side="right")) - 1
+    at = np.minimum(np.searchsorted(common, elements), max(len(common) - 1, 0))
+    rare = elements[common[at] != elements] if len(common) else elements
+    for band in (own, own + 1):
+        if 5 * n < 4 * BANDS[band]:
+            continue  # too small for a set of that band
+        m, most = most_different(band) + SLACK, most_different(band)
+        keys = runs_of(rare, band, 0)
+        if len(keys) <= most:  # a linked set may share empty runs only
+            whole = runs_of(elements, band, 1)
+            keys = np.append(keys, whole)
+            if len(whole) <= most:
+                part = ((elements.view(np.uint64) >> np.uint64(30)) * np.uint64(m)) >> np.uint64(32)
+                none = np.setdiff1d(np.arange(m, dtype=np.uint64), part)
+                keys = np.append(keys, _named(np.zeros(len(none), np.uint64), none, band, 1))
+            yield band, 0, keys
+        else:
+            yield band, len(keys), keys
 
 
 def nodes(texts: DataFrame) -> DataFrame:
@@ -113,8 +164,7 @@ def nodes(texts: DataFrame) -> DataFrame:
     def run(batches: Batches) -> Batches:
         memo, seen, held = Memo(word_hash, WORDS_REMEMBERED), set(), []
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                b = whole.slice(at, TEXTS_AT_ONCE)
+            for b in slices(whole, "text", BYTES_AT_ONCE):
                 sizes, names = [], []
                 for elements in sets_of(b["text"].to_pylist(), memo):
                     name = digest(elements)
@@ -148,38 +198,39 @@ def common_elements(found: DataFrame) -> np.ndarray:
     sums = found.filter("element is not null").groupBy("element").agg(F.sum("n").alias("n"))
     total = sums.filter("element = -1").collect()
     total = total[0]["n"] if total else 0
-    rows = sums.filter((F.col("element") >= 0) & (F.col("n") * COMMON >= total)).collect()
-    return np.sort(np.array([r["element"] for r in rows], np.int64))
+    often = sums.filter((F.col("element") >= 0) & (F.col("n") * COMMON >= total)).select("element")
+    return np.sort(often.toArrow()["element"].to_numpy())
 
 
 def postings(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """key, node, n and last for every prefix element of every set, once per partition."""
+    """key, node and meta (size, band, runs) for every run of every set, once per partition.
+
+    ``runs`` is the number of the set's own runs, 0 for sets that are stored in other ways, too.
+    """
     held = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Batches) -> Batches:
         memo, seen = Memo(word_hash, WORDS_REMEMBERED), set()
-        for b in batches:
-            for at in range(0, b.num_rows, TEXTS_AT_ONCE):
-                parts, names, sizes, lengths = [], [], [], []
-                for elements in sets_of(b["text"].slice(at, TEXTS_AT_ONCE).to_pylist(), memo):
+        for whole in batches:
+            for b in slices(whole, "text", BYTES_AT_ONCE):
+                parts, names, metas = [], [], []
+                for elements in sets_of(b["text"].to_pylist(), memo):
                     name = digest(elements)
                     if len(elements) and name not in seen:
                         seen.add(name)
-                        length = prefix_length(len(elements))
-                        parts.append(in_order(elements, held.value)[:length])
-                        names.append(name)
-                        sizes.append(len(elements))
-                        lengths.append(length)
+                        for band, runs, keys in keys_of(elements, held.value):
+                            parts.append(keys)
+                            names.append(name)
+                            metas.append(len(elements) << 31 | band << 24 | min(runs, RUNS))
                 if parts:
-                    last = np.array([p[-1] >> 32 for p in parts], np.int32)
+                    lengths = [len(p) for p in parts]
                     yield batch(
                         key=np.concatenate(parts),
                         node=np.repeat(np.array(names, np.int64), lengths),
-                        n=np.repeat(np.array(sizes, np.int32), lengths),
-                        last=np.repeat(last, lengths),
+                        meta=np.repeat(np.array(metas, np.int64), lengths),
                     )
 
-    return texts.select("text").mapInArrow(run, "key bigint, node bigint, n int, last int")
+    return texts.select("text").mapInArrow(run, "key bigint, node bigint, meta bigint")
 
 
 def groups(batches: Batches, names: list[str]) -> Iterator[list[np.ndarray]]:
@@ -203,113 +254,91 @@ def groups(batches: Batches, names: list[str]) -> Iterator[list[np.ndarray]]:
 class Pairs:
     """Counts pairs of nodes; gives them up when many are held."""
 
-    names = ("a", "na", "la", "b", "nb", "lb")
-
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, left: tuple, right: tuple) -> bool:
-        """Columns (node, n, last) of both sides; True if it is time to take what is held."""
-        swap = left[0] > right[0]
-        first = [np.where(swap, r, l) for l, r in zip(left, right)]
-        second = [np.where(swap, l, r) for l, r in zip(left, right)]
-        self.parts.append([*first, *second, np.ones(len(swap), np.int64)])
-        self.size += len(swap)
+    def add(self, a: np.ndarray, b: np.ndarray, least: np.ndarray) -> bool:
+        """Pairs and the runs they must share; True if it is time to take what is held."""
+        self.parts.append([np.minimum(a, b), np.maximum(a, b), least, np.ones(len(a), np.int64)])
+        self.size += len(a)
         if self.size > PAIRS_HELD:
             self._sum()
         return self.size > PAIRS_HELD // 2
 
     def _sum(self) -> None:
-        columns = [np.concatenate(x) for x in zip(*self.parts)]
-        order = np.lexsort((columns[3], columns[0]))
-        columns = [c[order] for c in columns]
-        new = (np.diff(columns[0]) != 0) | (np.diff(columns[3]) != 0)
-        first = np.flatnonzero(np.append(True, new))
-        shared = np.add.reduceat(columns[6], first)
-        self.parts = [[*(c[first] for c in columns[:6]), shared]]
+        a, b, least, shared = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
+        order = np.lexsort((b, a))
+        a, b, least, shared = a[order], b[order], least[order], shared[order]
+        first = np.flatnonzero(np.append(True, (np.diff(a) != 0) | (np.diff(b) != 0)))
+        self.parts = [[a[first], b[first], least[first], np.add.reduceat(shared, first)]]
         self.size = len(first)
 
     def take(self) -> pa.RecordBatch | None:
-        if not self.parts or not self.size:
+        if not self.size:
             return None
         self._sum()
-        columns, self.parts, self.size = self.parts[0], [], 0
-        kinds = (np.int64, np.int32, np.int32) * 2 + (np.int64,)
-        arrays = {n: c.astype(k) for n, c, k in zip((*self.names, "shared"), columns, kinds)}
-        return batch(kind=np.zeros(len(columns[0]), np.int32), key=columns[0].astype(np.int64), **arrays)
+        (a, b, least, shared), self.parts, self.size = self.parts[0], [], 0
+        return _rows(0, a, a, b, least, shared)
 
 
-PAIR = "kind int, key bigint, a bigint, na int, la int, b bigint, nb int, lb int, shared bigint"
+PAIR = "kind int, key bigint, a bigint, b bigint, least bigint, shared bigint"
 
 
-def _plain(kind: int, key, left: list, right: list) -> pa.RecordBatch:
-    columns = dict(zip(Pairs.names, (*left, *right)))
-    rows = len(key)
-    return batch(kind=np.full(rows, kind, np.int32), key=key, **columns, shared=np.ones(rows, np.int64))
+def _rows(kind: int, key, a, b, least=None, shared=None) -> pa.RecordBatch:
+    one = np.ones(len(key), np.int64)
+    least, shared = one if least is None else least, one if shared is None else shared
+    return batch(kind=np.full(len(key), kind, np.int32), key=key, a=a, b=b, least=least, shared=shared)
 
 
 def grouped(posted: DataFrame) -> DataFrame:
-    """Kind 0: pairs and the keys they share, from small groups. Kind 1: a member of a large
+    """Kind 0: pairs and the runs they share, from small groups. Kind 1: a member of a large
     group and one of its leaders. Kind 2: a member (on both sides) of a large group."""
 
     def run(batches: Batches) -> Batches:
         pairs = Pairs()
-        for key, node, n, last in groups(batches, ["key", "node", "n", "last"]):
+        bounds = np.array(BANDS)
+        for key, meta, node in groups(batches, ["key", "meta", "node"]):
             keep = np.append(True, (np.diff(key) != 0) | (np.diff(node) != 0))
-            key, node, n, last = (x[keep] for x in (key, node, n, last))
+            key, meta, node = (x[keep] for x in (key, meta, node))
+            n, band, runs = meta >> 31, (meta >> 24) & 127, meta & RUNS
             starts = np.flatnonzero(np.append(True, np.diff(key) != 0))
             sizes = np.diff(np.append(starts, len(key)))
             wide = np.repeat(sizes, sizes)
-            small = (wide > 1) & (wide <= GROUP)
-            columns = [x[small] for x in (node, n, last)]
-            own = key[small]
+            small = np.flatnonzero((wide > 1) & (wide <= GROUP))
+            own, size, has, who, zone = key[small], n[small], runs[small], node[small], band[small]
             for apart in range(1, int(sizes[sizes <= GROUP].max(initial=1))):
                 i = np.flatnonzero(own[apart:] == own[:-apart])
                 if not len(i):
                     break
-                # sorted by size within a key: the second is not smaller
-                i = i[5 * columns[1][i].astype(np.int64) >= 4 * columns[1][i + apart].astype(np.int64)]
-                if len(i) and pairs.add([c[i] for c in columns], [c[i + apart] for c in columns]):
+                j = i + apart  # sorted by size within a key: not the smaller one
+                good = (5 * size[i] >= 4 * size[j]) & (size[j] >= bounds[zone[j]])
+                i, j = i[good], j[good]
+                # all but D of the runs are equal; those that are empty in both are not keys
+                sure = np.maximum(has[i], has[j]) - (size[i] + size[j]) // 9
+                least = np.where((has[i] > 0) & (has[j] > 0), sure, 1)
+                if len(i) and pairs.add(who[i], who[j], np.maximum(least, 1)):
                     yield pairs.take()
-            for at, size in zip(starts[sizes > GROUP], sizes[sizes > GROUP]):
-                own = [x[at : at + size] for x in (node, n, last)]
-                yield _plain(2, key[at : at + size], own, own)
+            large = (sizes > GROUP) & (n[starts + sizes - 1] >= bounds[band[starts]])
+            for at, size in zip(starts[large], sizes[large]):
+                own, members = key[at : at + size], node[at : at + size]
+                yield _rows(2, own, members, members)
                 for seed in range(LEADERS):
-                    order = mix(own[0].view(np.uint64) + np.uint64(seed))
-                    leader = int(order.argmin())
-                    others = np.flatnonzero(own[0] != own[0][leader])
-                    right = [np.full(len(others), c[leader]) for c in own]
-                    yield _plain(1, key[at : at + size][others], [c[others] for c in own], right)
+                    leader = members[mix(members.view(np.uint64) + np.uint64(seed)).argmin()]
+                    others = np.flatnonzero(members != leader)
+                    yield _rows(1, own[others], members[others], np.full(len(others), leader))
         found = pairs.take()
         if found is not None:
             yield found
 
-    together = posted.repartition("key").sortWithinPartitions("key", "n", "node")
+    together = posted.repartition("key").sortWithinPartitions("key", "meta", "node")
     return put(together.mapInArrow(run, PAIR))
 
 
-def can_link() -> Column:
-    """Whether a pair that shares so many prefix elements can share enough in all.
-
-    The set whose prefix ends first has no other partner within it: only what is behind can
-    add to the overlap.
-    """
-    def rest(n: str, ends_first: Column) -> Column:
-        size = F.col(n).cast("bigint")
-        behind = F.floor((4 * size + 4) / 5).cast("bigint") - 1
-        return F.when(ends_first, behind).otherwise(size - F.col("shared"))
-
-    most = F.col("shared") + F.least(
-        rest("na", F.col("la") < F.col("lb")), rest("nb", F.col("lb") < F.col("la"))
-    )
-    sizes = F.col("na").cast("bigint") + F.col("nb")
-    return (9 * most >= 4 * sizes) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
-
-
 def summed_pairs(pairs: DataFrame) -> DataFrame:
-    sides = [F.first(c).alias(c) for c in ("na", "la", "nb", "lb")]
-    found = pairs.groupBy("a", "b").agg(*sides, F.sum("shared").alias("shared"))
-    return found.filter(can_link()).select("a", "na", "b", "nb", "shared")
+    """Pairs that share as many runs as linked ones of their sizes do."""
+    found = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
+    return found.filter("shared >= least").select("a", "b", "shared")
 
 
 def _bits(name: Column) -> Column:
@@ -328,29 +357,27 @@ def bloom(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(table.view(np.uint8), bitorder="little")
 
 
-def fetch_sets(texts: DataFrame, found: DataFrame, wanted: DataFrame, common: np.ndarray) -> DataFrame:
-    """node and its ordered elements (binary), for the wanted nodes and a few others."""
-    rows = found.filter("element is null")
-    ids = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    held = texts.sparkSession.sparkContext.broadcast((bloom(ids), common))
+def fetch_sets(texts: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and its elements in order (binary), for the wanted nodes and a few others."""
+    ids = known.join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id"))
+    held = texts.sparkSession.sparkContext.broadcast(bloom(ids))
     places = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(BLOOM_BITS)) for i in range(BLOOM_HASHES)]
 
     def run(batches: Batches) -> Batches:
-        table, common = held.value
+        table = held.value
         memo, seen = Memo(word_hash, WORDS_REMEMBERED), set()
         for b in batches:
             hit = np.ones(b.num_rows, bool)
             for i in range(BLOOM_HASHES):
                 hit &= table[b[f"p{i}"].to_numpy()] == 1
-            chosen = b["text"].take(pa.array(np.flatnonzero(hit)))
-            for at in range(0, len(chosen), TEXTS_AT_ONCE):
+            for part in slices(b.filter(pa.array(hit)), "text", BYTES_AT_ONCE):
                 names, values = [], []
-                for elements in sets_of(chosen.slice(at, TEXTS_AT_ONCE).to_pylist(), memo):
+                for elements in sets_of(part["text"].to_pylist(), memo):
                     name = digest(elements)
                     if len(elements) and name not in seen:
                         seen.add(name)
                         names.append(name)
-                        values.append(in_order(elements, common).tobytes())
+                        values.append(elements.tobytes())
                 yield batch(node=pa.array(names, pa.int64()), elements=pa.array(values, pa.binary()))
 
     placed = texts.select("text", *[p.alias(f"p{i}") for i, p in enumerate(places)])
@@ -367,6 +394,8 @@ class PrefixTree:
     def __init__(self, sets: list[np.ndarray]):
         self.place = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i8").tobytes())
         self.leaves = [sets[i] for i in self.place]
+        self.smallest, self.longest = (f(map(len, self.leaves), default=0) for f in (min, max))
+        self.visited = 0  # leaves that the last query came to
         self.shared = [0]
         for before, leaf in zip(self.leaves, self.leaves[1:]):
             n = min(len(before), len(leaf))
@@ -378,19 +407,29 @@ class PrefixTree:
         found = []
         hits = np.zeros(0, np.int64)  # overlap of the path so far, by depth
         left_at = len(query)  # where the path leaves that of the last leaf walked down
+        dead = self.longest + 1  # the depth below which no leaf can be linked
+        self.visited = 0
         for place, leaf, shared in zip(self.place, self.leaves, self.shared):
             left_at = min(left_at, shared)
+            if shared > dead:
+                continue  # in a subtree that was left
+            dead = self.longest + 1
             if skip(place):
                 continue
+            self.visited += 1
             needed = least_overlap(len(leaf), len(query))
             depth = min(left_at, len(hits))
             left_at = len(leaf)
             steps = [hits[:depth]]
             overlap = int(hits[depth - 1]) if depth else 0
             while depth < len(leaf):
-                left = min(len(leaf) - depth, len(query) - int(np.searchsorted(query, leaf[depth])))
-                if overlap + left < needed:
-                    break  # nor can any leaf of this size below
+                of_query = len(query) - int(np.searchsorted(query, leaf[depth]))
+                if overlap + min(len(leaf) - depth, of_query) < needed:
+                    # the size that could still reach most, compared with what it needs
+                    best = min(max(depth + of_query, self.smallest), self.longest)
+                    if overlap + min(best - depth, of_query) < least_overlap(best, len(query)):
+                        dead = depth
+                    break
                 part = leaf[depth : depth + STEP]
                 at = np.minimum(np.searchsorted(query, part), len(query) - 1)
                 steps.append(overlap + np.cumsum(query[at] == part))
@@ -505,15 +544,24 @@ def within_families(votes: DataFrame, members: DataFrame, parts: DataFrame, sets
     nodes = members.select(F.col("a").alias("node")).distinct().join(families, "node")
     nodes = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     nodes = put(nodes.select("node", "family", "part"))
-    counts = nodes.groupBy("family", "part").agg(F.count(F.lit(1)).alias("size"))
+    nodes = put(nodes.join(sets.dropDuplicates(["node"]), "node"))
+    held = F.sum(F.octet_length("elements")).alias("bytes")
+    counts = nodes.groupBy("family", "part").agg(F.count(F.lit(1)).alias("size"), held)
     by_family = counts.groupBy("family").agg(
         F.max(F.struct("size", "part"))["part"].alias("main"),
         F.sum("size").alias("all"),
+        F.sum("bytes").alias("all_bytes"),
         (F.sum("size") - F.max("size")).alias("outside"),
     )
     open_families = put(by_family.filter("outside > 0"))
-    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
-    placed = nodes.join(open_families, "family").join(sets.dropDuplicates(["node"]), "node")
+
+    def blocks(n: str, size: int) -> Column:
+        """As many that one holds ``size`` sets, and no more of the family than ``BLOCK_BYTES``
+        if sets were of one size."""
+        share = F.col("all_bytes") / F.col("all") * F.col(n) / BLOCK_BYTES
+        return F.ceil(F.greatest(F.col(n) / size, share)).cast("int")
+
+    placed = nodes.join(open_families, "family")
     placed = placed.withColumns(
         {"queries": blocks("outside", QUERY_BLOCK), "trees": blocks("all", TREE_BLOCK)}
     )
@@ -561,17 +609,20 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links)."""
     texts = as_bytes(documents(docs))
     found = nodes(texts)
-    common = common_elements(found)
-    posted = postings(texts, common)
-    near = grouped(posted)
+    near = grouped(postings(texts, common_elements(found)))
 
+    rows = found.filter("element is null").select("doc_id", "n", "node")
+    known = rows.filter("n > 0").groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")
+    )
+    known = put(known)
     pairs = put(summed_pairs(near.filter("kind = 0")))
     votes = near.filter("kind = 1")
     votes = votes.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     first = put(best_partners(pairs).union(best_partners(votes)).distinct())
     ends = pairs.select("a", "b").union(votes.select("a", "b"))
     wanted = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = fetch_sets(texts, found, wanted, common)
+    sets = fetch_sets(texts, known, wanted)
 
     links = check(first, sets)
     parts = put(components(links))
@@ -579,13 +630,14 @@ def join(docs: DataFrame) -> DataFrame:
     more = within_families(votes, near.filter("kind = 2"), parts, sets)
     parts = put(components(links.union(check(left, sets)).union(more)))
 
-    rows = found.filter("element is null").join(parts, "node", "left")
-    part = F.coalesce("component", "node")
-    rows = put(rows.select("doc_id", "n", part.alias("part")))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    least = rows.filter("n > 0").groupBy("part").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
-    least = least.filter("size > 1").select("part", "least", salts.alias("salt"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    named = rows.withColumn("salt", salt).join(least, ["part", "salt"], "left")
-    own = F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    # the least doc_id of each component, for its nodes; then of each node, for its rows
+    tied = put(known.join(parts, "node").select("node", "component", "least", "copies"))
+    whole = tied.groupBy("component").agg(F.min("least").alias("name"), F.count(F.lit(1)).alias("size"))
+    named = join_groups(tied, whole, ["component"], tied.count())
+    named = named.select("node", "name", F.col("copies").alias("size"))
+    alone = known.join(parts, "node", "left_anti").filter("copies > 1")
+    named = put(named.unionByName(alone.selectExpr("node", "least AS name", "copies AS size")))
+    final = join_groups(rows.filter("n > 0"), named, ["node"], rows.count())
+    none = rows.filter("n = 0").selectExpr("doc_id", "n AS n_shingles", "doc_id AS component_id")
+    name = F.coalesce("name", "doc_id").alias("component_id")
+    return final.select("doc_id", F.col("n").alias("n_shingles"), name).unionByName(none)

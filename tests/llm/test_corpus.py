@@ -70,13 +70,43 @@ def test_the_prefix_tree_finds_the_links(sets):
     assert sorted(tree.linked(ordered[0])) == expected
 
 
-@settings(max_examples=100, deadline=None)
-@given(n=st.integers(1, 3000), m=st.integers(1, 3000))
-def test_prefixes_suffice(n, m):
-    needed = jaccard.least_overlap(n, m)
-    assert 100 * needed >= 80 * (n + m - needed) and 100 * (needed - 1) < 80 * (n + m - needed + 1)
-    if needed <= min(n, m):
-        assert jaccard.prefix_length(n) >= n - needed + 1
+@settings(max_examples=300, deadline=None)
+@given(n=st.integers(1, 400), out=st.integers(0, 100), new=st.integers(0, 100), often=st.sampled_from([0, 0.5, 0.9, 1]), seed=st.integers(0, 99))
+def test_linked_sets_share_runs(n, out, new, often, seed):
+    """As many as are asked, in the band of the larger set, whatever elements are common."""
+    rng = np.random.default_rng(seed)
+    first = np.unique(rng.integers(0, 1 << 62, n))
+    second = np.union1d(first[out:], rng.integers(0, 1 << 62, new))
+    both = len(np.intersect1d(first, second))
+    if not len(second) or 100 * both < 80 * (len(first) + len(second) - both):
+        return
+    common = np.unique(rng.choice(first, int(often * len(first)), replace=False)) if often else first[:0]
+    found = [{band: (runs, set(keys.tolist())) for band, runs, keys in jaccard.keys_of(x, common)} for x in (first, second)]
+    band = int(np.searchsorted(jaccard.BANDS, max(len(first), len(second)), side="right")) - 1
+    (one, mine), (two, theirs) = found[0][band], found[1][band]
+    least = max(one, two) - (len(first) + len(second)) // 9 if one and two else 1
+    assert len(mine & theirs) >= max(least, 1)
+
+
+def test_subtrees_are_left():
+    """Sets of one beginning that the query lacks: one of them is come to."""
+    rng = np.random.default_rng(4)
+    query = np.sort(rng.choice(1 << 40, 300, replace=False)) + (1 << 20)
+    unlike = [np.append(np.arange(200), 1000 + np.sort(rng.choice(9000, 100, replace=False))) for _ in range(50)]
+    near = [np.delete(query, [i]) for i in range(5)]
+    tree = jaccard.PrefixTree([*unlike, *near])
+    assert sorted(tree.linked(query)) == [50, 51, 52, 53, 54]
+    assert tree.visited <= 6
+
+
+def test_texts_that_share_a_passage_hardly_ever_meet(spark):
+    passage = prose(50, 60)
+    texts = [(i, f"{prose(300 + i, 200)} {passage} {prose(900 + i, 200)}") for i in range(100)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    posted = jaccard.postings(jaccard.as_bytes(jaccard.documents(frame)), np.zeros(0, np.int64))
+    met = jaccard.grouped(posted)
+    assert met.count() < 1500  # of 4950 pairs
+    assert jaccard.summed_pairs(met).count() < 50  # share enough runs for their sizes
 
 
 def test_components_of_long_chains(spark):
