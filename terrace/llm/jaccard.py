@@ -60,7 +60,6 @@ GROUP = 128  # nodes of one key that are paired directly
 LEADERS = 3
 QUERY_BLOCK, TREE_BLOCK = 256, 2048  # nodes of a family that meet in one task
 BLOCK_BYTES = 16 << 20
-SLACK = 3  # runs beyond those that a linked pair needs
 BANDS = [1]  # the least sizes of the bands: a linked pair lies in one or in neighbours
 while BANDS[-1] < 1 << 32:
     BANDS.append(max(BANDS[-1] + 1, -(-5 * BANDS[-1] // 4)))
@@ -85,6 +84,12 @@ def most_different(band: int) -> int:
     return 2 * (BANDS[band + 1] - 1) // 9
 
 
+def parts_of(band: int) -> int:
+    """m: more than D, by so many that a set of the band hardly ever has as many empty runs."""
+    most = most_different(band)
+    return most + most // 8 + 3
+
+
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
@@ -118,7 +123,7 @@ def digest(elements: np.ndarray) -> int:
 
 def runs_of(elements: np.ndarray, band: int, kind: int) -> np.ndarray:
     """A key for each run of the set that is not empty: the part, and a hash of its elements."""
-    m = most_different(band) + SLACK
+    m = parts_of(band)
     part = ((elements.view(np.uint64) >> np.uint64(30)) * np.uint64(m)) >> np.uint64(32)
     starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, int)
     sums = np.add.reduceat(mix(elements.view(np.uint64)), starts) if len(starts) else np.zeros(0, np.uint64)
@@ -143,7 +148,7 @@ def keys_of(elements: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, int
     for band in (own, own + 1):
         if 5 * n < 4 * BANDS[band]:
             continue  # too small for a set of that band
-        m, most = most_different(band) + SLACK, most_different(band)
+        m, most = parts_of(band), most_different(band)
         keys = runs_of(rare, band, 0)
         if len(keys) <= most:  # a linked set may share empty runs only
             whole = runs_of(elements, band, 1)
