@@ -14,7 +14,8 @@ that is, if no more than a ninth of that sum, D, is in one of them only.
    are stored by their runs with common elements, too, and if need be by their empty runs.
 2. Groups of equal runs give pairs of nodes with the number of runs they share, which must be
    enough for their sizes. Large groups give only pairs with a few leaders.
-3. Each node's most promising pair is checked first, and components are formed.
+3. Each node's most promising pair is checked first, and components are formed; then, in a
+   few rounds, each node's best pair with a node of another component.
 4. Pairs of different components from small groups are checked. Nodes that large groups tie
    together are a family (of near copies, mostly): those outside its largest component are
    checked, in blocks, against all of it, and only links that connect components are kept. So
@@ -58,6 +59,7 @@ N_GRAM = 5
 COMMON = 4_000_000
 GROUP = 128  # nodes of one key that are paired directly
 LEADERS = 3
+ROUNDS = 2
 QUERY_BLOCK, TREE_BLOCK = 256, 2048  # nodes of a family that meet in one task
 BLOCK_BYTES = 16 << 20
 BANDS = [1]  # the least sizes of the bands: a linked pair lies in one or in neighbours
@@ -629,9 +631,13 @@ def join(docs: DataFrame) -> DataFrame:
     wanted = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = fetch_sets(texts, known, wanted)
 
-    links = check(first, sets)
+    links, tried = check(first, sets), first
     parts = put(components(links))
-    left = put(apart(pairs.select("a", "b"), parts).join(first, ["a", "b"], "left_anti"))
+    for _ in range(ROUNDS):  # components grow together before all that is left is checked
+        best = put(best_partners(apart(pairs, parts)))
+        links, tried = links.union(check(best, sets)), tried.union(best)
+        parts = put(components(links))
+    left = put(apart(pairs.select("a", "b"), parts).join(tried, ["a", "b"], "left_anti"))
     more = within_families(votes, near.filter("kind = 2"), parts, sets)
     parts = put(components(links.union(check(left, sets)).union(more)))
 
