@@ -68,7 +68,7 @@ while BANDS[-1] < 1 << 32:
 WORDS_REMEMBERED = 1 << 17
 PAIRS_HELD = 1 << 19
 BYTES_AT_ONCE = 4 << 20
-RUNS = (1 << 24) - 1
+RUNS, FURTHER = (1 << 23) - 1, 1 << 23
 STEP = 128  # elements per step down the tree
 BLOOM_BITS = 1 << 24
 BLOOM_HASHES = 3
@@ -141,7 +141,8 @@ def keys_of(elements: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, int
     """(band, runs, keys) for each band in which the set can meet a linked one.
 
     Keys are those of its runs without common elements, as many as ``runs``. A set of too few
-    has 0 and more keys: its runs with common elements, and if need be its empty ones.
+    has more keys: its runs with common elements, as many as ``runs`` without the mark
+    ``FURTHER``, and if need be its empty ones.
     """
     n = len(elements)
     own = int(np.searchsorted(BANDS, n, side="right")) - 1
@@ -152,16 +153,27 @@ def keys_of(elements: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, int
             continue  # too small for a set of that band
         m, most = parts_of(band), most_different(band)
         keys = runs_of(rare, band, 0)
-        if len(keys) <= most:  # a linked set may share empty runs only
+        runs = len(keys)
+        if runs <= most:  # a linked set may share empty runs only
             whole = runs_of(elements, band, 1)
-            keys = np.append(keys, whole)
+            keys, runs = np.append(keys, whole), len(whole) | FURTHER
             if len(whole) <= most:
                 part = ((elements.view(np.uint64) >> np.uint64(30)) * np.uint64(m)) >> np.uint64(32)
                 none = np.setdiff1d(np.arange(m, dtype=np.uint64), part)
                 keys = np.append(keys, _named(np.zeros(len(none), np.uint64), none, band, 1))
-            yield band, 0, keys
-        else:
-            yield band, len(keys), keys
+        yield band, runs, keys
+
+
+def least_shared(n, other, runs, of_other):
+    """Runs that a linked pair shares at least: all but D of those of either set.
+
+    Of a set that is stored in further ways those with common elements count, and only if
+    the other set is, too.
+    """
+    further, of_both = runs & FURTHER > 0, runs & of_other & FURTHER > 0
+    own = np.where(~further | of_both, runs & RUNS, 0)
+    theirs = np.where((of_other & FURTHER == 0) | of_both, of_other & RUNS, 0)
+    return np.maximum(np.maximum(own, theirs) - (n + other) // 9, 1)
 
 
 def nodes(texts: DataFrame) -> DataFrame:
@@ -212,7 +224,7 @@ def common_elements(found: DataFrame) -> np.ndarray:
 def postings(texts: DataFrame, common: np.ndarray) -> DataFrame:
     """key, node and meta (size, band, runs) for every run of every set, once per partition.
 
-    ``runs`` is the number of the set's own runs, 0 for sets that are stored in other ways, too.
+    ``runs`` is what ``keys_of`` says.
     """
     held = texts.sparkSession.sparkContext.broadcast(common)
 
@@ -228,7 +240,7 @@ def postings(texts: DataFrame, common: np.ndarray) -> DataFrame:
                         for band, runs, keys in keys_of(elements, held.value):
                             parts.append(keys)
                             names.append(name)
-                            metas.append(len(elements) << 31 | band << 24 | min(runs, RUNS))
+                            metas.append(len(elements) << 31 | band << 24 | runs)
                 if parts:
                     lengths = [len(p) for p in parts]
                     yield batch(
@@ -308,7 +320,7 @@ def grouped(posted: DataFrame) -> DataFrame:
         for key, meta, node in groups(batches, ["key", "meta", "node"]):
             keep = np.append(True, (np.diff(key) != 0) | (np.diff(node) != 0))
             key, meta, node = (x[keep] for x in (key, meta, node))
-            n, band, runs = meta >> 31, (meta >> 24) & 127, meta & RUNS
+            n, band, runs = meta >> 31, (meta >> 24) & 127, meta & (RUNS | FURTHER)
             starts = np.flatnonzero(np.append(True, np.diff(key) != 0))
             sizes = np.diff(np.append(starts, len(key)))
             wide = np.repeat(sizes, sizes)
@@ -321,10 +333,8 @@ def grouped(posted: DataFrame) -> DataFrame:
                 j = i + apart  # sorted by size within a key: not the smaller one
                 good = (5 * size[i] >= 4 * size[j]) & (size[j] >= bounds[zone[j]])
                 i, j = i[good], j[good]
-                # all but D of the runs are equal; those that are empty in both are not keys
-                sure = np.maximum(has[i], has[j]) - (size[i] + size[j]) // 9
-                least = np.where((has[i] > 0) & (has[j] > 0), sure, 1)
-                if len(i) and pairs.add(who[i], who[j], np.maximum(least, 1)):
+                least = least_shared(size[i], size[j], has[i], has[j])
+                if len(i) and pairs.add(who[i], who[j], least):
                     yield pairs.take()
             large = (sizes > GROUP) & (n[starts + sizes - 1] >= bounds[band[starts]])
             for at, size in zip(starts[large], sizes[large]):

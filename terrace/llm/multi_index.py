@@ -147,7 +147,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
 
 
 def index(vectors: DataFrame, centres: Codebook) -> DataFrame:
-    """Every vector with its cell: vec_id, a, b, vector. Written once."""
+    """Every vector with its number and cell: vec_id, row, a, b, vector. Written once."""
     held = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Batches) -> Batches:
@@ -157,9 +157,11 @@ def index(vectors: DataFrame, centres: Codebook) -> DataFrame:
                 first, second = book.halves(matrix(b["vector"], b.num_rows))
                 own = (nearest(first, book.first), nearest(second, book.second))
                 a, c = (pa.array(x.astype(np.int32)) for x in own)
-                yield batch(vec_id=b["vec_id"], a=a, b=c, vector=b["vector"])
+                yield batch(vec_id=b["vec_id"], row=b["row"], a=a, b=c, vector=b["vector"])
 
-    return put(vectors.mapInArrow(run, "vec_id bigint, a int, b int, vector array<double>"))
+    numbered = vectors.select("vec_id", "vector", F.monotonically_increasing_id().alias("row"))
+    schema = "vec_id bigint, row bigint, a int, b int, vector array<double>"
+    return put(numbered.mapInArrow(run, schema))
 
 
 def traverse(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: float) -> np.ndarray:
@@ -191,7 +193,11 @@ def search(
     k: int = 20,
     visited: float = VISITED,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query (vec_id, vector)."""
+    """query_id, rank, vec_id, score: the k nearest found of each query (vec_id, row, vector).
+
+    Each row of the queries is a query of its own, to which all rows but itself are candidates,
+    also those that repeat its vec_id.
+    """
     spark = indexed.sparkSession
     shape = (len(centres.first), len(centres.second))
     sizes = np.zeros(shape, np.int64)
@@ -211,13 +217,14 @@ def search(
             m = matrix(b["vector"], b.num_rows)
             first, second = book.query_halves(m)
             to_first, to_second = distances(first, book.first), distances(second, book.second)
-            names = b["vec_id"].to_pylist()
-            rows: dict[str, list] = {n: [] for n in ("query_id", "a", "block", "cells", "query")}
+            names = list(zip(b["row"].to_pylist(), b["vec_id"].to_pylist()))
+            columns = ("asked", "query_id", "a", "block", "cells", "query")
+            rows: dict[str, list] = {n: [] for n in columns}
             for i, name in enumerate(names):
                 cells = traverse(to_first[i], to_second[i], sizes, wanted)
                 for a in np.flatnonzero((cells & (sizes > 0)).any(1)).tolist():
                     for block in range(blocks[a]):
-                        for key, x in zip(rows, (name, a, block, cells[a].tobytes(), m[i].tobytes())):
+                        for key, x in zip(rows, (*name, a, block, cells[a].tobytes(), m[i].tobytes())):
                             rows[key].append(x)
                 if len(rows["a"]) > 4096:
                     yield _sent(rows)
@@ -225,14 +232,14 @@ def search(
             yield _sent(rows)
 
     def _sent(rows: dict[str, list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return batch(**{n: pa.array(rows[n], t) for n, t in zip(rows, kinds)})
 
     sent = queries.mapInArrow(
-        send, "query_id bigint, a int, block int, cells binary, query binary"
-    ).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
+        send, "asked bigint, query_id bigint, a int, block int, cells binary, query binary"
+    ).withColumn("part", F.pmod(F.xxhash64("asked"), F.lit(query_blocks)).cast("int"))
     counts = F.array(*[F.lit(int(n)) for n in blocks])
-    own_block = F.pmod(F.xxhash64("vec_id"), F.get(counts, F.col("a"))).cast("int")
+    own_block = F.pmod(F.xxhash64("row"), F.get(counts, F.col("a"))).cast("int")
     entries = indexed.withColumns(
         {
             "block": own_block,
@@ -241,11 +248,11 @@ def search(
     )
 
     def rank(key, entries: pa.Table, sent: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        out = [*[np.zeros(0, np.int64)] * 3, np.zeros(0)]
         if entries.num_rows and sent.num_rows:
             m = matrix(entries["vector"], entries.num_rows)
-            ids, cell = entries["vec_id"].to_numpy(), entries["b"].to_numpy()
-            names = sent["query_id"].to_numpy()
+            ids, cell, rows = (entries[c].to_numpy() for c in ("vec_id", "b", "row"))
+            asked, names = sent["asked"].to_numpy(), sent["query_id"].to_numpy()
             cells = [np.frombuffer(x, bool) for x in sent["cells"].to_pylist()]
             query = [np.frombuffer(x) for x in sent["query"].to_pylist()]
             found = []
@@ -253,7 +260,7 @@ def search(
                 upto = slice(at, at + QUERIES_AT_ONCE)
                 q = np.array(query[upto])
                 scores = q @ m.T
-                hidden = ~np.array(cells[upto])[:, cell] | (ids[None, :] == names[upto, None])
+                hidden = ~np.array(cells[upto])[:, cell] | (rows[None, :] == asked[upto, None])
                 scores[hidden] = -np.inf
                 for i, own in enumerate(scores):
                     least = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf
@@ -261,16 +268,17 @@ def search(
                     exact = (m[near] * q[i]).sum(1)  # the same sum for equal vectors
                     best = near[np.lexsort((ids[near], -exact))[:k]]
                     exact = (m[best] * q[i]).sum(1)
-                    found.append((np.full(len(best), names[at + i]), ids[best], exact))
+                    own = [np.full(len(best), x[at + i]) for x in (asked, names)]
+                    found.append((*own, ids[best], exact))
             out = [np.concatenate(x) for x in zip(*found)]
-        return pa.table({"query_id": out[0], "vec_id": out[1], "score": out[2]})
+        return pa.table(dict(zip(("asked", "query_id", "vec_id", "score"), out)))
 
     key = ["a", "block", "part"]
     near = (
         entries.groupBy(*key)
         .cogroup(sent.groupBy(*key))
-        .applyInArrow(rank, "query_id bigint, vec_id bigint, score double")
+        .applyInArrow(rank, "asked bigint, query_id bigint, vec_id bigint, score double")
     )
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    place = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -166,7 +166,7 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = put(multi_index.usable(table(spark, sf_dir, "embeddings")))
     centres = multi_index.fit(vectors)
     indexed = multi_index.index(vectors, centres)
-    queries = indexed.filter(F.col("vec_id") % 20 == 0).select("vec_id", "vector")
+    queries = indexed.filter(F.col("vec_id") % 20 == 0).select("vec_id", "row", "vector")
     return multi_index.search(indexed, queries, centres, k=20)
 
 

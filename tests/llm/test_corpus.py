@@ -84,8 +84,8 @@ def test_linked_sets_share_runs(n, out, new, often, seed):
     found = [{band: (runs, set(keys.tolist())) for band, runs, keys in jaccard.keys_of(x, common)} for x in (first, second)]
     band = int(np.searchsorted(jaccard.BANDS, max(len(first), len(second)), side="right")) - 1
     (one, mine), (two, theirs) = found[0][band], found[1][band]
-    least = max(one, two) - (len(first) + len(second)) // 9 if one and two else 1
-    assert len(mine & theirs) >= max(least, 1)
+    least = jaccard.least_shared(*map(np.array, (len(first), len(second), one, two)))
+    assert len(mine & theirs) >= least >= 1
 
 
 def test_subtrees_are_left():
@@ -212,7 +212,7 @@ def searched(spark, frame, k, visited):
     usable = multi_index.usable(frame)
     centres = multi_index.fit(usable)
     indexed = multi_index.index(usable, centres)
-    queries = indexed.filter("vec_id % 20 = 0").select("vec_id", "vector")
+    queries = indexed.filter("vec_id % 20 = 0").select("vec_id", "row", "vector")
     return multi_index.search(indexed, queries, centres, k, visited).collect()
 
 
@@ -242,6 +242,18 @@ def test_recall_holds_for_unequal_norms(spark, spread):
     assert len(found & exact) >= 0.9 * len(exact)
 
 
+def test_repeated_rows_are_queries_and_candidates_of_their_own(spark):
+    made, frame = vectors(spark, 60)
+    twice = frame.unionByName(frame.filter("vec_id = 20"))
+    found = Counter((r.query_id, r["rank"], r.vec_id) for r in searched(spark, twice, 5, 1.0))
+    m = np.array([v for _, v, _ in made] + [made[20][1]], np.float64)
+    ids, expected = [*range(60), 20], Counter()
+    for row in [i for i, name in enumerate(ids) if name % 20 == 0]:
+        near = sorted((i for i in range(61) if i != row), key=lambda i: (-(m[i] * m[row]).sum(), ids[i]))
+        expected.update((ids[row], rank + 1, ids[i]) for rank, i in enumerate(near[:5]))
+    assert found == expected
+
+
 def test_few_vectors_give_all_and_none_give_none(spark):
     _, frame = vectors(spark, 300)
     few = searched(spark, frame.filter("vec_id < 5"), 20, 0.1)
