@@ -10,13 +10,15 @@ With these classes fixed, every other word seen ``SEEN`` times or more in traini
 that gains most by its own neighbours; only words seen less often keep their group's. Emissions use the count of every single word, common or not.
 
 Passes over the text, each read whole where it lies:
-1. candidates for common words: a word that is common at all is common in some partition;
+1. the training tokens of every word, summed by its hash: which words are common, which further;
 2. pairs of neighbours among common words and groups, summed by pair;
-   the classes of the neighbours of each other word, gathered in each task, shuffled by word;
+   the classes of the neighbours of each further word, gathered in each task, shuffled by word;
    class pairs, counted anew with the classes found for them;
 3. all other words: gathered in each task, shuffled by word, and counted; each word's
    contribution goes back to the texts that hold it;
 4. transitions and common words of each text, joined with what pass 3 found for it.
+Every count is exact and moves are made in fixed parts and order, so that scores do not depend on
+how the input is cut into partitions (but for the last bits of sums).
 The driver sees common words, their classes and class counts, all bounded, and nine bytes (a hash
 and a class) of each other word seen ``SEEN`` times; classes are exact up to that 64-bit hash. A word that many
 texts share is either common or has less than one in ``COMMON`` tokens, so no task gathers a hot
@@ -30,28 +32,31 @@ model is uniform.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Batches, Memo, as_bytes, batch, put
+from terrace.llm.common import Batches, Memo, as_bytes, batch, put, slices
 
 COMMON = 10_000
 ENDINGS = 256
 SEEN = 20  # training tokens from which a word has a class by its own neighbours
 CLASSES = 64
 ROUNDS = 16
+PARTS = 8  # of the words, in each of which moves are made one after the other
 MOVED_AT_ONCE = 4  # one in so many words may move in a round
 ADDED = 0.5
 BACKOFF = 10.0  # tokens that the unconditional class share counts as
 WORDS_REMEMBERED = 1 << 18
-TEXTS_AT_ONCE = 512
+BYTES_AT_ONCE = 4 << 20
+WORDS_COUNTED = 1 << 20
 PAIRS_HELD = 1 << 22
 ENTRIES_HELD = 1 << 21
 
@@ -70,32 +75,74 @@ def prepared(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFrame:
     return as_bytes(rows)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()  # bytes: ASCII letters and ASCII white space only
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The number of each token's word, -1 for an end; where each text begins; the words."""
+    lowered = pc.ascii_lower(texts.cast(pa.binary()).view(pa.string()))  # bytes: A-Z only
+    split = pc.ascii_split_whitespace(lowered)
+    bounds = split.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
+    flat = split.flatten()
+    there = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    if not there.all():  # white space at an end of a text
+        flat = flat.filter(pa.array(there))
+        bounds = np.append(0, np.cumsum(there))[bounds]
+    coded = flat.dictionary_encode()
+    numbers = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], -1)
+    return numbers, bounds[:-1] + np.arange(len(texts)), coded.dictionary.view(pa.binary()).to_pylist()
 
 
-def common_words(training: DataFrame, common: int = COMMON) -> list[bytes]:
-    """Words with at least one in ``common`` tokens, as far as partitions that see them so say."""
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(word_hash, words), np.uint64, len(words))
+
+
+def word_counts(training: DataFrame, common: int = COMMON) -> DataFrame:
+    """hash, n: the training tokens of every word, counted exactly (up to that 64-bit hash), and
+    of ends (NULL); and the word itself where it is common in some part of a task's tokens, as a
+    word that is common at all must be."""
 
     def run(batches: Batches) -> Batches:
         counts: Counter[bytes] = Counter()
-        tokens = 0
-        for b in batches:
-            for text in b["text"].to_pylist():
-                found = words_of(text)
-                tokens += len(found) + 1
-                counts.update(found)
-        often = [(w, n) for w, n in counts.items() if n * common >= tokens]
-        rows = [(None, tokens), *often]
-        yield batch(
-            word=pa.array([w for w, _ in rows], pa.binary()),
-            n=pa.array([n for _, n in rows], pa.int64()),
-        )
-
-    local = training.select("text").mapInArrow(run, "word binary, n bigint")
-    sums = put(local.groupBy("word").agg(F.sum("n").alias("n")))
-    total = sums.filter("word is null").agg(F.sum("n")).collect()[0][0] or 0
-    rows = sums.filter(F.col("word").isNotNull() & (F.col("n") * common >= total)).collect()
+        tokens = texts = 0
+
+        def flushed() -> pa.RecordBatch:
+            words = list(counts)
+            n = np.fromiter(counts.values(), np.int64, len(words))
+            often = np.flatnonzero(n * common >= tokens)
+            named = np.full(len(words) + 1, None, object)
+            named[often] = [words[i] for i in often]
+            return batch(
+                hash=pa.array(
+                    np.append(hashes_of(words).view(np.int64), 0), mask=np.arange(len(words) + 1) == len(words)
+                ),
+                n=np.append(n, texts),
+                word=pa.array(named.tolist(), pa.binary()),
+            )
+
+        for whole in batches:
+            for b in slices(whole, "text", BYTES_AT_ONCE):
+                numbers, _, words = tokens_of(b["text"])
+                tokens, texts = tokens + len(numbers), texts + b.num_rows
+                found = np.bincount(numbers[numbers >= 0], minlength=len(words))
+                for word, n in zip(words, found.tolist()):
+                    counts[word] += n
+                if len(counts) > WORDS_COUNTED:
+                    yield flushed()
+                    counts.clear()
+                    tokens = texts = 0
+        yield flushed()
+
+    found = training.select("text").mapInArrow(run, "hash bigint, n bigint, word binary")
+    return put(found.groupBy("hash").agg(F.sum("n").alias("n"), F.max("word").alias("word")))
+
+
+def common_words(counted: DataFrame, common: int = COMMON) -> list[bytes]:
+    """Words with at least one in ``common`` training tokens."""
+    total = counted.agg(F.sum("n")).collect()[0][0] or 0
+    rows = counted.filter(F.col("word").isNotNull() & (F.col("n") * common >= total)).select("word").collect()
     return sorted(bytes(r["word"]) for r in rows)
 
 
@@ -124,19 +171,10 @@ class Nodes:
         found = self.number.get(word)
         return self.group(word) if found is None else found
 
-    def sequences(self, texts: list[bytes], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    def sequences(self, texts: pa.Array, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
         """Nodes of all tokens of the texts one after the other, and where each text begins."""
-        nodes: list[int] = []
-        starts = []
-        for text in texts:
-            starts.append(len(nodes))
-            nodes += map(memo.__getitem__, words_of(text))
-            nodes.append(self.end)
-        return np.array(nodes, np.int64), np.array(starts, np.int64)
-
-
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        numbers, starts, words = tokens_of(texts)
+        return np.array([*map(memo.__getitem__, words), self.end], np.int64)[numbers], starts
 
 
 @dataclass
@@ -152,114 +190,125 @@ class Lookup:
     def width(self) -> int:
         return int(self.own[self.nodes.end]) + 1
 
-    def of(self, word: bytes) -> int:
-        node = self.nodes.number.get(word)
-        if node is None:
-            wanted = np.uint64(word_hash(word))
-            at = int(np.searchsorted(self.hashes, wanted))
-            if at < len(self.hashes) and self.hashes[at] == wanted:
-                return int(self.classes[at])
-            node = self.nodes.group(word)
-        return int(self.own[node])
-
-    def code(self, word: bytes) -> int:
-        return self.nodes.of(word) * self.width + self.of(word)
-
-    def sequences(self, texts: list[bytes], memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of_words(self, words: list[bytes], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+        """The node and the class of each of the words; ``memo`` remembers nodes."""
+        nodes = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        classes = self.own[nodes]
+        if len(self.hashes) and len(words):
+            wanted = hashes_of(words)
+            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+            further = (self.hashes[at] == wanted) & (nodes >= len(self.nodes.common))
+            classes[further] = self.classes[at[further]]
+        return nodes, classes
+
+    def sequences(self, texts: pa.Array, memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nodes and classes of all tokens, one text after the other, and where each text begins."""
-        codes: list[int] = []
-        starts = []
-        end = self.nodes.end * self.width + self.width - 1
-        for text in texts:
-            starts.append(len(codes))
-            codes += map(memo.__getitem__, words_of(text))
-            codes.append(end)
-        found = np.array(codes, np.int64)
-        return found // self.width, found % self.width, np.array(starts, np.int64)
+        numbers, starts, words = tokens_of(texts)
+        nodes, classes = self.of_words(words, memo)
+        return np.append(nodes, self.nodes.end)[numbers], np.append(classes, self.width - 1)[numbers], starts
 
 
 def further_words(
-    training: DataFrame, nodes: Nodes, own: np.ndarray, between: np.ndarray, seen: int = SEEN
+    training: DataFrame,
+    counted: DataFrame,
+    nodes: Nodes,
+    own: np.ndarray,
+    between: np.ndarray,
+    seen: int = SEEN,
 ) -> Lookup:
     """Every word that is not common and has ``seen`` training tokens joins its best class."""
     spark = training.sparkSession
-    held = spark.sparkContext.broadcast((nodes, own, between))
+    often = counted.filter(F.col("hash").isNotNull() & (F.col("n") >= seen)).select("hash").toArrow()
+    hashes = np.setdiff1d(often["hash"].to_numpy().view(np.uint64), hashes_of(nodes.common))
+    if not len(hashes):
+        return Lookup(nodes, own, hashes, np.zeros(0, np.uint8))
+    held = spark.sparkContext.broadcast((nodes, own, between, hashes))
     width = len(between)
     places = 2 * width + 1  # classes after, classes before, pairs with itself
 
     def gather(batches: Batches) -> Batches:
-        nodes, own, _ = held.value
+        nodes, own, _, hashes = held.value
         memo = Memo(nodes.of, WORDS_REMEMBERED)
-        place: dict[bytes, int] = {}
+        group = np.zeros(len(hashes), np.int32)
         parts, size = [], 0
 
         def flushed() -> pa.RecordBatch:
             codes, counts = summed(*map(np.concatenate, zip(*parts)))
-            offsets = pa.array(np.searchsorted(codes // places, np.arange(len(place) + 1)), pa.int32())
+            word = codes // places
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            offsets = pa.array(np.append(first, len(word)), pa.int32())
             lists = (codes % places).astype(np.int16), counts.astype(np.int64)
             at, n = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists)
-            return batch(word=pa.array(list(place), pa.binary()), at=at, n=n)
+            return batch(word=word[first], node=group[word[first]], at=at, n=n)
 
-        for b in batches:
-            for start in range(0, b.num_rows, TEXTS_AT_ONCE):
-                words: list[bytes | None] = []
-                for text in b["text"].slice(start, TEXTS_AT_ONCE).to_pylist():
-                    words += words_of(text)
-                    words.append(None)
-                found = np.array([nodes.end if w is None else memo[w] for w in words], np.int64)
-                classes = own[found]
-                tokens = np.flatnonzero((found >= len(nodes.common)) & (found < nodes.end))
+        for whole in batches:
+            for b in slices(whole, "text", BYTES_AT_ONCE):
+                numbers, _, words = tokens_of(b["text"])
+                of_word = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+                wanted = hashes_of(words)
+                place = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+                further = (hashes[place] == wanted) & (of_word >= len(nodes.common))
+                group[place[further]] = of_word[further]
+                place = np.append(np.where(further, place, -1), -1)[numbers]
+                classes = own[np.append(of_word, nodes.end)[numbers]]
+                tokens = np.flatnonzero(place >= 0)
                 if not len(tokens):
                     continue
-                number = [place.setdefault(words[i], len(place)) for i in tokens.tolist()]
-                base = np.array(number, np.int64) * places
-                same = [words[i] == words[i + 1] for i in tokens.tolist()]  # an end follows at last
+                base = place[tokens] * places
+                same = numbers[tokens] == numbers[tokens + 1]  # an end follows at last
                 before = np.append(width - 1, classes[:-1])[tokens]
                 codes = [base + classes[tokens + 1], base + width + before, base[same] + 2 * width]
                 parts.append(np.unique(np.concatenate(codes), return_counts=True))
                 size += len(parts[-1][0])
                 if size > ENTRIES_HELD:
-                    yield flushed()
-                    place.clear()
-                    parts, size = [], 0
+                    parts = [summed(*map(np.concatenate, zip(*parts)))]
+                    size = len(parts[0][0])
+                    if size > ENTRIES_HELD // 2:
+                        yield flushed()
+                        parts, size = [], 0
         if parts:
             yield flushed()
 
     def assign(batches: Batches) -> Batches:
-        nodes, own, between = held.value
-        hashes: list[int] = []
-        best: list[int] = []
-
-        def settle(word: bytes, total: np.ndarray) -> None:
-            out, into, self_pairs = total[:width], total[width : 2 * width], total[-1]
-            if out.sum() >= seen:
-                now = int(own[nodes.group(word)])
-                rest, out, into = without(now, out, into, self_pairs, between)
-                gain = gains(rest, out, into, self_pairs)
-                top = int(gain.argmax())
-                hashes.append(word_hash(word))
-                best.append(top if gain[top] > gain[now] + 1e-6 else now)
-
-        last, total = None, np.zeros(places)
+        _, own, between, _ = held.value
+
+        def best(node: int, total: np.ndarray) -> int:
+            now, self_pairs = int(own[node]), total[-1]
+            rest, out, into = without(now, total[:width], total[width:-1], self_pairs, between)
+            gain = gains(rest, out, into, self_pairs)
+            top = int(gain.argmax())
+            return top if gain[top] > gain[now] + 1e-6 else now
+
+        last: tuple[int, int] | None = None
+        total = np.zeros(places)
         for b in batches:
-            for word, at, n in zip(b["word"].to_pylist(), *(b[c] for c in ("at", "n"))):
-                if word != last:
-                    if last is not None:
-                        settle(last, total)
-                    last, total = word, np.zeros(places)
-                total[at.values.to_numpy()] += n.values.to_numpy()
-        if last is not None:
-            settle(last, total)
-        found = np.array(hashes, np.uint64).tobytes(), np.array(best, np.uint8).tobytes()
-        yield batch(hashes=pa.array([found[0]], pa.binary()), classes=pa.array([found[1]], pa.binary()))
-
-    gathered = training.select("text").mapInArrow(gather, "word binary, at array<smallint>, n array<bigint>")
+            if not b.num_rows:
+                continue
+            word, node = b["word"].to_numpy(), b["node"].to_numpy()
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+            cells = np.repeat(number, b["at"].value_lengths().to_numpy()) * places + b["at"].flatten().to_numpy()
+            sums = np.bincount(cells, b["n"].flatten().to_numpy(), minlength=len(first) * places)
+            sums, found = sums.reshape(-1, places), []
+            if last and last[0] == word[0]:
+                sums[0] += total
+            elif last:
+                found.append((last[0], best(last[1], total)))
+            ready = zip(word[first[:-1]].tolist(), node[first[:-1]].tolist(), sums)
+            found += [(w, best(own_node, x)) for w, own_node, x in ready]
+            last, total = (int(word[-1]), int(node[-1])), sums[-1].copy()
+            yield batch(word=np.array([w for w, _ in found], np.int64), best=np.array([c for _, c in found], np.int32))
+        if last:
+            yield batch(word=np.array([last[0]]), best=np.array([best(last[1], total)], np.int32))
+
+    gathered = training.select("text").mapInArrow(
+        gather, "word bigint, node int, at array<smallint>, n array<bigint>"
+    )
     together = gathered.repartition("word").sortWithinPartitions("word")
-    rows = together.mapInArrow(assign, "hashes binary, classes binary").collect()
-    hashes = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint64)
-    classes = np.frombuffer(b"".join(r["classes"] for r in rows), np.uint8)
-    order = np.argsort(hashes, kind="stable")
-    return Lookup(nodes, own, hashes[order], classes[order])
+    found = together.mapInArrow(assign, "word bigint, best int").toArrow()
+    classes = np.zeros(len(hashes), np.uint8)
+    classes[found["word"].to_numpy()] = found["best"].to_numpy()
+    return Lookup(nodes, own, hashes, classes)
 
 
 def class_pairs_of(training: DataFrame, lookup: Lookup) -> np.ndarray:
@@ -268,12 +317,11 @@ def class_pairs_of(training: DataFrame, lookup: Lookup) -> np.ndarray:
     width = lookup.width
 
     def run(batches: Batches) -> Batches:
-        memo = Memo(held.value.code, WORDS_REMEMBERED)
+        memo = Memo(held.value.nodes.of, WORDS_REMEMBERED)
         total = np.zeros(width * width, np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, TEXTS_AT_ONCE):
-                texts = b["text"].slice(at, TEXTS_AT_ONCE).to_pylist()
-                _, after, _ = held.value.sequences(texts, memo)
+        for whole in batches:
+            for b in slices(whole, "text", BYTES_AT_ONCE):
+                _, after, _ = held.value.sequences(b["text"], memo)
                 before = np.append(width - 1, after[:-1])
                 total += np.bincount(before * width + after, minlength=width * width)
         pair = np.flatnonzero(total)
@@ -324,10 +372,9 @@ def neighbours(training: DataFrame, nodes: Nodes) -> DataFrame:
         nodes = held.value
         memo = Memo(nodes.of, WORDS_REMEMBERED)
         parts, size = [], 0
-        for b in batches:
-            for at in range(0, b.num_rows, TEXTS_AT_ONCE):
-                texts = b["text"].slice(at, TEXTS_AT_ONCE).to_pylist()
-                after, _ = nodes.sequences(texts, memo)
+        for whole in batches:
+            for b in slices(whole, "text", BYTES_AT_ONCE):
+                after, _ = nodes.sequences(b["text"], memo)
                 before = np.append(nodes.end, after[:-1])
                 parts.append(np.unique(before * width + after, return_counts=True))
                 size += len(parts[-1][0])
@@ -370,11 +417,14 @@ def gains(rest: np.ndarray, out: np.ndarray, into: np.ndarray, self_pairs: float
     """
     # Whichever class the word joins, its neighbours' classes get these pairs back.
     rows, columns = rest.sum(1) + into, rest.sum(0) + out
-    before = _entropy(rest)
-    as_row = _entropy(rest + out[None, :]) - before
-    as_column = _entropy(rest + into[:, None]) - before
+    # Classes that are no neighbours keep their pairs.
+    after, ahead = np.flatnonzero(out), np.flatnonzero(into)
+    as_row = _entropy(rest[:, after] + out[after]) - _entropy(rest[:, after])
+    as_column = _entropy(rest[ahead] + into[ahead, None]) - _entropy(rest[ahead])
+    gain = as_row.sum(1) + as_column.sum(0)
+    gain[after] -= as_row[after, np.arange(len(after))]
+    gain[ahead] -= as_column[np.arange(len(ahead)), ahead]
     corner = np.diag(rest)
-    gain = as_row.sum(1) - np.diag(as_row) + as_column.sum(0) - np.diag(as_column)
     gain += _entropy(corner + out + into + self_pairs) - _entropy(corner)
     gain -= _entropy(rows + out.sum() + self_pairs) - _entropy(rows)
     gain -= _entropy(columns + into.sum() + self_pairs) - _entropy(columns)
@@ -400,7 +450,9 @@ def cluster(pairs: DataFrame, nodes: Nodes, classes: int = CLASSES, rounds: int
         for side in ("out", "into")
         for part in ("node", "n")
     }
-    words = put(joined.select("own", *[c.alias(n) for n, c in sides.items()]).repartition(8))
+    # Words that move at once know of each other's moves within one of eight fixed parts only.
+    words = joined.select("own", (F.col("own") % PARTS).alias("part"), *[c.alias(n) for n, c in sides.items()])
+    words = put(words.repartition(PARTS, "part").sortWithinPartitions("part", "own"))
     width = classes + 1
 
     counts = np.zeros(nodes.count, np.int64)
@@ -439,11 +491,13 @@ def cluster(pairs: DataFrame, nodes: Nodes, classes: int = CLASSES, rounds: int
         held = spark.sparkContext.broadcast((own, between))
 
         def moves(batches: Batches, held=held, turn=turn) -> Batches:
-            own, between = (x.copy() for x in held.value)  # as this task's moves change them
-            found = []
+            found, last = [], None
             for b in batches:
-                rows = zip(b["own"].to_pylist(), entries(b, "out"), entries(b, "into"))
-                for node, out, into in rows:
+                names = b["part"].to_pylist(), b["own"].to_pylist()
+                for part, node, out, into in zip(*names, entries(b, "out"), entries(b, "into")):
+                    if part != last:
+                        own, between = (x.copy() for x in held.value)  # as this part's moves change them
+                        last = part
                     if node == nodes_end or node // 8 % MOVED_AT_ONCE != turn % MOVED_AT_ONCE:
                         continue
                     self_pairs = float(out[1][out[0] == node].sum())
@@ -487,10 +541,11 @@ def rare_words(rows: DataFrame, nodes: Nodes, lookup: Lookup) -> tuple[DataFrame
     def gather(batches: Batches) -> Batches:
         common = held.value.number
         place: dict[bytes, int] = {}
-        entries: list[list[int]] = [[], [], [], []]  # word, key, times, times in training
+        parts: list[tuple[np.ndarray, ...]] = []  # word, key, times, times in training
+        size = 0
 
         def flushed() -> pa.RecordBatch:
-            word, key, times, train = (np.array(x, np.int64) for x in entries)
+            word, key, times, train = map(np.concatenate, zip(*parts))
             order = np.argsort(word, kind="stable")
             offsets = np.searchsorted(word[order], np.arange(len(place) + 1))
             lists = [
@@ -501,21 +556,23 @@ def rare_words(rows: DataFrame, nodes: Nodes, lookup: Lookup) -> tuple[DataFrame
             words = pa.array(list(place), pa.binary())
             return batch(word=words, trained=trained, keys=lists[0], times=lists[1])
 
-        for b in batches:
-            columns = (b[n].to_pylist() for n in ("key", "held_out", "text"))
-            for key, held_out, text in zip(*columns):
-                for word, n in Counter(words_of(text)).items():
-                    if word not in common:
-                        entries[0].append(place.setdefault(word, len(place)))
-                        entries[1].append(key)
-                        entries[2].append(n)
-                        entries[3].append(0 if held_out else n)
-                if len(entries[0]) > ENTRIES_HELD:
+        for whole in batches:
+            for b in slices(whole, "text", BYTES_AT_ONCE):
+                numbers, starts, words = tokens_of(b["text"])
+                name = [-1 if w in common else place.setdefault(w, len(place)) for w in words]
+                word = np.array([*name, -1], np.int64)[numbers]
+                text = np.repeat(np.arange(b.num_rows), np.diff(np.append(starts, len(numbers))))
+                rare = np.flatnonzero(word >= 0)
+                cells, times = np.unique(word[rare] * b.num_rows + text[rare], return_counts=True)
+                word, text = cells // b.num_rows, cells % b.num_rows
+                held_out = b["held_out"].to_numpy(zero_copy_only=False)[text]
+                parts.append((word, b["key"].to_numpy()[text], times, np.where(held_out, 0, times)))
+                size += len(cells)
+                if size > ENTRIES_HELD:
                     yield flushed()
                     place.clear()
-                    for e in entries:
-                        e.clear()
-        if entries[0]:
+                    parts, size = [], 0
+        if size:
             yield flushed()
 
     schema = "word binary, trained bigint, keys array<bigint>, times array<bigint>"
@@ -526,6 +583,7 @@ def rare_words(rows: DataFrame, nodes: Nodes, lookup: Lookup) -> tuple[DataFrame
 
     def count(batches: Batches) -> Batches:
         known_words = np.zeros(width, np.int64)
+        memo = Memo(held.value.of, WORDS_REMEMBERED)
         parts: list[tuple[np.ndarray, ...]] = []  # key, logs, known
         size = 0
         words, trained, lengths = [], *(np.zeros(0, np.int64) for _ in range(2))
@@ -536,9 +594,9 @@ def rare_words(rows: DataFrame, nodes: Nodes, lookup: Lookup) -> tuple[DataFrame
             new = np.array([True, *(a != b for a, b in zip(words, words[1:]))])
             number = np.cumsum(new) - 1
             total = np.bincount(number, trained)
-            for i in np.flatnonzero(new):
-                if total[number[i]]:
-                    known_words[classes.value.of(words[i])] += 1
+            seen = [words[i] for i in np.flatnonzero(new) if total[number[i]]]
+            _, of_class = classes.value.of_words(seen, memo)
+            known_words[:] += np.bincount(of_class, minlength=width)
             at = np.repeat(number, lengths)
             logs = np.log10(total + ADDED)[at] * times
             parts.append(merged(keys, logs, np.where(total[at] > 0, times, 0)))
@@ -603,9 +661,10 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = prepared(docs)
     training = rows.filter(~F.col("held_out"))
-    nodes = Nodes(common_words(training))
+    counted = word_counts(training)
+    nodes = Nodes(common_words(counted))
     own, between, counts = cluster(neighbours(training, nodes), nodes)
-    lookup = further_words(training, nodes, own, between)
+    lookup = further_words(training, counted, nodes, own, between)
     between = class_pairs_of(training, lookup)
     rare, rare_known = rare_words(rows, nodes, lookup)
 
@@ -630,13 +689,10 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         lookup, step, log_count, is_known = held.value
-        memo = Memo(lookup.code, WORDS_REMEMBERED)
+        memo = Memo(lookup.nodes.of, WORDS_REMEMBERED)
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                b = whole.slice(at, TEXTS_AT_ONCE)
-                found, classes, starts = lookup.sequences(b["text"].to_pylist(), memo)
-                if not len(starts):
-                    continue
+            for b in slices(whole, "text", BYTES_AT_ONCE):
+                found, classes, starts = lookup.sequences(b["text"], memo)
                 steps = step[np.append(lookup.width - 1, classes[:-1]), classes]
                 yield batch(
                     doc_id=b["doc_id"],

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections import Counter
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 from hypothesis import given, settings
@@ -142,6 +144,28 @@ def test_classes_find_structure_and_lower_perplexity(spark, data):
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
 
 
+def test_scores_do_not_depend_on_how_the_input_is_cut(spark, data):
+    whole = spark.read.parquet(f"{data}/documents.parquet")
+    scores = []
+    for parts in (1, 9):
+        found = brown.score(whole.repartition(parts)).collect()
+        scores.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in found})
+    assert scores[0].keys() == scores[1].keys()
+    for doc_id, values in scores[0].items():
+        assert np.allclose(values, scores[1][doc_id], rtol=1e-9)
+
+
+def test_tokens_are_those_of_bytes():
+    texts = ["", " \t ", "A b\x0bB  a\n", "É\u00a0É x\x1cy", "a\x00b a\x00b", "end "]
+    for part in (texts, texts[2:], texts[:2], []):
+        sliced = pa.array(["zz", *part], pa.string()).slice(1)
+        numbers, starts, words = brown.tokens_of(sliced.cast(pa.binary()))
+        found = [words[i] if i >= 0 else None for i in numbers]
+        expected = [re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) + [None] for t in part]
+        assert found == [w for own in expected for w in own]
+        assert list(starts) == list(np.cumsum([0, *map(len, expected)])[:-1])
+
+
 def test_words_below_the_common_ones_have_classes_by_their_neighbours(spark, monkeypatch):
     """Words of one ending and of two uses, like those of two common words."""
     monkeypatch.setattr(brown, "common_words", lambda training: [b"aa", b"bb", b"cc", b"dd", b"p", b"q"])
