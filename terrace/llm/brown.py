@@ -32,18 +32,14 @@ model is uniform.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Batches, Memo, as_bytes, batch, put, slices
+from terrace.llm.common import Batches, as_bytes, batch, mix, put, slices
 
 COMMON = 10_000
 ENDINGS = 256
@@ -54,12 +50,16 @@ PARTS = 8  # of the words, in each of which moves are made one after the other
 MOVED_AT_ONCE = 4  # one in so many words may move in a round
 ADDED = 0.5
 BACKOFF = 10.0  # tokens that the unconditional class share counts as
-WORDS_REMEMBERED = 1 << 18
-BYTES_AT_ONCE = 4 << 20
-WORDS_COUNTED = 1 << 20
+BYTES_AT_ONCE = 1 << 20
 PAIRS_HELD = 1 << 22
 ENTRIES_HELD = 1 << 21
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_LETTER = mix(np.arange(1, 257, dtype=np.uint64) * _FACTOR)
+
 
 def prepared(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFrame:
     """doc_id, held_out, key (equal for repeated rows only) and the text as bytes."""
@@ -75,65 +75,102 @@ def prepared(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFrame:
     return as_bytes(rows)
 
 
-def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """The number of each token's word, -1 for an end; where each text begins; the words."""
-    lowered = pc.ascii_lower(texts.cast(pa.binary()).view(pa.string()))  # bytes: A-Z only
-    split = pc.ascii_split_whitespace(lowered)
-    bounds = split.offsets.to_numpy().astype(np.int64)
-    bounds -= bounds[0]
-    flat = split.flatten()
-    there = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
-    if not there.all():  # white space at an end of a text
-        flat = flat.filter(pa.array(there))
-        bounds = np.append(0, np.cumsum(there))[bounds]
-    coded = flat.dictionary_encode()
-    numbers = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], -1)
-    return numbers, bounds[:-1] + np.arange(len(texts)), coded.dictionary.view(pa.binary()).to_pylist()
+@dataclass
+class Words:
+    """Different words: 64-bit hashes in order, their last three bytes, and where they are."""
 
+    hashes: np.ndarray
+    endings: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    data: bytes
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+    def named(self, which: np.ndarray) -> list[bytes]:
+        return [self.data[i:j] for i, j in zip(self.begin[which].tolist(), self.end[which].tolist())]
 
 
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(word_hash, words), np.uint64, len(words))
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
+    """The number of each token's word, -1 for an end; where each text begins; the words."""
+    texts = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    low = _LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]]
+    bounds = bounds - bounds[0]
+    inside = ~_SPACE[low]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cuts = bounds[(bounds > 0) & (bounds < len(low))]  # words end where texts do
+    first[cuts], last[cuts - 1] = inside[cuts], inside[cuts - 1]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sizes = end - begin
+    starts = np.cumsum(sizes) - sizes
+    letters = low[inside]
+    power = np.cumprod(np.full(int(sizes.max(initial=1)), _FACTOR))
+    terms = _LETTER[letters] * power[np.arange(len(letters)) - np.repeat(starts, sizes)]
+    hashes = mix(np.add.reduceat(terms, starts) if len(starts) else np.zeros(0, np.uint64))
+    distinct, at, numbers = np.unique(hashes, return_index=True, return_inverse=True)
+    begin, end = begin[at], end[at]
+    endings = np.zeros(len(at), np.int64)
+    for back in (1, 2, 3):
+        there = end - begin >= back
+        endings[there] = endings[there] * 256 + low[end[there] - back]
+    bounds = np.searchsorted(np.flatnonzero(first), bounds)
+    numbers = np.insert(numbers.astype(np.int64), bounds[1:], -1)
+    return numbers, bounds[:-1] + np.arange(len(texts)), Words(distinct, endings, begin, end, low.tobytes())
+
+
+def words_from(words: list[bytes]) -> tuple[Words, np.ndarray]:
+    """Given words, which are all different, and at which place each of them now is."""
+    numbers, _, found = tokens_of(pa.array(words, pa.binary()))
+    return found, numbers[numbers >= 0]
+
+
+def places_in(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the wanted values are in an ordered table, -1 for nowhere."""
+    if not len(table):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return np.where(table[at] == wanted, at, -1)
 
 
 def word_counts(training: DataFrame, common: int = COMMON) -> DataFrame:
     """hash, n: the training tokens of every word, counted exactly (up to that 64-bit hash), and
-    of ends (NULL); and the word itself where it is common in some part of a task's tokens, as a
+    of ends (NULL); and the word itself where it is common in some slice of the text, as a
     word that is common at all must be."""
 
     def run(batches: Batches) -> Batches:
-        counts: Counter[bytes] = Counter()
-        tokens = texts = 0
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        names: dict[int, bytes] = {}
+        size = texts = 0
 
         def flushed() -> pa.RecordBatch:
-            words = list(counts)
-            n = np.fromiter(counts.values(), np.int64, len(words))
-            often = np.flatnonzero(n * common >= tokens)
-            named = np.full(len(words) + 1, None, object)
-            named[often] = [words[i] for i in often]
+            hashes, n = summed(*map(np.concatenate, zip(*parts)))
+            number = hashes.view(np.int64)
+            end = np.arange(len(n) + 1) == len(n)
+            word = [*map(names.get, hashes.tolist()), None]
             return batch(
-                hash=pa.array(
-                    np.append(hashes_of(words).view(np.int64), 0), mask=np.arange(len(words) + 1) == len(words)
-                ),
-                n=np.append(n, texts),
-                word=pa.array(named.tolist(), pa.binary()),
+                hash=pa.array(np.append(number, 0), mask=end),
+                n=np.append(n, texts).astype(np.int64),
+                word=pa.array(word, pa.binary()),
             )
 
         for whole in batches:
             for b in slices(whole, "text", BYTES_AT_ONCE):
                 numbers, _, words = tokens_of(b["text"])
-                tokens, texts = tokens + len(numbers), texts + b.num_rows
-                found = np.bincount(numbers[numbers >= 0], minlength=len(words))
-                for word, n in zip(words, found.tolist()):
-                    counts[word] += n
-                if len(counts) > WORDS_COUNTED:
-                    yield flushed()
-                    counts.clear()
-                    tokens = texts = 0
-        yield flushed()
+                n = np.bincount(numbers[numbers >= 0], minlength=len(words.hashes))
+                often = np.flatnonzero(n * common >= len(numbers))
+                names.update(zip(words.hashes[often].tolist(), words.named(often)))
+                parts.append((words.hashes, n))
+                size, texts = size + len(n), texts + b.num_rows
+                if size > ENTRIES_HELD:
+                    parts = [summed(*map(np.concatenate, zip(*parts)))]
+                    size = len(parts[0][0])
+                    if size > ENTRIES_HELD // 2:
+                        yield flushed()
+                        names.clear()
+                        parts, size, texts = [], 0, 0
+        if parts:
+            yield flushed()
 
     found = training.select("text").mapInArrow(run, "hash bigint, n bigint, word binary")
     return put(found.groupBy("hash").agg(F.sum("n").alias("n"), F.max("word").alias("word")))
@@ -154,7 +191,8 @@ class Nodes:
     endings: int = ENDINGS
 
     def __post_init__(self):
-        self.number = {w: i for i, w in enumerate(self.common)}
+        words, place = words_from(self.common)
+        self.hashes, self.number = words.hashes, np.argsort(place)
 
     @property
     def end(self) -> int:
@@ -164,17 +202,17 @@ class Nodes:
     def count(self) -> int:
         return self.end + 1
 
-    def group(self, word: bytes) -> int:
-        return len(self.common) + zlib.crc32(word[-3:]) % self.endings
-
-    def of(self, word: bytes) -> int:
-        found = self.number.get(word)
-        return self.group(word) if found is None else found
+    def of(self, words: Words) -> np.ndarray:
+        at = places_in(self.hashes, words.hashes)
+        group = mix(words.endings.astype(np.uint64)) % np.uint64(self.endings)
+        found = len(self.common) + group.astype(np.int64)
+        found[at >= 0] = self.number[at[at >= 0]]
+        return found
 
-    def sequences(self, texts: pa.Array, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    def sequences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Nodes of all tokens of the texts one after the other, and where each text begins."""
         numbers, starts, words = tokens_of(texts)
-        return np.array([*map(memo.__getitem__, words), self.end], np.int64)[numbers], starts
+        return np.append(self.of(words), self.end)[numbers], starts
 
 
 @dataclass
@@ -190,21 +228,18 @@ class Lookup:
     def width(self) -> int:
         return int(self.own[self.nodes.end]) + 1
 
-    def of_words(self, words: list[bytes], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-        """The node and the class of each of the words; ``memo`` remembers nodes."""
-        nodes = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+    def of_words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The node and the class of each of the words."""
+        nodes = self.nodes.of(words)
         classes = self.own[nodes]
-        if len(self.hashes) and len(words):
-            wanted = hashes_of(words)
-            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-            further = (self.hashes[at] == wanted) & (nodes >= len(self.nodes.common))
-            classes[further] = self.classes[at[further]]
+        at = places_in(self.hashes, words.hashes)
+        classes[at >= 0] = self.classes[at[at >= 0]]
         return nodes, classes
 
-    def sequences(self, texts: pa.Array, memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sequences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nodes and classes of all tokens, one text after the other, and where each text begins."""
         numbers, starts, words = tokens_of(texts)
-        nodes, classes = self.of_words(words, memo)
+        nodes, classes = self.of_words(words)
         return np.append(nodes, self.nodes.end)[numbers], np.append(classes, self.width - 1)[numbers], starts
 
 
@@ -219,7 +254,7 @@ def further_words(
     """Every word that is not common and has ``seen`` training tokens joins its best class."""
     spark = training.sparkSession
     often = counted.filter(F.col("hash").isNotNull() & (F.col("n") >= seen)).select("hash").toArrow()
-    hashes = np.setdiff1d(often["hash"].to_numpy().view(np.uint64), hashes_of(nodes.common))
+    hashes = np.setdiff1d(often["hash"].to_numpy().view(np.uint64), nodes.hashes)
     if not len(hashes):
         return Lookup(nodes, own, hashes, np.zeros(0, np.uint8))
     held = spark.sparkContext.broadcast((nodes, own, between, hashes))
@@ -228,7 +263,6 @@ def further_words(
 
     def gather(batches: Batches) -> Batches:
         nodes, own, _, hashes = held.value
-        memo = Memo(nodes.of, WORDS_REMEMBERED)
         group = np.zeros(len(hashes), np.int32)
         parts, size = [], 0
 
@@ -244,12 +278,9 @@ def further_words(
         for whole in batches:
             for b in slices(whole, "text", BYTES_AT_ONCE):
                 numbers, _, words = tokens_of(b["text"])
-                of_word = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-                wanted = hashes_of(words)
-                place = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-                further = (hashes[place] == wanted) & (of_word >= len(nodes.common))
-                group[place[further]] = of_word[further]
-                place = np.append(np.where(further, place, -1), -1)[numbers]
+                of_word, place = nodes.of(words), places_in(hashes, words.hashes)
+                group[place[place >= 0]] = of_word[place >= 0]
+                place = np.append(place, -1)[numbers]
                 classes = own[np.append(of_word, nodes.end)[numbers]]
                 tokens = np.flatnonzero(place >= 0)
                 if not len(tokens):
@@ -317,11 +348,10 @@ def class_pairs_of(training: DataFrame, lookup: Lookup) -> np.ndarray:
     width = lookup.width
 
     def run(batches: Batches) -> Batches:
-        memo = Memo(held.value.nodes.of, WORDS_REMEMBERED)
         total = np.zeros(width * width, np.int64)
         for whole in batches:
             for b in slices(whole, "text", BYTES_AT_ONCE):
-                _, after, _ = held.value.sequences(b["text"], memo)
+                _, after, _ = held.value.sequences(b["text"])
                 before = np.append(width - 1, after[:-1])
                 total += np.bincount(before * width + after, minlength=width * width)
         pair = np.flatnonzero(total)
@@ -370,11 +400,10 @@ def neighbours(training: DataFrame, nodes: Nodes) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         nodes = held.value
-        memo = Memo(nodes.of, WORDS_REMEMBERED)
         parts, size = [], 0
         for whole in batches:
             for b in slices(whole, "text", BYTES_AT_ONCE):
-                after, _ = nodes.sequences(b["text"], memo)
+                after, _ = nodes.sequences(b["text"])
                 before = np.append(nodes.end, after[:-1])
                 parts.append(np.unique(before * width + after, return_counts=True))
                 size += len(parts[-1][0])
@@ -539,7 +568,7 @@ def rare_words(rows: DataFrame, nodes: Nodes, lookup: Lookup) -> tuple[DataFrame
     width = lookup.width
 
     def gather(batches: Batches) -> Batches:
-        common = held.value.number
+        nodes = held.value
         place: dict[bytes, int] = {}
         parts: list[tuple[np.ndarray, ...]] = []  # word, key, times, times in training
         size = 0
@@ -559,8 +588,10 @@ def rare_words(rows: DataFrame, nodes: Nodes, lookup: Lookup) -> tuple[DataFrame
         for whole in batches:
             for b in slices(whole, "text", BYTES_AT_ONCE):
                 numbers, starts, words = tokens_of(b["text"])
-                name = [-1 if w in common else place.setdefault(w, len(place)) for w in words]
-                word = np.array([*name, -1], np.int64)[numbers]
+                name = np.full(len(words.hashes) + 1, -1)
+                rare = np.flatnonzero(nodes.of(words) >= len(nodes.common))
+                name[rare] = [place.setdefault(w, len(place)) for w in words.named(rare)]
+                word = name[numbers]
                 text = np.repeat(np.arange(b.num_rows), np.diff(np.append(starts, len(numbers))))
                 rare = np.flatnonzero(word >= 0)
                 cells, times = np.unique(word[rare] * b.num_rows + text[rare], return_counts=True)
@@ -583,7 +614,6 @@ def rare_words(rows: DataFrame, nodes: Nodes, lookup: Lookup) -> tuple[DataFrame
 
     def count(batches: Batches) -> Batches:
         known_words = np.zeros(width, np.int64)
-        memo = Memo(held.value.of, WORDS_REMEMBERED)
         parts: list[tuple[np.ndarray, ...]] = []  # key, logs, known
         size = 0
         words, trained, lengths = [], *(np.zeros(0, np.int64) for _ in range(2))
@@ -595,7 +625,7 @@ def rare_words(rows: DataFrame, nodes: Nodes, lookup: Lookup) -> tuple[DataFrame
             number = np.cumsum(new) - 1
             total = np.bincount(number, trained)
             seen = [words[i] for i in np.flatnonzero(new) if total[number[i]]]
-            _, of_class = classes.value.of_words(seen, memo)
+            _, of_class = classes.value.of_words(words_from(seen)[0])
             known_words[:] += np.bincount(of_class, minlength=width)
             at = np.repeat(number, lengths)
             logs = np.log10(total + ADDED)[at] * times
@@ -689,10 +719,9 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         lookup, step, log_count, is_known = held.value
-        memo = Memo(lookup.nodes.of, WORDS_REMEMBERED)
         for whole in batches:
             for b in slices(whole, "text", BYTES_AT_ONCE):
-                found, classes, starts = lookup.sequences(b["text"], memo)
+                found, classes, starts = lookup.sequences(b["text"])
                 steps = step[np.append(lookup.width - 1, classes[:-1]), classes]
                 yield batch(
                     doc_id=b["doc_id"],
