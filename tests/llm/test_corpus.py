@@ -329,6 +329,17 @@ def test_the_loser_tree_merges(lists):
 # Pipeline
 
 
+def test_every_page_has_one_language(spark, data):
+    found = registered.QUERIES["page_languages"](spark, data).collect()
+    pages = spark.read.parquet(f"{data}/pages.parquet").collect()
+    known = {r.lang for r in spark.read.parquet(f"{data}/documents.parquet").select("lang").collect()}
+    assert sorted(r.page_id for r in found) == sorted(r.page_id for r in pages)
+    blank = {r.page_id for r in pages if not re.sub(r"(?s)<[^>]*>", "", r.html or "").strip()}
+    for r in found:
+        assert r.lang in known | {"und"} and 0 < r.probability <= 1 + 1e-9
+        assert r.kept == (r.lang != "und") and not (r.kept and r.page_id in blank)
+
+
 def test_the_pipeline_stage_by_stage(spark, tmp_path):
     import corpus_pipeline
 
