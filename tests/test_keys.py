@@ -149,3 +149,16 @@ def test_fingerprints_tell_where_nulls_are(spark):
     rows = [(1, None, [1, None]), (None, 1, [None, 1]), (1, None, [None, 1]), (1, None, None)]
     df = spark.createDataFrame(rows, "a int, b int, c array<int>")
     assert df.select(*fingerprint(df)).distinct().count() == 4
+
+
+@pytest.mark.parametrize("megabytes", [10, 160, 4000])
+def test_ranges_follow_the_size_of_what_is_read(spark, monkeypatch, ranges, megabytes):
+    """One task numbers a few megabytes of files, whatever the number of shuffle partitions."""
+    monkeypatch.undo()
+    monkeypatch.setattr(keys, "bytes_read", lambda *frames: megabytes << 20)
+    df = spark.range(1000).select((-F.col("id")).alias("n"))
+    assert not keys.fits_one_range(df)
+    wanted = max(megabytes // 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cut = keys._ranged(df, ["n"], megabytes << 20)
+    assert str(wanted) in cut._jdf.queryExecution().logical().toString() or wanted != megabytes // 4
+    assert sorted(assign_keys(df, "n", "k").collect()) == sorted(one_window(df, "n").collect())
