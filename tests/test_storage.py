@@ -14,6 +14,7 @@ from terrace.operators.dimensions import lookup
 from terrace.operators.quality import required
 from terrace.operators.scd2 import Versioned, scd2_apply, scd2_initial
 from terrace.plans import stages
+from terrace.session import tune
 from terrace.sources import control, history, readers, staging, tables
 from terrace.sources.readers import FrameSource
 from terrace.sources.staging import in_threads, scratch, shared_folder, stage, subfolders
@@ -258,6 +259,36 @@ def test_silver_reads_bronze_once_and_once_for_repeated_rows(spark, tmp_path):
     assert spark.read.table(layout.silver("A")).count() == 0
 
 
+def test_rejected_rows_are_stored_without_a_sort_and_once(spark, tmp_path, monkeypatch):
+    """Rows are not sorted by outcome, a failed row's columns are not stored beside its record,
+    and many failed rows go to the quarantine where they lie."""
+    layout = Layout(str(tmp_path / "raw"), *(f"unsorted_{d}" for d in ("control", "bronze", "silver", "gold")), str(tmp_path))
+    tune(spark)
+    control.bootstrap(spark, layout, ["A"], DAY)
+    df = spark.range(0, 900, 1, 3).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("id"), F.lit("x").alias("t"))
+    run = Run(datetime(2024, 1, 1, 5))
+    stages.extract(spark, layout, run, FrameSource({"A": df}))
+    stages.load_bronze(spark, layout, run)
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    last = max(store.executionsList().apply(i).executionId() for i in range(store.executionsList().size()))
+    monkeypatch.setattr(stages, "SMALLEST_FILE", 0)
+    [done] = stages.load_silver(spark, layout, run, {"a": required("id")}, {})
+    assert done.rows == 600
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    executed = [store.executionsList().apply(i) for i in range(store.executionsList().size())]
+    writes = [p.physicalPlanDescription() for p in executed if p.executionId() > last and "passed=" not in p.physicalPlanDescription()]
+    routed = [p for p in writes if "WriteFiles" in p and "CollectMetrics" in p]
+    assert len(routed) == 1 and "Sort" not in routed[0]
+    quarantined = [p for p in (e.physicalPlanDescription() for e in executed if e.executionId() > last) if "passed=false" in p]
+    assert quarantined and not any("Exchange" in p for p in quarantined)
+    root = tables.table_folder(spark, layout.silver("A"))
+    bad = spark.read.parquet(f"{root}/*/passed=false")
+    assert bad.count() == 300 and bad.where("t IS NOT NULL").isEmpty()
+    held = spark.read.table(layout.control(control.QUARANTINE))
+    assert held.where("""record_data = '{"id":null,"t":"x"}' AND failed_rule = 'not_null:id'""").count() == 300
+
+
 # Sources and names
 
 
