@@ -12,7 +12,8 @@ that gains most by its own neighbours; only words seen less often keep their gro
 Passes over the text, each read whole where it lies:
 1. the training tokens of every word, summed by its hash: which words are common, which further;
 2. pairs of neighbours among common words and groups, summed by pair;
-   the classes of the neighbours of each further word, gathered in each task, shuffled by word;
+   the classes of the neighbours of each further word, gathered in each task, shuffled by bucket
+   of words;
    class pairs, counted anew with the classes found for them;
 3. all other words: gathered in each task, shuffled by word, and counted; each word's
    contribution goes back to the texts that hold it;
@@ -53,6 +54,7 @@ BACKOFF = 10.0  # tokens that the unconditional class share counts as
 BYTES_AT_ONCE = 1 << 20
 PAIRS_HELD = 1 << 22
 ENTRIES_HELD = 1 << 21
+WORD_BUCKETS = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -260,6 +262,9 @@ def further_words(
     held = spark.sparkContext.broadcast((nodes, own, between, hashes))
     width = len(between)
     places = 2 * width + 1  # classes after, classes before, pairs with itself
+    # Each task sends a row for each bucket of words, of which there are as many whatever the input.
+    buckets = max(WORD_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    edges = np.arange(buckets + 1) * len(hashes) // buckets
 
     def gather(batches: Batches) -> Batches:
         nodes, own, _, hashes = held.value
@@ -267,13 +272,16 @@ def further_words(
         parts, size = [], 0
 
         def flushed() -> pa.RecordBatch:
+            """A row for each bucket of words, with all that belongs there."""
             codes, counts = summed(*map(np.concatenate, zip(*parts)))
             word = codes // places
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            offsets = pa.array(np.append(first, len(word)), pa.int32())
-            lists = (codes % places).astype(np.int16), counts.astype(np.int64)
-            at, n = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists)
-            return batch(word=word[first], node=group[word[first]], at=at, n=n)
+            cuts = np.searchsorted(word, edges), np.searchsorted(word[first], edges)
+            local = codes - np.repeat(edges[:-1] * places, np.diff(cuts[0]))
+            lists = (cuts[0], local.astype(np.int32)), (cuts[0], counts.astype(np.int64)), (cuts[1], group[word[first]])
+            at, n, node = (pa.ListArray.from_arrays(pa.array(c, pa.int32()), pa.array(x)) for c, x in lists)
+            rows = batch(bucket=np.arange(buckets, dtype=np.int32), at=at, n=n, node=node)
+            return rows.filter(pa.array(np.diff(cuts[0]) > 0))
 
         for whole in batches:
             for b in slices(whole, "text", BYTES_AT_ONCE):
@@ -310,32 +318,40 @@ def further_words(
             top = int(gain.argmax())
             return top if gain[top] > gain[now] + 1e-6 else now
 
-        last: tuple[int, int] | None = None
-        total = np.zeros(places)
+        def settled() -> pa.RecordBatch:
+            """Every word of a bucket, its counts from all tasks together."""
+            codes, counts = summed(*map(np.concatenate, zip(*parts)))
+            word = codes // places
+            cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
+            found = np.empty(len(cuts) - 1, np.int32)
+            for i, (start, end) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+                total = np.zeros(places)
+                total[codes[start:end] % places] = counts[start:end]
+                found[i] = best(int(node_of[word[start]]), total)
+            return batch(word=edges[last] + word[cuts[:-1]], best=found)
+
+        last, parts, size, node_of = -1, [], 0, np.zeros(0, np.int32)
         for b in batches:
-            if not b.num_rows:
-                continue
-            word, node = b["word"].to_numpy(), b["node"].to_numpy()
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
-            cells = np.repeat(number, b["at"].value_lengths().to_numpy()) * places + b["at"].flatten().to_numpy()
-            sums = np.bincount(cells, b["n"].flatten().to_numpy(), minlength=len(first) * places)
-            sums, found = sums.reshape(-1, places), []
-            if last and last[0] == word[0]:
-                sums[0] += total
-            elif last:
-                found.append((last[0], best(last[1], total)))
-            ready = zip(word[first[:-1]].tolist(), node[first[:-1]].tolist(), sums)
-            found += [(w, best(own_node, x)) for w, own_node, x in ready]
-            last, total = (int(word[-1]), int(node[-1])), sums[-1].copy()
-            yield batch(word=np.array([w for w, _ in found], np.int64), best=np.array([c for _, c in found], np.int32))
-        if last:
-            yield batch(word=np.array([last[0]]), best=np.array([best(last[1], total)], np.int32))
+            for i in range(b.num_rows):
+                bucket = b["bucket"][i].as_py()
+                if bucket != last:
+                    if parts:
+                        yield settled()
+                    last, parts, size = bucket, [], 0
+                    node_of = np.zeros(edges[bucket + 1] - edges[bucket], np.int32)
+                codes, counts, own_nodes = (b[c].slice(i, 1).flatten().to_numpy() for c in ("at", "n", "node"))
+                node_of[np.unique(codes // places)] = own_nodes
+                parts.append((codes, counts))
+                size += len(codes)
+                if size > ENTRIES_HELD:
+                    parts, size = [summed(*map(np.concatenate, zip(*parts)))], 0
+        if parts:
+            yield settled()
 
     gathered = training.select("text").mapInArrow(
-        gather, "word bigint, node int, at array<smallint>, n array<bigint>"
+        gather, "bucket int, at array<int>, n array<bigint>, node array<int>"
     )
-    together = gathered.repartition("word").sortWithinPartitions("word")
+    together = gathered.repartition("bucket").sortWithinPartitions("bucket")
     found = together.mapInArrow(assign, "word bigint, best int").toArrow()
     classes = np.zeros(len(hashes), np.uint8)
     classes[found["word"].to_numpy()] = found["best"].to_numpy()

@@ -178,6 +178,22 @@ def test_words_below_the_common_ones_have_classes_by_their_neighbours(spark, mon
     assert score[400] > score[401] + 1
 
 
+def test_each_task_sends_a_row_for_each_bucket_of_words(spark, monkeypatch):
+    """However many further words there are: the rows that are shuffled follow the tasks."""
+    kind, sent = type(spark.range(1)), []
+    dealt = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, *on: sent.append(df) or dealt(df, *on))
+    monkeypatch.setattr(brown, "cluster", partial(brown.cluster, classes=3, rounds=1))
+    monkeypatch.setattr(brown, "common_words", lambda training: [b"aa", b"bb"])
+    words = 4000
+    texts = [" ".join(f"aa w{i + j} bb" for j in range(100)) for i in range(0, words, 100) for _ in range(30)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(2)
+    assert brown.score(frame).count() == len(texts)
+    gathered = [df for df in sent if "node" in df.columns]
+    most = 2 * max(brown.WORD_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert len(gathered) == 1 and 0 < gathered[0].count() <= most < words
+
+
 def test_gains_are_differences_of_likelihood():
     rng = np.random.default_rng(3)
     pairs = rng.integers(0, 20, (12, 12)).astype(float)
