@@ -22,6 +22,7 @@ from terrace.llm import host_rules, jaccard, language, packing, secret_scan
 from terrace.llm.common import folder, put, reach
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+BATCH_BYTES = 8 << 20
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -30,9 +31,16 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """Send texts to Python workers in batches of bounded size, whatever their lengths: executors
+    hold several batches outside their heaps, and keep that memory from stage to stage."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def stage(function):
     """A stage whose Python workers find this package."""
-    return lambda spark, docs, sf_dir: function(reach(spark), docs, sf_dir)
+    return lambda spark, docs, sf_dir: function(bounded(reach(spark)), docs, sf_dir)
 
 
 @stage

@@ -81,6 +81,24 @@ class Memo(dict):
         return value
 
 
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a worker keeps between tasks, such as a loaded tokenizer; only the last thing asked for."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Give back what operators that ran earlier in this worker have kept: Spark uses its workers
+    for all stages."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(b: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """A batch in parts of ``most`` bytes in a column, or of one row."""
     sizes = pc.fill_null(pc.binary_length(b[column]), 0).to_numpy().astype(np.int64)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Batches, as_bytes, batch, mapped, put
+from terrace.llm.common import Batches, as_bytes, batch, mapped, put, release, slices
 
 MIN_WORDS = 10
 REPEATED_SHARE = 20  # per cent of the words
@@ -30,6 +30,7 @@ WINDOW = 5
 HOST_LIMIT = 0.5
 CERTAINTY = 3.0
 SALTS = 16
+BYTES_AT_ONCE = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
 _NOT_COUNTED = SPACE + bytes(range(0x80, 0xC0))  # white space, and bytes inside a code point
@@ -92,10 +93,12 @@ def measured(docs: DataFrame, host_col: str = "source") -> DataFrame:
     )
 
     def run(batches: Batches) -> Batches:
-        for b in batches:
-            found = list(zip(*map(measure, b["text"].to_pylist()))) or [()] * len(MEASURES)
-            columns = {n: pa.array(c, pa.int64()) for n, c in zip(MEASURES, found)}
-            yield batch(doc_id=b["doc_id"], host=b["host"], **columns)
+        release()
+        for whole in batches:
+            for b in slices(whole, "text", BYTES_AT_ONCE):
+                found = zip(*map(measure, b["text"].to_pylist()))
+                columns = {n: pa.array(c, pa.int64()) for n, c in zip(MEASURES, found)}
+                yield batch(doc_id=b["doc_id"], host=b["host"], **columns)
 
     schema = "doc_id bigint, host string, " + ", ".join(f"{n} bigint" for n in MEASURES)
     return mapped(as_bytes(rows), run, schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Batches, batch, put
+from terrace.llm.common import Batches, batch, put, release, slices
 
 SAMPLE_ROWS = 4000  # rows of each label that the text model is fitted on, about
 FITTING_TASKS = 4
@@ -41,7 +41,7 @@ SMOOTHING = 0.5
 HOST_WEIGHT = 20.0  # documents that a parent's prior counts as
 DECLARED_WEIGHT = 1.0
 SALTS = 16
-TEXTS_AT_ONCE = 1000
+BYTES_AT_ONCE = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -99,13 +99,15 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
     chosen = rows.join(F.broadcast(limits), "label").filter("place <= limit")
 
     def run(batches: Batches) -> Batches:
+        release()
         counts: dict[str, np.ndarray] = {}
-        for b in batches:
-            cells, offsets = cells_of(b["text"])
-            labels = b["label"].to_pylist()
-            for i, begin, end in zip(*spans_of(offsets)):
-                own = counts.setdefault(labels[i], np.zeros(CELLS, np.int64))
-                own += np.bincount(cells[begin:end], minlength=CELLS)
+        for whole in batches:
+            for b in slices(whole, "text", BYTES_AT_ONCE):
+                cells, offsets = cells_of(b["text"])
+                labels = b["label"].to_pylist()
+                for i, begin, end in zip(*spans_of(offsets)):
+                    own = counts.setdefault(labels[i], np.zeros(CELLS, np.int64))
+                    own += np.bincount(cells[begin:end], minlength=CELLS)
         for label, own in counts.items():
             seen = np.flatnonzero(own)
             sent = (pa.array([x.tobytes()], pa.binary()) for x in (seen, own[seen]))
@@ -130,10 +132,10 @@ def score(rows: DataFrame, model: TextModel) -> DataFrame:
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Batches) -> Batches:
+        release()
         scores = held.value.scores
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                b = whole.slice(at, TEXTS_AT_ONCE)
+            for b in slices(whole, "text", BYTES_AT_ONCE):
                 cells, offsets = cells_of(b["text"])
                 having, begin, end = spans_of(offsets)
                 n = np.zeros(b.num_rows, np.int64)

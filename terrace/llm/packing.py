@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Batches, Memo, batch, documents, encode_texts, mapped, slices
+from terrace.llm.common import Batches, Memo, batch, documents, encode_texts, kept, mapped, slices
 
 LONGEST = 1024
 END = 0
@@ -27,8 +27,6 @@ PIECES_REMEMBERED = 1 << 19
 BYTES_AT_ONCE = 8 << 20
 MARKS = (",", ".", ";", ":", "!", "?")
 
-_loaded: dict[tuple[str, str], Tokenized] = {}
-
 
 def byte_characters() -> dict[int, str]:
     """The character by which byte-level vocabularies write each byte: itself if it is
@@ -111,9 +109,7 @@ class Tokenized:
 
 def tokenized(path: str, pattern: str) -> Tokenized:
     """The tokenizer of a file, loaded once per worker."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = Tokenized(path, pattern)
-    return _loaded[path, pattern]
+    return kept((Tokenized, path, pattern), lambda: Tokenized(path, pattern))
 
 
 def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Batches, as_bytes, batch, documents, mapped
+from terrace.llm.common import Batches, as_bytes, batch, documents, kept, mapped
 
 KINDS = ("assign", "access", "hex", "random")  # in the order of spans with one start
 BASE_KINDS = KINDS[:3]
@@ -48,21 +48,20 @@ LETTER = re.compile(rb"[A-Za-z]")
 _HEX_CLASS = bytes(b"h"[0] if chr(b) in "0123456789abcdef" else b"."[0] for b in range(256))
 _RUN_CLASS = bytes(b"x"[0] if RUN.fullmatch(bytes([b]) * MIN_RUN) else b"."[0] for b in range(256))
 _PARTS = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-_encoders: dict = {}
 
 
 def encoder(path: str, pattern: str):
     """The ``tiktoken`` encoding of a rank file, loaded once per worker."""
-    if path not in _encoders:
+
+    def load():
         import tiktoken
 
         with open(path, "rb") as lines:
             rows = [line.split() for line in lines if line.strip()]
         ranks = {base64.b64decode(t): int(r) for t, r in rows}
-        _encoders[path] = tiktoken.Encoding(
-            path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
-        )
-    return _encoders[path]
+        return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return kept((encoder, path, pattern), load)
 
 
 def digest(run: bytes) -> bool:

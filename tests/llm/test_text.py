@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from terrace.llm import bpe, host_rules, language, packing, secret_scan
+from terrace.llm import bpe, common, host_rules, language, packing, secret_scan
 from tests.llm.data import TEXTS, docs, no_docs, prose, rows
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -243,3 +243,14 @@ def test_evidence_beyond_the_text_decides_short_texts(spark):
     assert by_id[101].lang == "de" and by_id[100].lang == "en" and by_id[100].kept
 
 
+
+
+def test_workers_keep_one_thing_and_give_it_back():
+    """What one stage has loaded is not held beside what the next one loads."""
+    made = []
+    load = lambda name: common.kept(name, lambda: made.append(name) or [name])
+    assert load("a") is load("a") and made == ["a"]
+    assert load("b") == ["b"] and load("a") == ["a"] and made == ["a", "b", "a"]
+    common.release()
+    assert load("a") == ["a"] and made == ["a", "b", "a", "a"]
+    common.release()
