@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Batches, as_bytes, batch, documents, kept, mapped
+from terrace.llm.common import Batches, as_bytes, batch, documents, kept, mapped, slices
 
 KINDS = ("assign", "access", "hex", "random")  # in the order of spans with one start
 BASE_KINDS = KINDS[:3]
@@ -44,6 +44,7 @@ DIGEST = re.compile(rb"(?i)[0-9a-f]+")
 UUID = re.compile(rb"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}")
 TIME = re.compile(rb"[0-9]{4}-?[0-9]{2}-?[0-9]{2}[Tt_-][0-9]{2}[-_]?[0-9]{2}[-_]?[0-9]{2}[Zz]?")
 LETTER = re.compile(rb"[A-Za-z]")
+BYTES_AT_ONCE = 1 << 20
 
 _HEX_CLASS = bytes(b"h"[0] if chr(b) in "0123456789abcdef" else b"."[0] for b in range(256))
 _RUN_CLASS = bytes(b"x"[0] if RUN.fullmatch(bytes([b]) * MIN_RUN) else b"."[0] for b in range(256))
@@ -150,20 +151,21 @@ def redact(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
 
     def run(batches: Batches) -> Batches:
         encode = encoder(path, pattern).encode_ordinary
-        for b in batches:
-            texts = []
-            for text in b[text_col].cast(pa.binary()).to_pylist():
-                spans = byte_spans(text, encode) if text else ()
-                kept, at = [], 0
-                for start, _, end in spans:
-                    if end > at:
-                        kept += [text[at:start] if start >= at else b"", b"[secret]" * (start >= at)]
-                        at = end
-                texts.append(b"".join([*kept, text[at:]]) if spans else text)
-            column = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [column if n == text_col else b[n] for n in names], names
-            )
+        for whole in batches:
+            for b in slices(whole, text_col, BYTES_AT_ONCE):
+                texts = []
+                for text in b[text_col].cast(pa.binary()).to_pylist():
+                    spans = byte_spans(text, encode) if text else ()
+                    kept, at = [], 0
+                    for start, _, end in spans:
+                        if end > at:
+                            kept += [text[at:start] if start >= at else b"", b"[secret]" * (start >= at)]
+                            at = end
+                    texts.append(b"".join([*kept, text[at:]]) if spans else text)
+                column = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [column if n == text_col else b[n] for n in names], names
+                )
 
     return docs.mapInArrow(run, schema)
 
