@@ -44,7 +44,6 @@ from pyspark.sql import functions as F
 
 from terrace.llm.common import (
     Batches,
-    Memo,
     as_bytes,
     batch,
     documents,
@@ -63,7 +62,7 @@ BLOCK_BYTES = 16 << 20
 BANDS = [1]  # the least sizes of the bands: a linked pair lies in one or in neighbours
 while BANDS[-1] < 1 << 32:
     BANDS.append(max(BANDS[-1] + 1, -(-5 * BANDS[-1] // 4)))
-WORDS_REMEMBERED = 1 << 17
+LONG = 64  # bytes of a word up to which words are hashed together
 PAIRS_HELD = 1 << 19
 BYTES_AT_ONCE = 4 << 20
 RUNS, FURTHER = (1 << 23) - 1, 1 << 23
@@ -72,6 +71,8 @@ BLOOM_BITS = 1 << 24
 BLOOM_HASHES = 3
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first bytes
 
 
 def least_overlap(size: int, other: int) -> int:
@@ -90,27 +91,45 @@ def parts_of(band: int) -> int:
     return most + most // 8 + 3
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def sets_of(texts: list[bytes], memo: Memo, n: int = N_GRAM) -> Iterator[np.ndarray]:
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of lower-case text begin, and a 64-bit hash of each, by its size and its
+    bytes, eight at once; that of a word up to eight bytes long is its own among such of its size."""
+    inside = np.concatenate([[False], ~_SPACE[np.frombuffer(data, np.uint8)], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    padded = data + bytes(8)
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each on
+    hashes = size.astype(np.uint64) * _FACTOR
+    which = np.flatnonzero(size <= LONG)
+    for done in range(0, LONG, 8):
+        which = which[size[which] > done]
+        if not len(which):
+            break
+        more = eight[begin[which] + done] & _FIRST[np.minimum(size[which] - done, 8)]
+        hashes[which] = mix(hashes[which] ^ more) * _FACTOR
+    for i in np.flatnonzero(size > LONG).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[begin[i] : begin[i] + size[i]])
+    return begin, hashes
+
+
+def sets_of(texts: list[bytes], n: int = N_GRAM) -> Iterator[np.ndarray]:
     """The set of each text, ascending; shorter texts are one shingle."""
-    words = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) for w in words])
-    flat = np.fromiter((memo[w] for own in words for w in own), np.uint64, int(sizes.sum()))
+    begin, flat = word_hashes(b" ".join(texts).lower())
+    ends = np.cumsum([len(t) + 1 for t in texts])  # each text and the space that follows
+    sizes = np.diff(np.searchsorted(begin, ends), prepend=0)
     rolled = flat.copy()
     for k in range(1, n):
         following = np.zeros(len(flat), np.uint64)
         following[: len(flat) - k] = flat[k:]
         rolled = (rolled ^ (rolled >> np.uint64(29))) * _FACTOR + following
-    rolled = mix(rolled) >> np.uint64(2)
+    rolled = (mix(rolled) >> np.uint64(2)).view(np.int64)
     start = 0
-    for size, own in zip(sizes.tolist(), words):
+    for size in sizes.tolist():
         if size >= n:
-            yield np.unique(rolled[start : start + size - n + 1]).view(np.int64)
+            own = np.sort(rolled[start : start + size - n + 1])
+            yield own[np.append(True, own[1:] != own[:-1])]
         elif size:
-            whole = xxhash.xxh3_64_intdigest(b" ".join(own), seed=size)
+            whole = xxhash.xxh3_64_intdigest(flat[start : start + size].tobytes(), seed=size)
             yield np.array([whole >> 2], np.int64)
         else:
             yield np.zeros(0, np.int64)
@@ -179,11 +198,11 @@ def nodes(texts: DataFrame) -> DataFrame:
     one partition (an element that is common at all is common in some partition)."""
 
     def run(batches: Batches) -> Batches:
-        memo, seen, held = Memo(word_hash, WORDS_REMEMBERED), set(), []
+        seen, held = set(), []
         for whole in batches:
             for b in slices(whole, "text", BYTES_AT_ONCE):
                 sizes, names = [], []
-                for elements in sets_of(b["text"].to_pylist(), memo):
+                for elements in sets_of(b["text"].to_pylist()):
                     name = digest(elements)
                     sizes.append(len(elements))
                     names.append(name)
@@ -227,11 +246,11 @@ def postings(texts: DataFrame, common: np.ndarray) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Batches) -> Batches:
-        memo, seen = Memo(word_hash, WORDS_REMEMBERED), set()
+        seen = set()
         for whole in batches:
             for b in slices(whole, "text", BYTES_AT_ONCE):
                 parts, names, metas = [], [], []
-                for elements in sets_of(b["text"].to_pylist(), memo):
+                for elements in sets_of(b["text"].to_pylist()):
                     name = digest(elements)
                     if len(elements) and name not in seen:
                         seen.add(name)
@@ -380,14 +399,14 @@ def fetch_sets(texts: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFra
 
     def run(batches: Batches) -> Batches:
         table = held.value
-        memo, seen = Memo(word_hash, WORDS_REMEMBERED), set()
+        seen = set()
         for b in batches:
             hit = np.ones(b.num_rows, bool)
             for i in range(BLOOM_HASHES):
                 hit &= table[b[f"p{i}"].to_numpy()] == 1
             for part in slices(b.filter(pa.array(hit)), "text", BYTES_AT_ONCE):
                 names, values = [], []
-                for elements in sets_of(part["text"].to_pylist(), memo):
+                for elements in sets_of(part["text"].to_pylist()):
                     name = digest(elements)
                     if len(elements) and name not in seen:
                         seen.add(name)

@@ -63,6 +63,22 @@ def test_families_larger_than_a_group(spark, monkeypatch):
     assert components(frame) == Counter(brute_components(pairs))
 
 
+def test_words_are_hashed_together(monkeypatch):
+    """No digest is called for each word; words differ by any byte, wherever texts end."""
+    called = []
+    one_by_one = jaccard.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(jaccard.xxhash, "xxh3_64_intdigest", lambda *a, **b: called.append(a) or one_by_one(*a, **b))
+    words = [f"w{i}{'x' * (i % 60)}" for i in range(3000)]
+    (found,) = jaccard.sets_of([" ".join(words).encode()])
+    assert len(found) == 2996 and (np.diff(found) > 0).all() and not called
+    odd = [b"", b" \n", b"a", b"A\x0b", b"a\x00", b"ab c d e f", b"a bc d e f", b"\tab  c\rd\ne\x0cF ", b"a b c d e f"]
+    odd += [b"%sy b c d e" % (b"x" * n) for n in (7, 8, 63, 64, 65)]
+    sets = [frozenset(x.tolist()) for x in jaccard.sets_of(odd)]
+    assert list(map(len, sets)) == [0, 0, 1, 1, 1, 1, 1, 1, 2, 1, 1, 1, 1, 1]
+    assert sets[2] == sets[3] and sets[5] == sets[7] and len(set(sets)) == len(odd) - 3
+    assert list(jaccard.sets_of([])) == []
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=25), min_size=2, max_size=8))
 def test_the_prefix_tree_finds_the_links(sets):
