@@ -22,7 +22,11 @@ from terrace.llm import host_rules, jaccard, language, packing, secret_scan
 from terrace.llm.common import folder, put, reach
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+READ_ROWS = 1024
+# Python workers return large arrays to the system when they are freed, rather than keep them
+# for the stages that follow.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(1 << 20)}
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -32,9 +36,11 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def bounded(spark: SparkSession) -> SparkSession:
-    """Send texts to Python workers in batches of bounded size, whatever their lengths: executors
-    hold several batches outside their heaps, and keep that memory from stage to stage."""
+    """Read texts and send them to Python workers in small batches, whatever their lengths:
+    executors hold several of them, outside their heaps too, and keep memory from stage to stage."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    spark.sparkContext.environment.update(WORKERS)
     return spark
 
 

@@ -372,6 +372,25 @@ def test_every_page_has_one_language(spark, data):
         assert r.kept == (r.lang != "und") and not (r.kept and r.page_id in blank)
 
 
+def test_workers_of_the_pipeline_return_what_they_free(spark, monkeypatch):
+    """Large arrays that one stage has freed are not held while the next one runs."""
+    import corpus_pipeline
+
+    def held(batches):
+        for b in batches:
+            before = int(open("/proc/self/statm").read().split()[1])
+            arrays = [np.ones(2 << 17) for _ in range(32)]  # of 2 MB, 64 in all
+            arrays.clear()
+            pages = int(open("/proc/self/statm").read().split()[1]) - before
+            pool = pa.default_memory_pool().backend_name
+            yield pa.RecordBatch.from_pydict({"pages": pa.array([pages]), "pool": pa.array([pool])})
+
+    monkeypatch.setattr(spark.sparkContext, "environment", dict(spark.sparkContext.environment))
+    corpus_pipeline.bounded(spark)
+    (found,) = spark.range(1).coalesce(1).mapInArrow(held, "pages bigint, pool string").collect()
+    assert found.pool == "system" and found.pages * 4096 < 16 << 20
+
+
 def test_the_pipeline_stage_by_stage(spark, tmp_path):
     import corpus_pipeline
 
